@@ -16,6 +16,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text")).withColumn("n_tokens", F.col("n_tokens").cast("bigint"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.bpe import digests
 
