@@ -34,6 +34,12 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.tiff import media_digests
+
+    return media_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.embedding_dedup import near_duplicates
 
