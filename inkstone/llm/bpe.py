@@ -87,11 +87,6 @@ class Bpe:
             self.token[i] = s.encode()
         self.length = np.array([len(b) for b in self.token], np.int64)
         self._rules(vocab, model["merges"])
-        self.automaton = ahocorasick.Automaton()
-        for b, i in vocab.items():
-            if self.whole[i]:
-                self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
-        self.automaton.make_automaton()
         self.vocab = vocab
         self.chunk = re.compile(CHUNK)
         self.piece = regex.compile(PIECE)
@@ -123,6 +118,16 @@ class Bpe:
         # a token is reached only if its two parts meet unbroken
         self.whole = [len(b) == 1 or (t in made and self._crossing(*made[t][1:]) == born[t]) for t, b in enumerate(self.token)]
 
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds the tokens that are suffixes of each prefix, longest first."""
+        out = ahocorasick.Automaton()
+        for b, i in self.vocab.items():
+            if self.whole[i]:
+                out.add_word(b.decode("latin-1"), (i, len(b)))
+        out.make_automaton()
+        return out
+
     def _crossing(self, a: int, b: int) -> int | None:
         """Rank of the first merge that crosses the boundary between a and b, None if none does.
 
@@ -217,6 +222,34 @@ class Bpe:
         return b"".join(map(self.token.__getitem__, ids)).decode("utf-8", "replace")
 
 
+class Merging(Bpe):
+    """The same ids; pieces of which the caches have none are merged by the tiktoken library.
+
+    For operators that need ids and not this module's method. It takes the vocabulary's ids as ranks, so they must be in
+    the order of the merges; other vocabularies go the usual way.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.core = None
+        first = len(self.vocab) - len(self.rank)
+        if all(self.vocab.get(self.token[a] + self.token[b]) == r + first for (a, b), r in self.rank.items()):
+            import tiktoken
+
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            self.core = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=self.vocab, special_tokens={})._core_bpe
+
+    def encode_piece(self, data: bytes) -> list[int]:
+        return self.core.encode_single_piece(data) if self.core else super().encode_piece(data)
+
+    def _chunk(self, chunk: str) -> bytes:
+        # the libraries' character tables are of one mind on Latin letters; other chunks are cut here
+        if self.core and len(chunk) <= 256 and (chunk.isascii() or max(chunk) < "\u0250"):
+            ids = self.core.encode_ordinary(chunk)
+            return struct.pack(f"<{len(ids)}I", *ids)
+        return super()._chunk(chunk)
+
+
 @functools.cache
 def proxy(c: str) -> str:
     """A letter, digit or sign of the class that the installed pre-tokenizer sees in c."""
@@ -232,6 +265,11 @@ def codec(path: str = DEFAULT) -> Bpe:
     return Bpe(path)
 
 
+@functools.cache
+def merging(path: str = DEFAULT) -> Merging:
+    return Merging(path)
+
+
 def encode_decode(df, path: str = DEFAULT, text: str = "text", key: str = "doc_id"):
     """One row for each row of df: key, ids (array<int>), decoded (string).
 

@@ -79,7 +79,7 @@ def pieces(df: DataFrame, path: str = bpe.DEFAULT, end_id: int = 0, length: int
     """key, piece, start, length, ids_crc32 of each piece: a text's ids and then end_id, cut where longer than `length`."""
 
     def run(c: dict) -> dict:
-        codec = bpe.codec(path)
+        codec = bpe.merging(path)
         out: dict = {k: [] for k in ("key", "piece", "start", "length", "ids_crc32")}
         for key, t in zip(c["key"], c["text"], strict=True):
             ids = codec.encode_bytes(t) + end_id.to_bytes(4, "little")

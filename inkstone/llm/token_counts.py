@@ -77,7 +77,7 @@ def token_counts(df: DataFrame, fields: tuple[str, ...] = ("text",), sections: s
     between = separator.encode()
 
     def run(c: dict) -> dict:
-        codec = bpe.codec(path)
+        codec = bpe.merging(path)
         out: dict = {k: [] for k in ("key", "field", "section", "start", "end", "n_bytes", "n_tokens")}
         for row in zip(c["key"], *(c[f"f{i}"] for i in range(len(fields))), strict=True):
             parts = [(p or "").encode() for p in row[1:]]
