@@ -28,6 +28,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(widen(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.packing import pack_documents
 
