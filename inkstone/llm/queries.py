@@ -22,6 +22,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.bpe import digests
 
