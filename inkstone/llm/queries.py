@@ -58,6 +58,12 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.pii import personal_data
+
+    return personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
