@@ -64,6 +64,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.lm import score
+
+    return score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
