@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import constants as K
+from inkstone.operators.groups import map_groups
 
 
 def latest_state(events: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
@@ -30,16 +31,16 @@ def job_view(jobs: DataFrame) -> DataFrame:
 def fifo(arrivals: DataFrame, queue: str, at: str, service: str, key: str, patience: float | None = None) -> DataFrame:
     """queue, key, start, end: one job at a time in order of arrival; one that would wait longer than `patience` leaves (null)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(c: dict[str, np.ndarray]) -> list[tuple]:
         free, out = float("-inf"), []
-        for r in pdf.sort_values([at, key]).itertuples(index=False):
-            start = max(getattr(r, at), free)
-            if patience is not None and start - getattr(r, at) > patience:
-                out.append((getattr(r, queue), getattr(r, key), None, None))
+        for q, k, t, needs in zip(c[queue], c[key], c[at], c[service], strict=True):
+            start = max(t, free)
+            if patience is not None and start - t > patience:
+                out.append((q, k, None, None))
                 continue
-            free = start + getattr(r, service)
-            out.append((getattr(r, queue), getattr(r, key), start, free))
-        return pd.DataFrame(out, columns=[queue, key, "start", "end"]).astype({"start": "float64", "end": "float64"})
+            free = start + needs
+            out.append((q, k, start, free))
+        return out
 
     own = arrivals.select(queue, key, F.col(at).cast("double").alias(at), F.col(service).cast("double").alias(service))
-    return own.groupBy(queue).applyInPandas(run, f"{queue} {own.schema[queue].dataType.simpleString()}, {key} {own.schema[key].dataType.simpleString()}, start double, end double")
+    return map_groups(own, [queue], [at, key], f"{queue} {own.schema[queue].dataType.simpleString()}, {key} {own.schema[key].dataType.simpleString()}, start double, end double", run)

@@ -7,10 +7,11 @@ where no candidate can exist (a gap of more than the tolerance), so a key that h
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.operators.groups import map_groups
+
 
 def islands(rows: DataFrame, keys: list[str], at: str, gap: float, order: str) -> DataFrame:
     """Adds `island`: it rises where a row comes `gap` or more after the one before it within its keys."""
@@ -27,21 +28,24 @@ def link_nearby(local: DataFrame, remote: DataFrame, tolerance: float) -> DataFr
     side = lambda d, n: d.where("text IS NOT NULL AND text <> ''").select("id", "text", "at", "pos", F.lit(n).alias("side"))
     both = islands(side(local, 0).unionByName(side(remote, 1)), ["text"], "at", tolerance, "id")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        mine = pdf[pdf["side"] == 0].sort_values(["pos", "id"])
-        other = pdf[pdf["side"] == 1].sort_values(["pos", "id"])
-        ids, at = other["id"].to_numpy(), other["at"].to_numpy()
-        free = np.ones(len(other), bool)
+    # islands of one side only link nothing
+    w = Window.partitionBy("text", "island")
+    both = both.withColumns({"__lo": F.min("side").over(w), "__hi": F.max("side").over(w)}).where("__lo < __hi").drop("__lo", "__hi")
+
+    def greedy(c: dict[str, np.ndarray]) -> list[tuple]:
+        other = c["side"] == 1
+        ids, at = c["id"][other], c["at"][other]
+        free = np.ones(len(ids), bool)
         out = []
-        for i, t in zip(mine["id"], mine["at"], strict=True):
+        for i, t in zip(c["id"][~other], c["at"][~other], strict=True):
             near = np.flatnonzero(free & (np.abs(at - t) < tolerance))
             if len(near):
                 free[near[0]] = False
                 out.append((i, ids[near[0]]))
-        return pd.DataFrame(out, columns=["local_id", "remote_id"])
+        return out
 
-    kind = local.schema["id"].dataType.simpleString()
-    return both.groupBy("text", "island").applyInPandas(greedy, f"local_id {kind}, remote_id {remote.schema['id'].dataType.simpleString()}")
+    kinds = [d.schema["id"].dataType.simpleString() for d in (local, remote)]
+    return map_groups(both, ["text", "island"], ["pos", "id"], f"local_id {kinds[0]}, remote_id {kinds[1]}", greedy)
 
 
 def overlap_pairs(truth: DataFrame, found: DataFrame, key: str, least: float = 0.5) -> DataFrame:
@@ -56,16 +60,19 @@ def overlap_pairs(truth: DataFrame, found: DataFrame, key: str, least: float = 0
 def match_greedy(pairs: DataFrame, key: str) -> DataFrame:
     """One-to-one pairs of each line, from the best overlap down; of equal ones the larger g, then the larger p, goes first."""
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    def greedy(c: dict[str, np.ndarray]) -> list[tuple]:
         used_g, used_p, keep = set(), set(), []
-        for i, (g, p) in pdf.sort_values(["iou", "g", "p"], ascending=False)[["g", "p"]].iterrows():
+        for row in zip(*(c[n] for n in names), strict=True):
+            g, p = row[names.index("g")], row[names.index("p")]
             if g not in used_g and p not in used_p:
                 used_g.add(g)
                 used_p.add(p)
-                keep.append(i)
-        return pdf.loc[keep]
+                keep.append(row)
+        return keep
 
-    return pairs.groupBy(key).applyInPandas(greedy, pairs.schema)
+    names = pairs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
+    return map_groups(pairs, [key], [F.desc("iou"), F.desc("g"), F.desc("p")], schema, greedy)
 
 
 def boundary_hits(truth: DataFrame, cuts: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -76,26 +83,26 @@ def boundary_hits(truth: DataFrame, cuts: DataFrame, key: str, tolerance: float)
     side = lambda d, n: d.select(key, "at", F.lit(n).alias("side"))
     both = islands(side(truth, 0).unionByName(side(cuts, 1)), [key], "at", tolerance + 1e-9, "side")
 
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        cut = np.unique(pdf.loc[pdf["side"] == 1, "at"].to_numpy())
+    def greedy(c: dict[str, np.ndarray]) -> list[tuple]:
+        cut = np.unique(c["at"][c["side"] == 1])
         free, out = np.ones(len(cut), bool), []
-        for t in np.sort(pdf.loc[pdf["side"] == 0, "at"].to_numpy()):
+        for t in c["at"][c["side"] == 0] if len(cut) else ():
             d = np.where(free, np.abs(cut - t), np.inf)
-            if len(d) and d.min() <= tolerance:
-                i = int(d.argmin())
+            i = int(d.argmin())
+            if d[i] <= tolerance:
                 free[i] = False
-                out.append((pdf[key].iloc[0], t, cut[i]))
-        return pd.DataFrame(out, columns=[key, "at", "cut"])
+                out.append((c[key][0], t, cut[i]))
+        return out
 
     kind = truth.schema["at"].dataType.simpleString()
-    return both.groupBy(key, "island").applyInPandas(greedy, f"{key} {truth.schema[key].dataType.simpleString()}, at {kind}, cut {kind}")
+    return map_groups(both, [key, "island"], ["at"], f"{key} {truth.schema[key].dataType.simpleString()}, at {kind}, cut {kind}", greedy)
 
 
 def merge_boxes(boxes: DataFrame, key: str, least: float = 0.5) -> DataFrame:
     """Boxes (key, x0, y0, x1, y1) of one image, merged where they overlap by `least` or one holds the other, largest first."""
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest = [tuple(b) for b in pdf[["x0", "y0", "x1", "y1"]].to_numpy().tolist()]
+    def merge(c: dict[str, np.ndarray]) -> list[tuple]:
+        rest = list(zip(*(c[n].tolist() for n in ("x0", "y0", "x1", "y1")), strict=True))
         size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
         moved = True
         while moved:
@@ -112,7 +119,7 @@ def merge_boxes(boxes: DataFrame, key: str, least: float = 0.5) -> DataFrame:
                 else:
                     kept.append(b)
             rest = kept
-        return pd.DataFrame([(pdf[key].iloc[0], *b) for b in rest], columns=[key, "x0", "y0", "x1", "y1"])
+        return [(c[key][0], *b) for b in rest]
 
     own = boxes.select(key, "x0", "y0", "x1", "y1")
-    return own.groupBy(key).applyInPandas(merge, own.schema)
+    return map_groups(own, [key], ["x0", "y0"], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), merge)

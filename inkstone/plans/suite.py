@@ -137,7 +137,7 @@ def _sides(spark, sf_dir):
 
 @query("""
     SELECT a.event_id AS local_id, b.event_id AS remote_id FROM events a JOIN events b ON a.event_type = b.event_type AND a.user_id = b.user_id
-    WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND abs(epoch_ms(a.ts) - epoch_ms(b.ts)) < 86400000
+    WHERE a.event_id % 2 = 0 AND b.event_id % 2 = 1 AND abs(epoch_us(a.ts) // 1000 - epoch_us(b.ts) // 1000) < 86400000
 """)
 def fuzzy_interval_candidates(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
@@ -152,7 +152,7 @@ def fuzzy_interval_greedy(spark, sf_dir):
 
 
 @query("""
-    WITH linked AS (SELECT e.event_id AS local_id, c.c_custkey AS remote_id, epoch_ms(e.ts) AS sort_ts FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id)
+    WITH linked AS (SELECT e.event_id AS local_id, c.c_custkey AS remote_id, epoch_us(e.ts) // 1000 AS sort_ts FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id)
     SELECT local_id, remote_id, sort_ts FROM linked UNION ALL
     SELECT NULL, c_custkey, 0 FROM customer WHERE c_custkey NOT IN (SELECT remote_id FROM linked WHERE remote_id IS NOT NULL)
 """)
@@ -279,7 +279,7 @@ def email_validation(spark, sf_dir):
 
 
 @query("""
-    SELECT doc_id, CASE WHEN length(encode(text)) = 0 THEN 'empty' WHEN text IS NULL THEN 'missing' WHEN length(encode(text)) > 12582912 THEN 'too_large' END AS problem,
+    SELECT doc_id, CASE WHEN octet_length(encode(text)) = 0 THEN 'empty' WHEN text IS NULL THEN 'missing' WHEN octet_length(encode(text)) > 12582912 THEN 'too_large' END AS problem,
            lower(regexp_replace(source, '\\.[^.]*$', '')) AS group_key, lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0') AS slot FROM (SELECT doc_id, text, source || '.PNG' AS source FROM documents)
 """)
 def upload_checks(spark, sf_dir):
