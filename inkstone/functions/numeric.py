@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkstone.functions.signal import let
+
 
 def js_round(c: Column) -> Column:
     """Halves go up."""
@@ -38,10 +40,13 @@ def upper_median(values: Column) -> Column:
 
 def array_percentile(values: Column, share: float) -> Column:
     """Linear interpolation between the sorted values of an array, as numpy has it."""
-    s = F.array_sort(values)
-    at = (F.size(s) - 1) * F.lit(share)
-    low = F.get(s, F.floor(at).cast("int"))
-    return low + (F.get(s, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+    def between(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(share)
+        low = F.get(s, F.floor(at).cast("int"))
+        return low + (F.get(s, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+
+    return let(F.array_sort(values), between)
 
 
 def weighted_ratio(part: Column, whole: Column) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def indices(n: Column) -> Column:
     """0 to n-1; empty for n <= 0."""
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -58,8 +63,7 @@ def suppress(values: Column, peaks: Column, distance: int = 3) -> Column:
 
 
 def peaks(values: Column, threshold: float = 0.35, distance: int = 3, sigma: float | None = None) -> Column:
-    v = smooth(values, sigma) if sigma else values
-    return suppress(v, local_maxima(v, threshold), distance)
+    return let(smooth(values, sigma) if sigma else values, lambda v: suppress(v, local_maxima(v, threshold), distance))
 
 
 def intervals(cuts: Column, width: Column, least: int = 2) -> Column:

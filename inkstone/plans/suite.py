@@ -312,12 +312,12 @@ def avg_confidence_grouped(spark, sf_dir):
 
 
 @query("""
-    SELECT l_orderkey, coalesce(CAST(floor(list_sum(list(greatest(0, least(1, l_quantity / 40)) ORDER BY l_linenumber) FILTER (l_returnflag NOT IN ('R', 'A'))) / count(*) FILTER (l_returnflag NOT IN ('R', 'A')) * 100 + 0.5) AS INT), 0) AS confidence
+    SELECT l_orderkey, coalesce(CAST(floor(list_sum(list(greatest(0, least(1, l_quantity / 37.3)) ORDER BY l_linenumber) FILTER (l_returnflag NOT IN ('R', 'A'))) / count(*) FILTER (l_returnflag NOT IN ('R', 'A')) * 100 + 0.5) AS INT), 0) AS confidence
     FROM lineitem GROUP BY l_orderkey
 """)
 def avg_confidence(spark, sf_dir):
     lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
-    glyph = F.struct("l_linenumber", F.when(F.col("l_returnflag") == "A", "?").otherwise("x").alias("character"), (F.col("l_quantity") / 40).alias("confidence"), (F.col("l_returnflag") == "R").alias("isSeparator"))
+    glyph = F.struct("l_linenumber", F.when(F.col("l_returnflag") == "A", "?").otherwise("x").alias("character"), (F.col("l_quantity") / 37.3).alias("confidence"), (F.col("l_returnflag") == "R").alias("isSeparator"))
     return lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(glyph)).alias("g")).select("l_orderkey", numeric.average_confidence(F.col("g")).alias("confidence"))
 
 
@@ -409,8 +409,8 @@ def reading_order(spark, sf_dir):
 
 
 _BOXES = """
-    b AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 900 AS INT) AS x0, CAST(l_partkey % 900 + 3 + l_quantity AS INT) AS x1 FROM lineitem),
-    g AS (SELECT *, x0 - lead(x1) OVER (PARTITION BY l_orderkey ORDER BY (x0 + x1) / 2 DESC, l_linenumber) AS gap FROM b),
+    b AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 900 AS INT) AS x0, CAST(floor(l_partkey % 900 + 3 + l_quantity) AS INT) AS x1 FROM lineitem),
+    g AS (SELECT *, x0 - lead(x1) OVER (PARTITION BY l_orderkey ORDER BY (x0 + x1) / 2 DESC, l_linenumber * 10000 + x0) AS gap FROM b),
     t AS (SELECT l_orderkey, list_sort(list(gap) FILTER (gap IS NOT NULL)) AS gs FROM g GROUP BY l_orderkey),
     lim AS (SELECT l_orderkey, CASE WHEN gs IS NULL OR len(gs) < 1 THEN 14.0 WHEN gs[-1] <= 18 THEN greatest(14.0, 3.2 * gs[CAST(len(gs) // 2 AS INT) + 1]) ELSE greatest(18.0, 2.05 * gs[CAST(len(gs) // 2 AS INT) + 1]) END AS threshold FROM t)
 """
@@ -418,12 +418,12 @@ _BOXES = """
 
 def _boxes(spark, sf_dir):
     x0 = (F.col("l_partkey") % 900).cast("int")
-    return read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").select("l_orderkey", "l_linenumber", x0.alias("x0"), (x0 + 3 + F.col("l_quantity")).cast("int").alias("x1"))
+    return read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity").select("l_orderkey", "l_linenumber", x0.alias("x0"), (x0 + 3 + F.col("l_quantity")).cast("int").alias("x1"), (F.col("l_linenumber") * 10_000 + x0).alias("pos"))
 
 
 @query(f"WITH {_BOXES} SELECT l_orderkey, round(CAST(threshold AS DOUBLE), 6) AS threshold FROM lim")
 def gap_threshold(spark, sf_dir):
-    spaced = layout.gaps(_boxes(spark, sf_dir), "l_orderkey", "x0", "x1", "l_linenumber")
+    spaced = layout.gaps(_boxes(spark, sf_dir), "l_orderkey", "x0", "x1", "pos")
     return spaced.groupBy("l_orderkey").agg(_rounded(layout.gap_threshold(F.collect_list("gap"))).alias("threshold"))
 
 
@@ -432,23 +432,23 @@ def gap_threshold(spark, sf_dir):
     SELECT l_orderkey, CAST(trunc(x0 - gap / 2) AS INT) - 1, CAST(trunc(x0 - gap / 2) AS INT) + 1, true FROM g JOIN lim USING (l_orderkey) WHERE gap >= threshold
 """)
 def gap_separators(spark, sf_dir):
-    return layout.with_separators(_boxes(spark, sf_dir), "l_orderkey", "x0", "x1", "l_linenumber")
+    return layout.with_separators(_boxes(spark, sf_dir), "l_orderkey", "x0", "x1", "pos")
 
 
 @query(f"""
     WITH {_BOXES} SELECT l_orderkey, l_linenumber, x1 - x0 <= 12 AND (x1 - x0) / 40.0 <= 0.42 AND coalesce(x0 - lag(x1) OVER w, 999) >= 14 AND coalesce(lead(x0) OVER w - x1, 999) >= 14 AS is_bar
-    FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY x0, l_linenumber)
+    FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY x0, l_linenumber * 10000 + x0)
 """)
 def word_bars(spark, sf_dir):
-    return layout.bars(_boxes(spark, sf_dir).withColumn("h", F.lit(40)), "l_orderkey", "x0", "x1", "h", "l_linenumber").select("l_orderkey", "l_linenumber", "is_bar")
+    return layout.bars(_boxes(spark, sf_dir).withColumn("h", F.lit(40)), "l_orderkey", "x0", "x1", "h", "pos").select("l_orderkey", "l_linenumber", "is_bar")
 
 
 @query(f"""
-    WITH {_BOXES}, n AS (SELECT *, coalesce((lag(x1) OVER w + x0) / 2, 0) AS l, coalesce((lead(x0) OVER w + x1) / 2, 1000) AS r FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY (x0 + x1) / 2, l_linenumber))
+    WITH {_BOXES}, n AS (SELECT *, coalesce((lag(x1) OVER w + x0) / 2, 0) AS l, coalesce((lead(x0) OVER w + x1) / 2, 1000) AS r FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY (x0 + x1) / 2, l_linenumber * 10000 + x0))
     SELECT l_orderkey, l_linenumber, CAST(trunc(greatest(0, least(x0, greatest(x0 - 6, l)))) AS INT) AS crop_lo, CAST(trunc(least(1000, greatest(x1, least(x1 + 6, r)))) AS INT) AS crop_hi FROM n
 """)
 def crop_clamp(spark, sf_dir):
-    return layout.clamped_crops(_boxes(spark, sf_dir), "l_orderkey", "x0", "x1", F.lit(6), F.lit(1000), "l_linenumber").select("l_orderkey", "l_linenumber", "crop_lo", "crop_hi")
+    return layout.clamped_crops(_boxes(spark, sf_dir), "l_orderkey", "x0", "x1", F.lit(6), F.lit(1000), "pos").select("l_orderkey", "l_linenumber", "crop_lo", "crop_hi")
 
 
 @query("""
@@ -500,7 +500,7 @@ def nms_peaks(spark, sf_dir):
 @query()
 def boundary_boxes(spark, sf_dir):
     """Smoothed peaks, intervals between them, and the objectness gate."""
-    found = _series(spark, sf_dir).withColumn("cuts", signal.peaks(F.col("v"), sigma=2.0)).withColumn("b", F.explode(signal.boxes(F.col("cuts"), F.col("v"))))
+    found = _series(spark, sf_dir).withColumn("b", F.explode(signal.let(signal.peaks(F.col("v"), sigma=2.0), lambda cuts: signal.boxes(cuts, F.col("v")))))
     return found.select("user_id", "b.lo", "b.hi", _rounded("b.confidence").alias("confidence"), _rounded("b.mean").alias("mean"))
 
 
