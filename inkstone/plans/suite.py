@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import boxes, fusion, numeric, signal, text
 from inkstone.functions import constants as K
-from inkstone.operators import archive, classify, evaluate, jobs, layout, matching
+from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching
 from inkstone.sources.tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -511,6 +511,15 @@ def line_bands(spark, sf_dir):
     return found.select("user_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("peaks"), F.array_join(signal.valley_cuts(F.col("v"), F.col("p")).cast("array<string>"), ",").alias("cuts"))
 
 
+@query()
+def span_lattice(spark, sf_dir):
+    """Best segmentation of each user's series: spans of up to three intervals, by their mean."""
+    lines = _series(spark, sf_dir).withColumn("edges", F.concat(F.array(F.lit(0)), signal.peaks(F.col("v")), F.array(F.size("v"))))
+    spans = lattice.arcs(lines.select("user_id", "edges"), "user_id", "edges").join(lines.select("user_id", "v"), "user_id")
+    scored = spans.withColumn("reward", lattice.reward(F.round(numeric.array_mean(signal.span(F.col("v"), F.col("lo"), F.col("hi"))), 9)))
+    return lattice.best_path(scored, "user_id").withColumn("reward", _rounded("reward"))
+
+
 @query()
 def line_clusters(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
