@@ -80,10 +80,10 @@ def nested_embed(spark, sf_dir):
     return people.select("c_custkey", F.size("documentations").cast("bigint").alias("n_orders"), F.aggregate(sizes, F.lit(0), lambda a, v: a + v).cast("bigint").alias("n_lines"), F.coalesce(F.array_max(sizes), F.lit(0)).cast("bigint").alias("most_lines"))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_custkey % 10 = 7)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderpriority = '1-URGENT')")
 def visible_semi(spark, sf_dir):
-    owners = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey").withColumnRenamed("o_orderkey", "l_orderkey")
-    return archive.visible(read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), owners, "l_orderkey", F.col("o_custkey") % 10 == 7)
+    owners = read(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").withColumnRenamed("o_orderkey", "l_orderkey")
+    return archive.visible(read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), owners, "l_orderkey", F.col("o_orderpriority") == "1-URGENT")
 
 
 @query("SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
