@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkstone.functions import boxes, fusion, numeric, signal, text
+from inkstone.functions import boxes, fusion, numeric, segments, signal, text
 from inkstone.functions import constants as K
 from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching
 from inkstone.sources.tables import read
@@ -380,6 +380,18 @@ def topk_margin(spark, sf_dir):
     return top.groupBy("o_custkey").agg(_rounded(nth(1)).alias("best"), _rounded(nth(1) - F.coalesce(nth(2), F.lit(-1.0))).alias("margin"), F.count("*").alias("k"))
 
 
+@query("""
+    WITH v AS (SELECT o_orderkey, o_custkey % 3 = 0 AS na, o_orderkey % 2 = 0 AS nb, (o_custkey % 100) / 100.0::DOUBLE AS a, (o_orderkey % 90) / 90.0::DOUBLE AS b FROM orders)
+    SELECT o_orderkey, CASE WHEN na <> nb AND NOT na AND a >= 0.08 THEN 'original' WHEN na <> nb AND na AND b >= 0.20 AND b >= a - 0.05 THEN 'other' WHEN na <> nb AND b < a + 0.55 THEN 'original' WHEN a >= b THEN 'original' ELSE 'other' END AS view FROM v
+""")
+def view_selection(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    view = lambda numeral, confidence, name: F.struct(F.when(numeral, "NUM_5").otherwise("x").alias("label"), confidence.alias("confidence"), F.lit(name).alias("view"))
+    a = view(F.col("o_custkey") % 3 == 0, (F.col("o_custkey") % 100) / 100.0, "original")
+    b = view(F.col("o_orderkey") % 2 == 0, (F.col("o_orderkey") % 90) / 90.0, "other")
+    return orders.select("o_orderkey", segments.best_view(a, b)["view"].alias("view"))
+
+
 # ---- layout and signals -----------------------------------------------------------------------------------------------
 
 
