@@ -94,3 +94,12 @@ def crc_mod(col: str, n: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+
+
+def among_lowest(hashed: F.Column, wanted: int, rows: int) -> F.Column:
+    """Whether a row's 64-bit hash is among the lowest so many: about a quarter more than `wanted` of `rows` rows pass.
+
+    A sample by a limit would send `wanted` rows of every task to the driver; this sends about `wanted` in all.
+    """
+    share = (1.25 * wanted + 50) / max(rows, 1)
+    return F.lit(True) if share >= 1 else hashed < F.lit(int(share * 2.0**64) - 2**63).cast("bigint")

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import crc_mod
+from inkstone.llm.common import among_lowest, crc_mod
 
 #: Rows of a class in a training sample, at most: those of the smallest hashes.
 PER_CLASS = 4000
@@ -28,8 +28,9 @@ def sample(labels: DataFrame, label: str, per_class: int = PER_CLASS, folds: int
     counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}  # two rows at most
     picked: dict = {}
     for value in counts:
-        rows = own.where(F.col("label") == value).orderBy(F.xxhash64("key"), "key").limit(per_class).collect()
-        picked |= {r["key"]: value for r in rows}
+        hashed = F.xxhash64("key")
+        rows = own.where((F.col("label") == value) & among_lowest(hashed, per_class, counts[value])).select("key", hashed.alias("h")).collect()
+        picked |= {r["key"]: value for r in sorted(rows, key=lambda r: (r["h"], r["key"]))[:per_class]}
     return picked, math.log((counts.get(1, 0) + 0.5) / (counts.get(0, 0) + 0.5))
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import map_arrow, widen
+from inkstone.llm.common import among_lowest, map_arrow, widen
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -355,12 +355,11 @@ def joined(spans: dict[str, list[Span]]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Field:
-    """Learns from at most `sample` of the documents with digits or at-signs; keys are chosen before texts are read."""
+    """Learns from at most `sample` of the documents with digits or at-signs, those whose keys have the lowest hashes."""
     may = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]"))
-    keys = may.select(F.col(key).alias("picked")).orderBy(F.xxhash64("picked"), "picked").limit(sample)
-    picked = docs.sparkSession.createDataFrame(keys.collect(), keys.schema).distinct()
-    rows = may.join(F.broadcast(picked), F.col(key) == F.col("picked")).select(text).collect()  # bounded by the sample
-    return train(sorted(r[0] for r in rows)[:sample])
+    hashed = F.xxhash64(key)
+    rows = may.where(among_lowest(hashed, sample, may.count())).select(hashed.alias("h"), F.col(text).alias("t")).collect()  # bounded by the sample
+    return train(sorted(t for _, t in sorted((r["h"], r["t"]) for r in rows)[:sample]))
 
 
 def personal_data(docs: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> DataFrame:
