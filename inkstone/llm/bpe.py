@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import unicodedata
+import weakref
 
 import ahocorasick
 import numpy as np
@@ -54,9 +55,22 @@ def byte_letters() -> list[str]:
 class Cache(dict):
     """key -> value by `make`; two generations of at most `size` keys bound it, and keys in use survive."""
 
+    #: All caches of this worker: an operator empties those of others, which a reused worker would else hold on to.
+    live: list[weakref.ref] = []
+
     def __init__(self, make, size: int = CACHE):
         super().__init__()
         self.make, self.size, self.old = make, size, {}
+        Cache.live.append(weakref.ref(self))
+
+    @staticmethod
+    def only(*wanted: Cache) -> None:
+        Cache.live[:] = [r for r in Cache.live if r() is not None]
+        for r in Cache.live:
+            c = r()
+            if c is not None and not any(c is w for w in wanted) and (c or c.old):
+                c.clear()
+                c.old = {}
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -259,14 +273,27 @@ def proxy(c: str) -> str:
     return "a" if cuts[0][1] == 2 else "1" if (1, 4) in cuts else "!"
 
 
-@functools.cache
 def codec(path: str = DEFAULT) -> Bpe:
     """One encoder for each Python worker and vocabulary."""
-    return Bpe(path)
+    return _sole(_codec(path))
 
 
 @functools.cache
+def _codec(path: str) -> Bpe:
+    return Bpe(path)
+
+
+def _sole(bpe: Bpe) -> Bpe:
+    Cache.only(bpe.chunks, bpe.pieces)
+    return bpe
+
+
 def merging(path: str = DEFAULT) -> Merging:
+    return _sole(_merging(path))
+
+
+@functools.cache
+def _merging(path: str) -> Merging:
     return Merging(path)
 
 

@@ -38,7 +38,7 @@ SIZE = N_KINDS + N_SHAPES + HASHES
 
 @functools.cache
 def _words() -> Cache:
-    return Cache(zlib.crc32)
+    return Cache(zlib.crc32, 100_000)
 
 
 def passages(text: str | None, size: int = PASSAGE) -> np.ndarray:
@@ -166,6 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS,
 
 def score(model: Model | None, texts, together: int = 512) -> np.ndarray:
     """Scores of texts; 0.5 without a model."""
+    Cache.only(_words())
     texts = list(texts)
     if model is None:
         return np.full(len(texts), 0.5)

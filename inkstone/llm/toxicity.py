@@ -43,7 +43,7 @@ def _hashes(word: bytes) -> bytes:
 
 @functools.cache
 def _words() -> Cache:
-    return Cache(_hashes)
+    return Cache(_hashes, 100_000)
 
 
 def slots(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -121,6 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: st
 
 
 def score(model: Model, texts) -> np.ndarray:
+    Cache.only(_words())
     w = model.dense()
     total = np.array([w[slots(t, model.bits)].sum() for t in texts], float) + model.bias
     return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
