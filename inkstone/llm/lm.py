@@ -4,7 +4,8 @@ The model's symbols are the most frequent words, buckets of all other words by t
 text. The symbols before a position, each scaled for its distance, add up to a predicted vector. Its products with
 class vectors and with the vectors of a class's symbols give the next symbol; both levels are trained by telling data
 from noise and normalised over their whole range, in batched matrix products. A bucket's word follows by its smoothed
-share of the bucket, so every text has a proper probability.
+share of the bucket, so every text has a proper probability. Groups of documents learn side by side, and their
+parameters are averaged after every pass, so the model learns from every symbol of every training document.
 
 Counts cover all training texts. Words of the `HEAD` largest counts are looked up in every task, a table of bounded
 size; all others meet their counts in a join, however many there are.
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.bpe import Cache
-from inkstone.llm.common import Kept, among_lowest, crc_mod, widen
+from inkstone.llm.common import Kept, crc_mod, parts_for, widen
 
 FOLDS = 10
 HEAD = 131_072
 WORDS, BUCKETS = 1023, 512
 LEVELS, SIZE, BACK = 6, 24, 3
-#: Training documents of the neural model's parameters, at most, and their symbols; counts come from all documents.
-TRAIN_DOCS, TRAIN_SYMBOLS = 1500, 600_000
-NOISE = 10
+#: Symbols of a group that learns on its own within a round, about, and of a piece of a text; all symbols are learned from.
+TRAIN_SYMBOLS, PIECE = 600_000, 65_536
+EPOCHS, NOISE = 3, 10
 ALPHA = 0.1
 END = " "  # no word
 
@@ -123,13 +124,18 @@ def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def classes(counts: np.ndarray, ids: np.ndarray, context: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """Halves symbols `levels` times along the main direction of what stands before them: 2**levels classes of like sizes."""
-    m = len(counts)
-    seen = np.zeros((m, m + 1), np.float32)
-    for i in range(context.shape[1]):
-        np.add.at(seen, (ids, context[:, i]), 1)
-    seen = np.sqrt(seen / np.maximum(seen.sum(1, keepdims=True), 1))
+def pairs(ids: np.ndarray, context: np.ndarray, m: int) -> np.ndarray:
+    """How often each symbol stands after each symbol or start, at any of the BACK distances (m x (m + 1), flat)."""
+    return np.bincount((ids[:, None] * (m + 1) + context).ravel(), minlength=m * (m + 1))
+
+
+def classes(seen: np.ndarray, levels: int = LEVELS) -> np.ndarray:
+    """Halves symbols `levels` times along the main direction of what stands before them: 2**levels classes of like sizes.
+
+    seen: for each symbol, counts of the symbols before it.
+    """
+    m = len(seen)
+    seen = np.sqrt(seen / np.maximum(seen.sum(1, keepdims=True), 1)).astype(np.float32)
     groups = [np.arange(m)]
     for _ in range(levels):
         halves = []
@@ -148,61 +154,117 @@ def classes(counts: np.ndarray, ids: np.ndarray, context: np.ndarray, levels: in
     return out
 
 
-def train(counts: np.ndarray, ids: np.ndarray, first: np.ndarray, epochs: int = 3, batch: int = 2048, rate: float = 0.15, seed: int = 13) -> Model:
-    """NCE with Adagrad over the symbols ids of texts that begin at `first`; counts: of all symbols in all training texts."""
-    rng = np.random.default_rng(seed)
-    m = len(counts)
-    context = contexts(ids, first, m)
-    cls = classes(counts, ids, context)
-    k = int(cls.max()) + 1
-    p = counts + 0.5
-    members = [np.flatnonzero(cls == c) for c in range(k)]
-    place = np.empty(m, np.int64)
-    for g in members:
-        place[g] = np.arange(len(g))
-    of_class = np.bincount(cls, p, k)
-    log_class, log_own = np.log(of_class / of_class.sum()), np.log(p / of_class[cls])
-    # noise: classes by their share, and a class's symbols by theirs
-    class_cut = np.cumsum(of_class / of_class.sum())
-    by_class = np.concatenate(members)
-    own_cut = np.cumsum(p[by_class])
-    low = np.concatenate([[0], np.cumsum(of_class)])
-    w = {"r": rng.normal(0, 0.1, (m + 1, SIZE)), "c": np.ones((BACK, SIZE)) / np.arange(1, BACK + 1)[:, None], "qc": np.zeros((k, SIZE)), "bc": log_class.copy(), "qw": np.zeros((m, SIZE)), "bw": log_own.copy()}
-    g2 = {n: np.full_like(x, 1e-2) for n, x in w.items()}
-
-    def step(name: str, rows: np.ndarray, grad: np.ndarray) -> None:
-        at, inverse = np.unique(rows, return_inverse=True)
-        total = np.zeros((len(at), *grad.shape[1:]))
-        np.add.at(total, inverse, grad)
-        g2[name][at] += total**2
-        w[name][at] += rate * total / np.sqrt(g2[name][at])
-
-    for _ in range(epochs):
-        order = rng.permutation(len(ids))
+class Trainer:
+    """Noise-contrastive estimation with Adagrad; parameters are one flat vector, so that those of several tasks can be averaged.
+
+    Noise stands for its expectation: classes by their share and a class's symbols by theirs, NOISE of each to a position.
+    Vectors of symbols stand class by class.
+    """
+
+    def __init__(self, counts: np.ndarray, seen: np.ndarray):
+        m = self.m = len(counts)
+        self.cls = classes(seen)
+        k = self.k = int(self.cls.max()) + 1
+        self.members = [np.flatnonzero(self.cls == c) for c in range(k)]
+        self.low = np.concatenate([[0], np.cumsum([len(g) for g in self.members])])
+        self.place = np.empty(m, np.int64)
+        for g in self.members:
+            self.place[g] = np.arange(len(g))
+        p = counts + 0.5
+        of_class = np.bincount(self.cls, p, k)
+        share = of_class / of_class.sum()
+        self.log_class, self.noise_class = np.log(share).astype(np.float32), (NOISE * share).astype(np.float32)
+        width = max(map(len, self.members))
+        self.slot = self.cls * width + self.place  # in tables of a row for each class
+        self.by_class = np.concatenate(self.members)
+        own = np.zeros(k * width)
+        own[self.slot] = p / of_class[self.cls]
+        self.noise_own = (NOISE * own).reshape(k, width).astype(np.float32)
+        self.log_own = np.log(p / of_class[self.cls])[self.by_class].astype(np.float32)
+        self.shapes = {"r": (m + 1, SIZE), "c": (BACK, SIZE), "qc": (k, SIZE), "bc": (k,), "qw": (m, SIZE), "bw": (m,)}
+        self.size = sum(map(math.prod, self.shapes.values()))
+
+    def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for n, shape in self.shapes.items():
+            out[n] = flat[at : (at := at + math.prod(shape))].reshape(shape)
+        return out
+
+    def start(self, seed: int = 13) -> np.ndarray:
+        """Parameters, and then the sums of their squared gradients."""
+        state = np.zeros(2 * self.size, np.float32)
+        w = self.views(state)
+        w["r"][:] = np.random.default_rng(seed).normal(0, 0.1, w["r"].shape)
+        w["c"][:] = 1 / np.arange(1, BACK + 1)[:, None]
+        w["bc"][:], w["bw"][:] = self.log_class, self.log_own
+        state[self.size :] = 1e-2
+        return state
+
+    def learn(self, state: np.ndarray, ids: np.ndarray, context: np.ndarray, seed: object, batch: int = 2048, rate: float = 0.15) -> None:
+        """One pass over the symbols ids, in random order; changes state."""
+        w, g2 = self.views(state), self.views(state[self.size :])
+        cls16, f, log_noise = self.cls.astype(np.int16), np.float32, np.float32(math.log(NOISE))
+        tables = self.noise_own.shape[1]
+        sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+
+        def step(name: str, grad: np.ndarray, rate: float = rate) -> None:
+            g2[name] += grad**2
+            w[name] += f(rate) * grad / np.sqrt(g2[name])
+
+        order = np.random.default_rng(seed).permutation(len(ids))
         for b in range(0, len(order), batch):
             some = order[b : b + batch]
+            some = some[np.argsort(cls16[ids[some]], kind="stable")]
             y, x = ids[some], context[some]
+            n, c, place, rows = len(y), self.cls[y], self.place[y], np.arange(len(y))
             r = w["r"][x]
             q = (r * w["c"]).sum(1)
-            d_q = np.zeros_like(q)
-            for vec, bias, target, noise, log_noise in (
-                ("qc", "bc", cls[y], np.minimum(np.searchsorted(class_cut, rng.random((len(y), NOISE))), k - 1), log_class),
-                ("qw", "bw", y, by_class[np.minimum(np.searchsorted(own_cut, low[cls[y]][:, None] + rng.random((len(y), NOISE)) * of_class[cls[y]][:, None] * (1 - 1e-9)), m - 1)], log_own),
-            ):
-                pick = np.concatenate([target[:, None], noise], 1)
-                v = w[vec][pick]
-                s = np.einsum("nd,nkd->nk", q, v) + w[bias][pick] - log_noise[pick] - math.log(NOISE)
-                d = -1 / (1 + np.exp(-np.clip(s, -40, 40)))
-                d[:, 0] += 1  # data for the true one, noise for the others
-                d_q += np.einsum("nk,nkd->nd", d, v)
-                step(vec, pick.ravel(), (d[:, :, None] * q[:, None, :]).reshape(-1, SIZE))
-                step(bias, pick.ravel(), d.ravel())
+            p = sigmoid(q @ w["qc"].T + (w["bc"] - self.log_class - log_noise))
+            d = -self.noise_class * p
+            d[rows, c] += 1 - p[rows, c]  # data for the true one, noise for all
+            d_q = d @ w["qc"]
+            grad_c, bias_c = d.T @ q, d.sum(0)
+            bias = np.zeros(self.noise_own.size, f)
+            bias[self.slot[self.by_class]] = w["bw"] - self.log_own - log_noise
+            s = np.zeros((n, tables), f)
+            bounds = np.searchsorted(c, np.arange(self.k + 1))
+            spans = [(bounds[i], bounds[i + 1], self.low[i], self.low[i + 1]) for i in range(self.k) if bounds[i] < bounds[i + 1]]
+            for i, j, lo, hi in spans:
+                np.matmul(q[i:j], w["qw"][lo:hi].T, out=s[i:j, : hi - lo])
+            p = sigmoid(s + bias.reshape(self.k, tables)[c])
+            d = -self.noise_own[c] * p
+            d[rows, place] += 1 - p[rows, place]
+            grad, grad_bias = np.zeros_like(w["qw"]), np.zeros_like(w["bw"])
+            for i, j, lo, hi in spans:
+                e = d[i:j, : hi - lo]
+                d_q[i:j] += e @ w["qw"][lo:hi]
+                grad[lo:hi] = e.T @ q[i:j]
+                grad_bias[lo:hi] = e.sum(0)
+            at = x.ravel()
+            sort = np.argsort(at.astype(np.int16), kind="stable")
+            first = np.flatnonzero(np.diff(at[sort], prepend=-1))
+            grad_r = np.zeros_like(w["r"])
+            grad_r[at[sort][first]] = np.add.reduceat((d_q[:, None, :] * w["c"]).reshape(-1, SIZE)[sort], first, axis=0)
             d_c = (d_q[:, None, :] * r).sum(0)
-            g2["c"] += d_c**2
-            step("r", x.ravel(), (d_q[:, None, :] * w["c"]).reshape(-1, SIZE))
-            w["c"] += rate * 0.1 * d_c / np.sqrt(g2["c"])
-    f = np.float32
-    return Model(m, cls, place, members, (w["c"][:, None, :] * w["r"][None]).astype(f), w["qc"].astype(f), w["bc"].astype(f), [w["qw"][g].astype(f) for g in members], [w["bw"][g].astype(f) for g in members])
+            for name, value in (("qc", grad_c), ("bc", bias_c), ("qw", grad), ("bw", grad_bias), ("r", grad_r)):
+                step(name, value)
+            step("c", d_c, rate * 0.1)
+
+    def model(self, state: np.ndarray) -> Model:
+        w, low = self.views(state), self.low
+        own = lambda x: [x[a:b].copy() for a, b in zip(low[:-1], low[1:], strict=True)]
+        return Model(self.m, self.cls, self.place, self.members, w["c"][:, None, :] * w["r"][None], w["qc"].copy(), w["bc"].copy(), own(w["qw"]), own(w["bw"]))
+
+
+def train(counts: np.ndarray, ids: np.ndarray, first: np.ndarray, epochs: int = EPOCHS, seed: int = 13) -> Model:
+    """Learns from the symbols ids of texts that begin at `first`, in one process; counts: of all symbols in all training texts."""
+    m = len(counts)
+    context = contexts(ids, first, m)
+    trainer = Trainer(counts, pairs(ids, context, m).reshape(m, m + 1))
+    state = trainer.start(seed)
+    for epoch in range(epochs):
+        trainer.learn(state, ids, context, (seed, epoch, 0))
+    return trainer.model(state)
 
 
 @dataclass
@@ -265,22 +327,114 @@ def symbols_of(known: Known, cache: Cache, text: str | None) -> tuple[list[bytes
     return found, np.frombuffer(b"".join(map(cache.__getitem__, found)), RECORD)
 
 
-def fit(train_docs: DataFrame, known: Known, symbols: np.ndarray, docs: int = TRAIN_DOCS, text: str = "text", key: str = "doc_id") -> Model:
-    """Learns the neural part from the training documents of the lowest hashes, at most `docs` of them."""
-    hashed = F.xxhash64(key)
-    picked = train_docs.where(F.col(key).isNotNull() & among_lowest(hashed, docs, known.ends))
-    rows = picked.select(hashed.alias("h"), F.coalesce(text, F.lit("")).alias("t")).collect()  # bounded by `docs`
-    cache = Cache(known.record)
+def coded(docs: DataFrame, known: Known) -> DataFrame:
+    """h, lead, ids: all texts of docs (key, text) as symbols, in pieces of at most PIECE; `lead` of them only come before.
+
+    The hash h depends on the row and the piece, not on how rows are dealt to tasks.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(known)
     end = known.n_words + BUCKETS
-    ids, first, at = [], [], 0
-    for _, t in sorted((r["h"], r["t"]) for r in rows)[:docs]:
-        own = symbols_of(known, cache, t)[1]["id"]
-        if at + len(own) + 1 > TRAIN_SYMBOLS and ids:
-            continue
-        first.append(at)
-        ids += [own, [end]]
-        at += len(own) + 1
-    return train(symbols, np.concatenate(ids).astype(np.int64) if ids else np.array([end]), np.array(first or [0]))
+
+    def run(batches):
+        known = shared.value
+        cache = Cache(known.record)
+        Cache.only(cache)
+        for b in batches:
+            for start in range(0, b.num_rows, 64):
+                out: list = []
+                for h, t in zip(*(b.column(i).slice(start, 64).to_pylist() for i in (0, 1)), strict=True):
+                    own = np.append(symbols_of(known, cache, t)[1]["id"], end).astype("<u2")
+                    for at in range(0, len(own), PIECE):
+                        lead = min(at, BACK)
+                        data = own[at - lead : at + PIECE].tobytes()
+                        mixed = ((h & (1 << 64) - 1) ^ zlib.crc32(data, at)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+                        out.append(((mixed ^ mixed >> 32) - (1 << 63), lead, data))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "lead", "ids"])
+
+    return docs.select(F.xxhash64("key"), "text").mapInArrow(run, "h bigint, lead int, ids binary")
+
+
+def joined(pieces: list[tuple[int, bytes]], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of pieces (lead, ids) and the symbols before each."""
+    parts = [np.frombuffer(d, "<u2") for _, d in pieces]
+    sizes = np.array([len(p) for p in parts])
+    first = np.cumsum(sizes) - sizes
+    ids = np.concatenate(parts).astype(np.int64)
+    own = np.ones(len(ids), bool)
+    for at, (lead, _) in zip(first, pieces, strict=True):
+        own[at : at + lead] = False
+    return ids[own], contexts(ids, first, m)[own]
+
+
+def blocks(batches, most: int):
+    """(g, pieces) of rows (g, lead, ids) that come in order of g: a group's pieces, some `most` symbols at a time."""
+    g, pieces, n = None, [], 0
+    for b in batches:
+        for group, lead, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if pieces and (group != g or n >= most):
+                yield g, pieces
+                pieces, n = [], 0
+            g = group
+            pieces.append((lead, data))
+            n += len(data) // 2
+    if pieces:
+        yield g, pieces
+
+
+def fit(train_docs: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, epochs: int = EPOCHS, seed: int = 13) -> Model:
+    """Learns the neural part from all symbols of all training documents (key, text).
+
+    Documents are dealt by hash to groups of about TRAIN_SYMBOLS symbols. In every round each group goes on from the same
+    parameters by a pass over its symbols; the mean of what the groups end with, by their symbols, begins the next round.
+    """
+    m, n_groups, most = len(symbols), parts_for(known.total, TRAIN_SYMBOLS), 2 * TRAIN_SYMBOLS
+    if not known.total:
+        return train(symbols, np.array([m - 1]), np.array([0]), epochs, seed)
+    g = F.pmod("h", F.lit(n_groups)).cast("int")
+    dealt = kept.keep(coded(train_docs, known).withColumn("g", g).repartition(n_groups, "g").sortWithinPartitions("g", "h", "ids").select("g", "lead", "ids"))
+
+    def sums(value: np.ndarray, at: np.ndarray):
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000], pa.int32()), pa.array(value[i : i + 100_000], pa.float64())], names=["i", "v"])
+
+    def total(run, n: int) -> np.ndarray:
+        """Sums over all tasks of a vector of fixed size."""
+        rows = dealt.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        out = np.zeros(n)
+        out[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
+        return out
+
+    def count(batches):
+        seen = np.zeros(m * (m + 1))
+        for _, pieces in blocks(batches, most):
+            seen += pairs(*joined(pieces, m), m)
+        at = np.flatnonzero(seen)
+        yield from sums(seen[at], at)
+
+    trainer = Trainer(symbols, total(count, m * (m + 1)).reshape(m, m + 1))
+    state = trainer.start(seed)
+    for epoch in range(epochs):
+        shared = train_docs.sparkSession.sparkContext.broadcast((trainer, state))
+
+        def learn(batches, epoch: int = epoch, shared=shared):
+            trainer, begin = shared.value
+            out, group, own, n, k = np.zeros(len(begin) + 1), None, begin, 0, 0
+            for g, pieces in blocks(batches, most):
+                if g != group:
+                    out += n * np.append(own, 1.0)
+                    group, own, n, k = g, begin.copy(), 0, 0
+                ids, context = joined(pieces, m)
+                trainer.learn(own, ids, context, (seed, epoch, g, k))
+                n, k = n + len(ids), k + 1
+            out += n * np.append(own, 1.0)
+            if out[-1]:
+                yield from sums(out, np.arange(len(out)))
+
+        mean = total(learn, len(state) + 1)
+        state = (mean[:-1] / mean[-1]).astype(np.float32)
+        shared.unpersist()
+    kept.drop(dealt)
+    return trainer.model(state)
 
 
 def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -296,7 +450,7 @@ def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, text: str = "te
     seen = own.where("NOT held_out")
     counts = kept.keep(token_counts(seen.select("text")))
     known, symbols = know(counts, head)
-    model = fit(seen, known, symbols, key="key")
+    model = fit(seen.select("key", "text"), known, symbols, kept)
     shared = spark.sparkContext.broadcast((known, model))
     end = known.n_words + BUCKETS
     kind = docs.schema[key].dataType.simpleString()
