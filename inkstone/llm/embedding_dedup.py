@@ -43,13 +43,23 @@ def width_for(n: int, size: int) -> int:
     return max(1, math.ceil(math.log(max(n, 2)) / math.log(2 * size)))
 
 
-def buckets(x: np.ndarray, width: int, tables: int = TABLES, probes: int = PROBES, seed: int = SEED) -> np.ndarray:
+def reach(width: int, size: int) -> tuple[int, int]:
+    """Tables and probes: both double with each hash beyond three, and sooner in many dimensions, so that links don't get lost in large inputs."""
+    steps = max(0, width - 3 + max(0, math.ceil((size.bit_length() - 7) / 4)))
+    return TABLES << steps, PROBES << steps
+
+
+def buckets(x: np.ndarray, width: int, tables: int | None = None, probes: int | None = None, seed: int = SEED) -> np.ndarray:
     """Bucket codes (rows, tables * (1 + probes)); the table stands in the upper bits, so smaller means an earlier table.
 
+    Tables and probes follow from the width unless they are given.
+
     Codes depend on the vector alone: every task computes the same ones.
     """
     dim = x.shape[1]
     size = 1 << max(1, (dim - 1).bit_length())
+    own = reach(width, size)
+    tables, probes = own[0] if tables is None else tables, own[1] if probes is None else probes
     padded = np.zeros((len(x), size))
     padded[:, :dim] = x
     rng = np.random.default_rng(seed)
@@ -81,7 +91,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def links_within(x: np.ndarray, weight: np.ndarray, code: int, width: int, side: np.ndarray | None, cosine: float, tables: int, probes: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def links_within(x: np.ndarray, weight: np.ndarray, code: int, width: int, side: np.ndarray | None, cosine: float, tables: int | None, probes: int | None, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """(links of each row that this bucket counts, a, b): weights of linked rows, and the links' index pairs."""
     linked = x @ x.T >= cosine
     np.fill_diagonal(linked, False)
@@ -108,7 +118,7 @@ def links_within(x: np.ndarray, weight: np.ndarray, code: int, width: int, side:
     return counts, used[a], used[b]
 
 
-def near_duplicates(df: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, seed: int = SEED, tile: int = TILE, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+def near_duplicates(df: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None, seed: int = SEED, tile: int = TILE, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """key, n_links, component_id, kept: one row for each row of df.
 
     A vector that is null, empty, zero or holds null or non-finite components has no links. Vectors of different lengths

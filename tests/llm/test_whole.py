@@ -1,8 +1,9 @@
 """Operators that learn from or compare all of their input, however large."""
 
 import numpy as np
+import pytest
 
-from inkstone.llm import lm
+from inkstone.llm import embedding_dedup, lm
 from inkstone.llm.common import Kept
 
 
@@ -24,3 +25,14 @@ def test_language_model_learns_from_all_documents(spark, monkeypatch):
     assert sum(len(r.ids) // 2 - r.lead for r in pieces) == known.total == symbols.sum()
     ids, context = lm.joined([(0, np.arange(5, dtype="<u2").tobytes()), (3, np.arange(2, 8, dtype="<u2").tobytes())], 99)
     assert ids.tolist() == [0, 1, 2, 3, 4, 5, 6, 7] and context[5].tolist() == [4, 3, 2] and context[0].tolist() == [99, 99, 99]
+
+
+@pytest.mark.parametrize(("dim", "width"), [(64, 3), (64, 4), (64, 5), (256, 3)])
+def test_recall_does_not_fall_with_the_number_of_vectors(dim, width):
+    rng = np.random.default_rng(8)
+    a = embedding_dedup.unit_rows(rng.normal(size=(1000, dim)))
+    g = rng.normal(size=(1000, dim))
+    g = embedding_dedup.unit_rows(g - (g * a).sum(1, keepdims=True) * a)
+    b = 0.9 * a + (1 - 0.81) ** 0.5 * g
+    ca, cb = embedding_dedup.buckets(a, width), embedding_dedup.buckets(b, width)
+    assert np.mean([bool(np.intersect1d(x, y).size) for x, y in zip(ca, cb)]) >= 0.99
