@@ -34,13 +34,42 @@ def reservoir(rows: DataFrame, key: str, cap: int = RESERVOIR, seed: int = SEED)
     return rows.orderBy(portable_order(F.col(key), seed), key).limit(cap)
 
 
+def lowest(rows: DataFrame, key: str, room: int, seed: int = SEED, step: int = 4) -> DataFrame:
+    """The `room` rows of the smallest hashes of their keys, by a threshold that counts of hash prefixes give; no rows are sorted.
+
+    Rows of one key that can't all be taken go by a hash of the whole row; copies beyond that are alike.
+    """
+    short = F.coalesce(portable_order(F.col(key), seed), F.lit("!" * 32))  # null keys come first
+    whole = F.concat(short, F.md5(F.to_json(F.struct(*rows.columns))))
+    edge, rest = "", room
+    while rest > 0 and len(edge) < 64:
+        order = short if len(edge) + step <= 32 else whole
+        within = rows.where(F.substring(order, 1, len(edge)) == edge) if edge else rows
+        cells = within.groupBy(F.substring(order, 1, len(edge) + step).alias("cell")).count().collect()  # at most 16**step rows, and one for nulls
+        for cell, n in sorted(map(tuple, cells)):
+            if n > rest:
+                edge = cell
+                break
+            rest -= n
+        else:
+            return rows
+        if not rest:
+            break
+    order = short if len(edge) <= 32 else whole
+    below = rows.where(order < edge) if edge else rows.limit(0)
+    if not rest:
+        return below
+    alike = rows.where(order == edge).limit(1).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(rest)))).drop("__copy")
+    return below.unionByName(alike)
+
+
 def balance_cap(rows: DataFrame, key: str, positive: Column, hard: Column, ratio: float = 2.0, seed: int = SEED) -> DataFrame:
     """All positives and hard negatives, and easy negatives up to max(0, max(pos, round(ratio * pos)) - hard)."""
     marked = rows.withColumn("__kind", F.when(positive, 0).when(hard, 1).otherwise(2))
     counts = {r["__kind"]: r["count"] for r in marked.groupBy("__kind").count().collect()}  # three rows at most
     pos, n_hard = counts.get(0, 0), counts.get(1, 0)
     room = max(0, max(pos, round(ratio * pos)) - n_hard)
-    easy = marked.where("__kind = 2").orderBy(portable_order(F.col(key), seed), key).limit(room)
+    easy = lowest(marked.where("__kind = 2"), key, room, seed)
     return marked.where("__kind < 2").unionByName(easy).drop("__kind")
 
 
