@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from inkstone.operators import evaluate
+from inkstone.operators import classify, evaluate
 
 
 @pytest.mark.parametrize("positives", [0, 1, 37, 200, 600])
@@ -16,3 +16,18 @@ def test_balance_takes_the_lowest_hashes_without_a_limit(spark, positives):
     assert out.where("pos").count() == positives and easy.exceptAll(rows).count() == 0
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrdered" not in plan and "Sort" not in plan
+
+
+def test_large_banks_are_split_into_blocks_with_the_same_results(spark, monkeypatch):
+    wave = lambda c: F.array(*[F.round(F.sin(F.col(c) * (i + 1.3)), 3) for i in range(4)])
+    x = spark.range(30).select((F.col("id") % 20).alias("id"), wave("id").alias("v"))
+    bank = spark.range(200).select(F.concat(F.lit("l"), (F.col("id") % 7).cast("string")).alias("label"), wave("id").alias("v"))
+    bank = bank.unionByName(bank.limit(5))  # equal entries
+    stats = spark.createDataFrame([([0.0] * 4, [1.0, 2.0, 1.0, 0.5])], "mean array<double>, std array<double>")
+    runs = lambda: [sorted((r.id, r.label, round(r.similarity, 9), round(r.margin, 9)) for r in f.collect()) for f in (classify.prototype_match(x, bank), classify.shape_match(x, bank, stats))]
+    small = runs()
+    monkeypatch.setattr(classify, "BANK_ROWS", 20)
+    monkeypatch.setattr(classify, "BLOCK_ROWS", 9)
+    assert runs() == small
+    entries, n = classify._blocks(bank.select("label", F.col("v").alias("x")), 3)
+    assert n == 23 and entries.count() == 205 and entries.groupBy("block").count().agg(F.max("count")).first()[0] < 40
