@@ -48,10 +48,15 @@ def map_arrow(df: DataFrame, schema: str, fn: Callable[[dict[str, list]], dict[s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; in local mode a temporary one where none is set.
+
+    Needs a classic session: Spark Connect has no context to ask.
+    """
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
@@ -63,20 +68,37 @@ class Kept:
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: set[str] = set()
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Writes df as Parquet and reads it again: cuts the lineage."""
+    def keep(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """Writes df as Parquet, in folders by a column's values if one is given, and reads it again: cuts the lineage."""
         schema = df.schema
-        df.write.parquet(path := f"{self.top}/{self.n}")
+        (df.write.partitionBy(by) if by else df.write).parquet(path := f"{self.top}/{self.n}")
         self.n += 1
+        self.paths.add(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._kept_at = path
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a kept table that nothing reads any more."""
+        self.paths.discard(df._kept_at)
         drop_path(self.spark, df._kept_at)
 
+    def only(self, *wanted: DataFrame) -> None:
+        """Deletes all kept tables but those that the result still reads."""
+        for path in self.paths - {df._kept_at for df in wanted}:
+            self.paths.discard(path)
+            drop_path(self.spark, path)
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """name, or a longer one that no column has (in any case of letters)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
 
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm

@@ -4,8 +4,9 @@ The model's symbols are the most frequent words, buckets of all other words by t
 text. The symbols before a position, each scaled for its distance, add up to a predicted vector. Its products with
 class vectors and with the vectors of a class's symbols give the next symbol; both levels are trained by telling data
 from noise and normalised over their whole range, in batched matrix products. A bucket's word follows by its smoothed
-share of the bucket, so every text has a proper probability. Groups of documents learn side by side, and their
-parameters are averaged after every pass, so the model learns from every symbol of every training document.
+share of the bucket, so every text has a proper probability. Groups of pieces of documents learn side by side, and their
+parameters are averaged after each of a few rounds. The rounds share out all pieces of all training documents, so the
+model learns from every symbol once; a small corpus is gone through several times.
 
 Counts cover all training texts. Words of the `HEAD` largest counts are looked up in every task, a table of bounded
 size; all others meet their counts in a join, however many there are.
@@ -31,10 +32,15 @@ from inkstone.llm.common import Kept, crc_mod, parts_for, widen
 FOLDS = 10
 HEAD = 131_072
 WORDS, BUCKETS = 1023, 512
-LEVELS, SIZE, BACK = 6, 24, 3
-#: Symbols of a group that learns on its own within a round, about, and of a piece of a text; all symbols are learned from.
-TRAIN_SYMBOLS, PIECE = 600_000, 65_536
-EPOCHS, NOISE = 3, 10
+LEVELS, SIZE, BACK = 5, 24, 3
+#: Symbols of a group that learns on its own, about, and of a piece of a text; all symbols of all groups are learned from.
+TRAIN_SYMBOLS, PIECE = 2_400_000, 65_536
+#: Symbols to learn from at least: smaller corpora are gone through several times.
+LEAST_SYMBOLS = 600_000
+#: A pass over the training texts has so many rounds, each over texts of its own, after which groups are averaged.
+ROUNDS, NOISE = 3, 10
+#: Rows and columns of the counts that symbols are put into classes by: preceding symbols are taken modulo this.
+SKETCH = 256
 ALPHA = 0.1
 END = " "  # no word
 
@@ -87,30 +93,34 @@ class Model:
     vectors: list[np.ndarray]  # of each class's members
     bias: list[np.ndarray]
 
-    def log10(self, ids: np.ndarray, context: np.ndarray, together: int = 32_768) -> np.ndarray:
+    def log10(self, ids: np.ndarray, context: np.ndarray, together: int = 16_384) -> np.ndarray:
         """log10 probability of each symbol after the BACK symbols before it (rows of context, nearest first)."""
         out = np.empty(len(ids))
+        small = self.cls.astype(np.int16)
         for at in range(0, len(ids), together):
-            x, y = context[at : at + together], ids[at : at + together]
+            y, x = ids[at : at + together], context[at : at + together]
+            order = np.argsort(small[y], kind="stable")  # class by class
+            y, x = y[order], x[order]
+            c, place = small[y], self.place[y]
             q = self.back[0][x[:, 0]]
             for i in range(1, BACK):
-                q = q + self.back[i][x[:, i]]
-            s = q @ self.class_vectors.T + self.class_bias
-            top = s.max(1, keepdims=True)
-            c = self.cls[y]
-            lp = s[np.arange(len(y)), c] - top[:, 0] - np.log(np.exp(s - top).sum(1))
-            order = np.argsort(c, kind="stable")
-            bounds = np.searchsorted(c[order], np.arange(len(self.members) + 1))
-            for k in range(len(self.members)):
-                rows = order[bounds[k] : bounds[k + 1]]
-                if len(rows):
-                    t = q[rows] @ self.vectors[k].T + self.bias[k]
-                    high = t.max(1, keepdims=True)
-                    lp[rows] += t[np.arange(len(rows)), self.place[y[rows]]] - high[:, 0] - np.log(np.exp(t - high).sum(1))
-            out[at : at + together] = lp
+                q += self.back[i][x[:, i]]
+            lp = _log_softmax_at(q @ self.class_vectors.T + self.class_bias, c)
+            bounds = np.searchsorted(c, np.arange(len(self.members) + 1)).tolist()
+            for k, (i, j) in enumerate(zip(bounds, bounds[1:])):  # noqa: B905
+                if i < j:
+                    lp[i:j] += _log_softmax_at(q[i:j] @ self.vectors[k].T + self.bias[k], place[i:j])
+            out[at + order] = lp
         return out / math.log(10)
 
 
+def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row's scores at one place; overwrites scores."""
+    scores -= scores.max(1, keepdims=True)
+    own = scores[np.arange(len(at)), at]
+    return own - np.log(np.exp(scores, out=scores).sum(1))
+
+
 def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     """The BACK symbols before each position, nearest first; `start` before a text's beginning. first: where texts begin."""
     n = len(ids)
@@ -125,8 +135,8 @@ def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
 
 
 def pairs(ids: np.ndarray, context: np.ndarray, m: int) -> np.ndarray:
-    """How often each symbol stands after each symbol or start, at any of the BACK distances (m x (m + 1), flat)."""
-    return np.bincount((ids[:, None] * (m + 1) + context).ravel(), minlength=m * (m + 1))
+    """How often each symbol stands after symbols of each remainder modulo SKETCH, at any of the BACK distances (m x SKETCH, flat)."""
+    return np.bincount((ids[:, None] * SKETCH + context % SKETCH).ravel(), minlength=m * SKETCH)
 
 
 def classes(seen: np.ndarray, levels: int = LEVELS) -> np.ndarray:
@@ -174,13 +184,8 @@ class Trainer:
         of_class = np.bincount(self.cls, p, k)
         share = of_class / of_class.sum()
         self.log_class, self.noise_class = np.log(share).astype(np.float32), (NOISE * share).astype(np.float32)
-        width = max(map(len, self.members))
-        self.slot = self.cls * width + self.place  # in tables of a row for each class
-        self.by_class = np.concatenate(self.members)
-        own = np.zeros(k * width)
-        own[self.slot] = p / of_class[self.cls]
-        self.noise_own = (NOISE * own).reshape(k, width).astype(np.float32)
-        self.log_own = np.log(p / of_class[self.cls])[self.by_class].astype(np.float32)
+        own = (p / of_class[self.cls])[np.concatenate(self.members)]  # class by class
+        self.noise_own, self.log_own = (NOISE * own).astype(np.float32), np.log(own).astype(np.float32)
         self.shapes = {"r": (m + 1, SIZE), "c": (BACK, SIZE), "qc": (k, SIZE), "bc": (k,), "qw": (m, SIZE), "bw": (m,)}
         self.size = sum(map(math.prod, self.shapes.values()))
 
@@ -200,52 +205,57 @@ class Trainer:
         state[self.size :] = 1e-2
         return state
 
-    def learn(self, state: np.ndarray, ids: np.ndarray, context: np.ndarray, seed: object, batch: int = 2048, rate: float = 0.15) -> None:
-        """One pass over the symbols ids, in random order; changes state."""
+    def learn(self, state: np.ndarray, ids: np.ndarray, context: np.ndarray, seed: object, rate: float = 0.15) -> None:
+        """One pass over the symbols ids, in random order and about a hundred steps; changes state."""
+        batch = min(8192, max(256, len(ids) // 100))
         w, g2 = self.views(state), self.views(state[self.size :])
         cls16, f, log_noise = self.cls.astype(np.int16), np.float32, np.float32(math.log(NOISE))
-        tables = self.noise_own.shape[1]
-        sigmoid = lambda s: 1 / (1 + np.exp(-np.clip(s, -40, 40)))
+        dims, flat = np.arange(SIZE), self.shapes["r"][0] * SIZE
 
         def step(name: str, grad: np.ndarray, rate: float = rate) -> None:
-            g2[name] += grad**2
+            g2[name] += grad * grad
             w[name] += f(rate) * grad / np.sqrt(g2[name])
 
+        def told_apart(minus: np.ndarray, noise: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """Gradients of data (at) and noise (everywhere) from scores with their signs turned; overwrites them."""
+            with np.errstate(over="ignore"):
+                d = np.divide(-noise, np.add(np.exp(minus, out=minus), f(1), out=minus), out=minus)
+            rows = np.arange(len(at))
+            true = d[rows, at]
+            d[rows, at] = true + 1 + true / noise[at]
+            return d
+
         order = np.random.default_rng(seed).permutation(len(ids))
         for b in range(0, len(order), batch):
             some = order[b : b + batch]
             some = some[np.argsort(cls16[ids[some]], kind="stable")]
             y, x = ids[some], context[some]
-            n, c, place, rows = len(y), self.cls[y], self.place[y], np.arange(len(y))
-            r = w["r"][x]
-            q = (r * w["c"]).sum(1)
-            p = sigmoid(q @ w["qc"].T + (w["bc"] - self.log_class - log_noise))
-            d = -self.noise_class * p
-            d[rows, c] += 1 - p[rows, c]  # data for the true one, noise for all
+            c, place = self.cls[y], self.place[y]
+            back = w["r"] * w["c"][:, None, :]
+            q = back[0][x[:, 0]]
+            for i in range(1, BACK):
+                q += back[i][x[:, i]]
+            minus = -q
+            d = told_apart(minus @ w["qc"].T - (w["bc"] - self.log_class - log_noise), self.noise_class, c)
             d_q = d @ w["qc"]
             grad_c, bias_c = d.T @ q, d.sum(0)
-            bias = np.zeros(self.noise_own.size, f)
-            bias[self.slot[self.by_class]] = w["bw"] - self.log_own - log_noise
-            s = np.zeros((n, tables), f)
-            bounds = np.searchsorted(c, np.arange(self.k + 1))
-            spans = [(bounds[i], bounds[i + 1], self.low[i], self.low[i + 1]) for i in range(self.k) if bounds[i] < bounds[i + 1]]
-            for i, j, lo, hi in spans:
-                np.matmul(q[i:j], w["qw"][lo:hi].T, out=s[i:j, : hi - lo])
-            p = sigmoid(s + bias.reshape(self.k, tables)[c])
-            d = -self.noise_own[c] * p
-            d[rows, place] += 1 - p[rows, place]
             grad, grad_bias = np.zeros_like(w["qw"]), np.zeros_like(w["bw"])
-            for i, j, lo, hi in spans:
-                e = d[i:j, : hi - lo]
-                d_q[i:j] += e @ w["qw"][lo:hi]
-                grad[lo:hi] = e.T @ q[i:j]
-                grad_bias[lo:hi] = e.sum(0)
-            at = x.ravel()
-            sort = np.argsort(at.astype(np.int16), kind="stable")
-            first = np.flatnonzero(np.diff(at[sort], prepend=-1))
-            grad_r = np.zeros_like(w["r"])
-            grad_r[at[sort][first]] = np.add.reduceat((d_q[:, None, :] * w["c"]).reshape(-1, SIZE)[sort], first, axis=0)
-            d_c = (d_q[:, None, :] * r).sum(0)
+            shift = w["bw"] - self.log_own - log_noise
+            bounds = np.searchsorted(c, np.arange(self.k + 1)).tolist()
+            for k in range(self.k):
+                i, j, lo, hi = bounds[k], bounds[k + 1], self.low[k], self.low[k + 1]
+                if i < j:
+                    v = w["qw"][lo:hi]
+                    e = told_apart(minus[i:j] @ v.T - shift[lo:hi], self.noise_own[lo:hi], place[i:j])
+                    d_q[i:j] += e @ v
+                    grad[lo:hi] = e.T @ q[i:j]
+                    grad_bias[lo:hi] = e.sum(0)
+            grad_r, d_c = np.zeros_like(w["r"]), np.zeros_like(w["c"])
+            wide = d_q.astype(np.float64).ravel()
+            for i in range(BACK):
+                sums = np.bincount((x[:, i, None] * SIZE + dims).ravel(), wide, flat).astype(f).reshape(-1, SIZE)
+                d_c[i] = (sums * w["r"]).sum(0)
+                grad_r += sums * w["c"][i]
             for name, value in (("qc", grad_c), ("bc", bias_c), ("qw", grad), ("bw", grad_bias), ("r", grad_r)):
                 step(name, value)
             step("c", d_c, rate * 0.1)
@@ -256,11 +266,11 @@ class Trainer:
         return Model(self.m, self.cls, self.place, self.members, w["c"][:, None, :] * w["r"][None], w["qc"].copy(), w["bc"].copy(), own(w["qw"]), own(w["bw"]))
 
 
-def train(counts: np.ndarray, ids: np.ndarray, first: np.ndarray, epochs: int = EPOCHS, seed: int = 13) -> Model:
+def train(counts: np.ndarray, ids: np.ndarray, first: np.ndarray, epochs: int = 3, seed: int = 13) -> Model:
     """Learns from the symbols ids of texts that begin at `first`, in one process; counts: of all symbols in all training texts."""
     m = len(counts)
     context = contexts(ids, first, m)
-    trainer = Trainer(counts, pairs(ids, context, m).reshape(m, m + 1))
+    trainer = Trainer(counts, pairs(ids, context, m).reshape(m, SKETCH))
     state = trainer.start(seed)
     for epoch in range(epochs):
         trainer.learn(state, ids, context, (seed, epoch, 0))
@@ -328,34 +338,60 @@ def symbols_of(known: Known, cache: Cache, text: str | None) -> tuple[list[bytes
 
 
 def coded(docs: DataFrame, known: Known) -> DataFrame:
-    """h, lead, ids: all texts of docs (key, text) as symbols, in pieces of at most PIECE; `lead` of them only come before.
+    """docs (key, text, held_out) as symbols: one row for each row, and what is known of its base score without a join.
 
-    The hash h depends on the row and the piece, not on how rows are dealt to tasks.
+    row: a number of its own; pieces: the symbols in order, PIECE to a piece, each after the first led by the BACK
+    symbols before it; base, n_known: of head words and the end; inner: log10 of head words' shares of their buckets;
+    words, times: words that only the join knows, which add to base and inner alike.
     """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     shared = docs.sparkSession.sparkContext.broadcast(known)
     end = known.n_words + BUCKETS
+    kind = docs.schema["key"].dataType.simpleString()
+    types = StructType.fromDDL(f"row bigint, key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, inner double, pieces array<binary>, words array<string>, times array<bigint>")
+    schema = to_arrow_schema(types)
 
     def run(batches):
         known = shared.value
         cache = Cache(known.record)
         Cache.only(cache)
+        row = TaskContext.get().partitionId() << 40
+        log_end = math.log10(known.ends + ALPHA)
+        rows: list[tuple] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
         for b in batches:
-            for start in range(0, b.num_rows, 64):
-                out: list = []
-                for h, t in zip(*(b.column(i).slice(start, 64).to_pylist() for i in (0, 1)), strict=True):
-                    own = np.append(symbols_of(known, cache, t)[1]["id"], end).astype("<u2")
-                    for at in range(0, len(own), PIECE):
-                        lead = min(at, BACK)
-                        data = own[at - lead : at + PIECE].tobytes()
-                        mixed = ((h & (1 << 64) - 1) ^ zlib.crc32(data, at)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
-                        out.append(((mixed ^ mixed >> 32) - (1 << 63), lead, data))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "lead", "ids"])
+            for at in range(0, b.num_rows, 64):
+                for key, text, held in zip(*(b.column(i).slice(at, 64).to_pylist() for i in range(3)), strict=True):
+                    found, record = symbols_of(known, cache, text)
+                    ids, log = record["id"], record["log"]
+                    missing = np.isnan(log)
+                    tail = Counter(found[i] for i in np.flatnonzero(missing))
+                    logs = np.where(missing, 0.0, log)
+                    other = np.flatnonzero(ids >= known.n_words)
+                    inner = float(logs[other].sum() - known.bucket_log[ids[other] - known.n_words].sum())
+                    n = len(found) + 1
+                    own = np.append(ids, end).astype("<u2")
+                    pieces = [own[max(p - BACK, 0) : p + PIECE].tobytes() for p in range(0, n, PIECE)]
+                    row += 1
+                    rows.append((row, key, held, n, n - 1 - int(missing.sum()) + (known.ends > 0), float(logs.sum()) + log_end - n * known.log_total, inner, pieces, [w.decode() for w in tail], list(tail.values())))
+                    size += n
+                    if len(rows) >= 256 or size >= 1_000_000:
+                        yield out()
+                        rows, size = [], 0
+        if rows:
+            yield out()
 
-    return docs.select(F.xxhash64("key"), "text").mapInArrow(run, "h bigint, lead int, ids binary")
+    return docs.select("key", "text", "held_out").mapInArrow(run, types)
 
 
 def joined(pieces: list[tuple[int, bytes]], m: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of pieces (lead, ids) and the symbols before each."""
+    """Symbols of pieces (lead, ids) and the symbols before each; the first `lead` of a piece only come before."""
     parts = [np.frombuffer(d, "<u2") for _, d in pieces]
     sizes = np.array([len(p) for p in parts])
     first = np.cumsum(sizes) - sizes
@@ -363,7 +399,8 @@ def joined(pieces: list[tuple[int, bytes]], m: int) -> tuple[np.ndarray, np.ndar
     own = np.ones(len(ids), bool)
     for at, (lead, _) in zip(first, pieces, strict=True):
         own[at : at + lead] = False
-    return ids[own], contexts(ids, first, m)[own]
+    before = contexts(ids, first, m)
+    return (ids, before) if own.all() else (ids[own], before[own])
 
 
 def blocks(batches, most: int):
@@ -381,42 +418,47 @@ def blocks(batches, most: int):
         yield g, pieces
 
 
-def fit(train_docs: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, epochs: int = EPOCHS, seed: int = 13) -> Model:
-    """Learns the neural part from all symbols of all training documents (key, text).
+def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds: int = ROUNDS, seed: int = 13) -> Model:
+    """Learns the neural part from all symbols of texts (row, pieces: as `coded` has them), each of its `rounds` from a share of them.
 
-    Documents are dealt by hash to groups of about TRAIN_SYMBOLS symbols. In every round each group goes on from the same
-    parameters by a pass over its symbols; the mean of what the groups end with, by their symbols, begins the next round.
+    Pieces are dealt by hash to rounds and groups; a group has about TRAIN_SYMBOLS symbols in all. In a round every
+    group goes on from the same parameters over its pieces; the mean of what the groups end with, by their symbols, begins
+    the next round. Where all texts have fewer than LEAST_SYMBOLS, a round goes over its pieces several times.
     """
-    m, n_groups, most = len(symbols), parts_for(known.total, TRAIN_SYMBOLS), 2 * TRAIN_SYMBOLS
+    m, n_groups, most = len(symbols), parts_for(known.total, TRAIN_SYMBOLS), TRAIN_SYMBOLS // 2
     if not known.total:
-        return train(symbols, np.array([m - 1]), np.array([0]), epochs, seed)
-    g = F.pmod("h", F.lit(n_groups)).cast("int")
-    dealt = kept.keep(coded(train_docs, known).withColumn("g", g).repartition(n_groups, "g").sortWithinPartitions("g", "h", "ids").select("g", "lead", "ids"))
+        return train(symbols, np.array([m - 1]), np.array([0]), 1, seed)
+    passes = parts_for(LEAST_SYMBOLS, known.total)
+    dealt = texts.select("row", F.posexplode("pieces").alias("piece", "ids")).withColumn("h", F.xxhash64("row", "piece"))
+    dealt = dealt.select(
+        F.pmod("h", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftright("h", 20), F.lit(n_groups)).cast("int").alias("g"), F.when(F.col("piece") > 0, BACK).otherwise(0).alias("lead"), "ids", "h"
+    )
+    dealt = kept.keep(dealt.repartition(n_groups, "g").sortWithinPartitions("round", "g", "h").drop("h"), "round")
 
     def sums(value: np.ndarray, at: np.ndarray):
         for i in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000], pa.int32()), pa.array(value[i : i + 100_000], pa.float64())], names=["i", "v"])
 
-    def total(run, n: int) -> np.ndarray:
+    def total(rows: DataFrame, run, n: int) -> np.ndarray:
         """Sums over all tasks of a vector of fixed size."""
-        rows = dealt.mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        found = rows.select("g", "lead", "ids").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         out = np.zeros(n)
-        out[rows.column("i").to_numpy()] = rows.column("v").to_numpy()
+        out[found.column("i").to_numpy()] = found.column("v").to_numpy()
         return out
 
     def count(batches):
-        seen = np.zeros(m * (m + 1))
+        seen = np.zeros(m * SKETCH)
         for _, pieces in blocks(batches, most):
             seen += pairs(*joined(pieces, m), m)
         at = np.flatnonzero(seen)
         yield from sums(seen[at], at)
 
-    trainer = Trainer(symbols, total(count, m * (m + 1)).reshape(m, m + 1))
+    trainer = Trainer(symbols, total(dealt, count, m * SKETCH).reshape(m, SKETCH))
     state = trainer.start(seed)
-    for epoch in range(epochs):
-        shared = train_docs.sparkSession.sparkContext.broadcast((trainer, state))
+    for r in range(rounds):
+        shared = texts.sparkSession.sparkContext.broadcast((trainer, state))
 
-        def learn(batches, epoch: int = epoch, shared=shared):
+        def learn(batches, r: int = r, shared=shared):
             trainer, begin = shared.value
             out, group, own, n, k = np.zeros(len(begin) + 1), None, begin, 0, 0
             for g, pieces in blocks(batches, most):
@@ -424,80 +466,66 @@ def fit(train_docs: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, ep
                     out += n * np.append(own, 1.0)
                     group, own, n, k = g, begin.copy(), 0, 0
                 ids, context = joined(pieces, m)
-                trainer.learn(own, ids, context, (seed, epoch, g, k))
+                for again in range(passes):
+                    trainer.learn(own, ids, context, (seed, r, g, k, again))
                 n, k = n + len(ids), k + 1
             out += n * np.append(own, 1.0)
             if out[-1]:
                 yield from sums(out, np.arange(len(out)))
 
-        mean = total(learn, len(state) + 1)
-        state = (mean[:-1] / mean[-1]).astype(np.float32)
+        mean = total(dealt.where(F.col("round") == r), learn, len(state) + 1)
+        if mean[-1]:
+            state = (mean[:-1] / mean[-1]).astype(np.float32)
         shared.unpersist()
     kept.drop(dealt)
     return trainer.model(state)
 
 
+def log_probabilities(texts: DataFrame, model: Model) -> DataFrame:
+    """texts (as `coded` has them) with neural: log10 probability of each text's symbols; words, times and pieces fall out."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    own = texts.select("row", "key", "held_out", "n_tokens", "n_known", "base", "inner", "pieces")
+    types = own.drop("pieces").schema.add("neural", "double")
+    schema = to_arrow_schema(types)
+
+    def run(batches):
+        model = shared.value
+        for b in batches:
+            found: list[float] = []
+            for at in range(0, b.num_rows, 128):
+                texts = b.column(b.num_columns - 1).slice(at, 128).to_pylist()
+                pieces = [(BACK if i else 0, p) for t in texts for i, p in enumerate(t)]
+                ids, context = joined(pieces, model.symbols)
+                sizes = np.array([sum(len(p) // 2 for p in t) - BACK * (len(t) - 1) for t in texts])
+                found += np.add.reduceat(model.log10(ids, context), np.cumsum(sizes) - sizes).tolist()
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.float64())], schema=schema)
+
+    return own.mapInArrow(run, types)
+
+
 def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each row of docs.
 
     A null text counts as the empty one, whose only token is the end; repeated rows are counted and scored each for
     itself. Without training documents all counts are zero. A null key counts as the empty text when folds are dealt
-    (and so is held out). Other columns aren't read.
+    (and so is held out). Other columns aren't read. The last digits of score depend on which rows a task reads, as
+    pieces are dealt to groups by their rows' numbers: a group of copies then never gathers in one task.
     """
-    spark = docs.sparkSession
-    kept = Kept(spark)
+    kept = Kept(docs.sparkSession)
     own = widen(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).withColumn("held_out", crc_mod("key", folds) == 0)
-    seen = own.where("NOT held_out")
-    counts = kept.keep(token_counts(seen.select("text")))
+    counts = kept.keep(token_counts(own.where("NOT held_out").select("text")))
     known, symbols = know(counts, head)
-    model = fit(seen.select("key", "text"), known, symbols, kept)
-    shared = spark.sparkContext.broadcast((known, model))
-    end = known.n_words + BUCKETS
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches):
-        known, model = shared.value
-        cache = Cache(known.record)
-        Cache.only(cache)
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            c = batch.to_pydict()
-            for at in range(0, batch.num_rows, 256):
-                texts = c["text"][at : at + 256]
-                rows = {n: [] for n in ("row", "key", "held_out", "n_tokens", "n_known", "base", "score", "word", "n")}
-                ids, sums, sizes, rest = [], [], [], []
-                for t in texts:
-                    found, record = symbols_of(known, cache, t)
-                    missing = np.isnan(record["log"])
-                    tail = Counter(found[i] for i in np.flatnonzero(missing))
-                    other = (record["id"] >= known.n_words).nonzero()[0]
-                    logs = np.where(missing, 0.0, record["log"])
-                    sums.append((float(logs.sum()) + math.log10(known.ends + ALPHA), float(logs[other].sum() - known.bucket_log[record["id"][other] - known.n_words].sum()), len(found) + 1, int((~missing).sum()) + (known.ends > 0)))
-                    ids += [record["id"], [end]]
-                    sizes.append(len(found) + 1)
-                    rest.append(tail)
-                ids = np.concatenate(ids).astype(np.int64)
-                first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                lp = np.add.reduceat(model.log10(ids, contexts(ids, first, model.symbols)), first)
-                for i, (base, inner, n, n_known) in enumerate(sums):
-                    row += 1
-                    for name, value in zip(rows, (row, c["key"][at + i], c["held_out"][at + i], n, n_known, base - n * known.log_total, float(lp[i]) + inner, None, None), strict=True):
-                        rows[name].append(value)
-                    for word, n in rest[i].items():
-                        for name, value in zip(rows, (row, None, None, None, None, None, None, word.decode(), n), strict=True):
-                            rows[name].append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(rows.values(), schema, strict=True)], schema=schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    types = StructType.fromDDL(f"row bigint, key {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word string, n bigint")
-    schema = to_arrow_schema(types)
-    parts = kept.keep(own.mapInArrow(run, types))
+    texts = kept.keep(coded(own, known))
+    model = fit(texts.where("NOT held_out"), known, symbols, kept)
+    scored = kept.keep(log_probabilities(texts, model))
     # words outside the head meet their counts; the end and head words have met theirs
-    tail = parts.where("word IS NOT NULL").select("row", "word", "n").join(counts.select(F.col("word").alias("word_"), "c"), F.col("word") == F.col("word_"), "left")
+    tail = texts.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("n"))
+    tail = tail.join(counts.select(F.col("word").alias("word_"), "c"), F.col("word") == F.col("word_"), "left")
     c = F.coalesce("c", F.lit(0))
-    tail = tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + ALPHA)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"))
-    out = parts.where("word IS NULL").join(tail, "row", "left")
+    more = kept.keep(tail.groupBy("row").agg(F.sum(F.col("n") * F.log10(c + ALPHA)).alias("more"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known")))
+    kept.only(scored, more)
+    out = scored.join(more, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return out.select(F.col("key").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(known.total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return out.select(F.col("key").alias(key), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(known.total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("neural") + F.col("inner") + more).alias("score"))
