@@ -14,12 +14,13 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm import bpe
-from inkstone.llm.common import map_arrow, parts_for
+from inkstone.llm.common import Kept, map_arrow, parts_for, widen
 
 LENGTH = 2048
 #: Pieces of a packing group, about.
@@ -93,28 +94,30 @@ def pieces(df: DataFrame, path: str = bpe.DEFAULT, end_id: int = 0, length: int
 
 
 def pack(rows: DataFrame, groups: int, length: int = LENGTH, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS, key: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to rows of pieces (key, piece, start, length, ids_crc32).
+    """Adds sequence_id and offset to rows of pieces (key, piece, start, length, ids_crc32), read from a stored table.
 
-    `groups` groups are dealt by a hash of the piece, so that none is large whatever keys repeat. Rows that repeat
-    are pieces of their own. An empty table gives an empty one.
+    `groups` groups are dealt by the rows' places in the table, so that none is large whatever keys or rows repeat.
+    Rows that repeat are pieces of their own. Keys may be null; they are carried as they are. An empty table gives an
+    empty one.
     """
+    fields = [key, "piece", "start", "length", "ids_crc32"]
 
-    def one(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", key, "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        bins, offsets = best_fit(pdf["length"].to_numpy(), length, max_docs, max_cost, rule, weights)
-        return pdf.assign(sequence_id=(int(group[0]) << 32) + bins, offset=offsets).drop(columns="packing_group")
+    def one(group: tuple, t: pa.Table) -> pa.Table:
+        order = [("length", "descending"), *((c, "ascending") for c in (key, "piece", "ids_crc32"))]
+        t = t.select(fields).take(pc.sort_indices(t, sort_keys=order, null_placement="at_end"))
+        bins, offsets = best_fit(t.column("length").to_numpy(), length, max_docs, max_cost, rule, weights)
+        return t.append_column("sequence_id", pa.array((group[0].as_py() << 32) + bins, pa.int64())).append_column("offset", pa.array(offsets, pa.int64()))
 
-    schema = f"{key} {rows.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
-    dealt = rows.withColumn("packing_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32", "start"), F.lit(groups)))
-    return dealt.groupBy("packing_group").applyInPandas(one, schema)
+    schema = f"`{key}` {rows.schema[key].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
+    dealt = rows.select(*fields, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).alias("packing_group"))
+    return dealt.groupBy("packing_group").applyInArrow(one, schema)
 
 
 def pack_documents(df: DataFrame, path: str = bpe.DEFAULT, end_id: int = 0, length: int = LENGTH, group: int = GROUP, text: str = "text", key: str = "doc_id", **rules) -> DataFrame:
     """Encodes and packs all rows of df: one row for each piece.
 
     Null and empty texts are the single token end_id. Repeated rows are packed once each. Only `key` and `text` are read.
+    Pieces are written down first: their number says how many groups there are, and texts are encoded once.
     """
-    from inkstone.llm.common import widen
-
-    groups = parts_for(df.select(key).count(), group)
-    return pack(pieces(widen(df.select(key, text)), path, end_id, length, text, key), groups, length, key=key, **rules)
+    placed = Kept(df.sparkSession).keep(pieces(widen(df.select(key, text)), path, end_id, length, text, key))
+    return pack(placed, parts_for(placed.count(), group), length, key=key, **rules)
