@@ -27,7 +27,8 @@ def _smallest(pairs: DataFrame, with_self: bool) -> DataFrame:
 def components(edges: DataFrame, kept: Kept, rounds: int = 100) -> DataFrame:
     """(node, component) for every node of edges (a, b: bigint); component is the smallest node reachable.
 
-    Loops and repeated edges do no harm; nulls are left out. No edges: no rows.
+    Loops and repeated edges do no harm; nulls are left out. No edges: no rows. Rounds grow with the logarithm of the
+    longest path; if `rounds` aren't enough, that is an error.
     """
     now = kept.keep(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -49,4 +50,8 @@ def components(edges: DataFrame, kept: Kept, rounds: int = 100) -> DataFrame:
         kept.drop(now)
         kept.drop(large)
         now = then
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    else:
+        raise RuntimeError(f"components haven't settled after {rounds} rounds")
+    out = kept.keep(now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    kept.drop(now)
+    return out

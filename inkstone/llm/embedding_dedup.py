@@ -5,12 +5,14 @@ cross-polytope: the coordinate of largest magnitude and its sign. `width` hashes
 stands in its home bucket and, by multiprobe, in the buckets that the next-best corners give. Pairs within a bucket are
 candidates; each is verified by its cosine in double precision, in tiles of bounded size.
 
-Equal vectors are one node from the start. A verified pair counts in the smallest bucket that its vectors share, so that
-links are counted once without a list of pairs: buckets give sums for each vector and a spanning forest.
+Equal vectors are one node from the start. Ids and codes find the buckets that two vectors or more share; only for those
+do vectors travel. A verified pair counts in the smallest bucket that its vectors share, so that links are counted once
+without a list of pairs: buckets give sums for each vector and a spanning forest.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -24,7 +26,8 @@ from inkstone.llm.components import components
 from inkstone.llm.tiles import forest, map_units, units
 
 COSINE = 0.9
-TABLES, PROBES, SEED = 8, 4, 7
+#: Share of pairs at the very limit that must meet in a bucket, and numbers of further buckets that a table may probe.
+RECALL, PROBES, SEED = 0.998, (4, 8, 16, 32), 7
 TILE = 2048
 
 
@@ -40,30 +43,55 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def width_for(n: int, size: int) -> int:
     """Hashes of a bucket, so that a bucket holds a few of n vectors that aren't alike."""
-    return max(1, math.ceil(math.log(max(n, 2)) / math.log(2 * size)))
+    return max(1, math.ceil(math.log(max(1.25 * n, 2)) / math.log(2 * size)))
 
 
-def reach(width: int, size: int) -> tuple[int, int]:
-    """Tables and probes: both double with each hash beyond three, and sooner in many dimensions, so that links don't get lost in large inputs."""
-    steps = max(0, width - 3 + max(0, math.ceil((size.bit_length() - 7) / 4)))
-    return TABLES << steps, PROBES << steps
+def pairs_at(cosine: float, dim: int, n: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """n random pairs of unit vectors of a given cosine."""
+    rng = np.random.default_rng(seed)
+    a = unit_rows(rng.normal(size=(n, dim)))
+    g = rng.normal(size=(n, dim))
+    g -= (g * a).sum(1, keepdims=True) * a
+    return a, cosine * a + math.sqrt(1 - cosine * cosine) * unit_rows(g)
 
 
-def buckets(x: np.ndarray, width: int, tables: int | None = None, probes: int | None = None, seed: int = SEED) -> np.ndarray:
-    """Bucket codes (rows, tables * (1 + probes)); the table stands in the upper bits, so smaller means an earlier table.
+@functools.cache
+def reach(width: int, dim: int, cosine: float = COSINE, recall: float = RECALL, seed: int = SEED) -> tuple[int, int, int]:
+    """(width, tables, probes) that bring `recall` of pairs at the very limit `cosine` together, by simulation, at the fewest rows.
+
+    Tables and probes follow the width, so links don't get lost in large inputs. Where few dimensions don't allow the
+    width, it is made smaller, and tiles take the larger buckets.
+    """
+    if dim == 1:  # equal signs are all that counts
+        return 1, 1, 0
+    a, b = pairs_at(cosine, dim, 500)
+    for w in range(width, 0, -1):
+        for tables in (16, 48):
+            ca, cb = (buckets(x, w, tables, PROBES[-1], seed).reshape(len(x), tables, -1) for x in (a, b))
+            best = None
+            for probes in PROBES:
+                x, y = ca[:, :, : 1 + probes], cb[:, :, : 1 + probes]
+                met = np.stack([(x[:, t, :, None] == y[:, t, None, :]).any((1, 2)) for t in range(tables)], 1)
+                found = np.flatnonzero(np.maximum.accumulate(met, 1).mean(0) >= recall)
+                if len(found) and (best is None or (found[0] + 1) * (1 + probes) < best[0]):
+                    best = ((found[0] + 1) * (1 + probes), int(found[0]) + 1, probes)
+            if best:
+                return w, best[1], best[2]
+    raise ValueError(f"no buckets bring pairs of {dim} dimensions at cosine {cosine} together")
+
 
-    Tables and probes follow from the width unless they are given.
+def buckets(x: np.ndarray, width: int, tables: int, probes: int, seed: int = SEED) -> np.ndarray:
+    """Bucket codes (rows, tables * (1 + probes)); the table stands in the upper bits, so smaller means an earlier table.
 
-    Codes depend on the vector alone: every task computes the same ones.
+    Codes depend on the vector alone: every task computes the same ones. A table's first code is its home bucket; where
+    there are fewer buckets than probes, all are taken.
     """
     dim = x.shape[1]
     size = 1 << max(1, (dim - 1).bit_length())
-    own = reach(width, size)
-    tables, probes = own[0] if tables is None else tables, own[1] if probes is None else probes
     padded = np.zeros((len(x), size))
     padded[:, :dim] = x
     rng = np.random.default_rng(seed)
-    choices = 3
+    choices = min(3, size)
     combos = np.stack(np.meshgrid(*[np.arange(choices)] * width, indexing="ij"), -1).reshape(-1, width)
     take = min(1 + probes, len(combos))
     out = np.empty((len(x), tables * take), np.int64)
@@ -88,91 +116,148 @@ def buckets(x: np.ndarray, width: int, tables: int | None = None, probes: int |
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; first by their largest component, so that squares neither vanish nor overflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def links_within(x: np.ndarray, weight: np.ndarray, code: int, width: int, side: np.ndarray | None, cosine: float, tables: int | None, probes: int | None, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(links of each row that this bucket counts, a, b): weights of linked rows, and the links' index pairs."""
+#: Entries of a comparison of codes at once, and the largest unit that is compared as a list of pairs.
+AT_ONCE, SMALL = 4_000_000, 64
+
+
+def share_earlier(codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows a and b of codes (padded with -1) have a code in common, for each pair."""
+    out = np.zeros(len(a), bool)
+    step = max(1, AT_ONCE // max(1, codes.shape[1] ** 2))
+    for at in range(0, len(a), step):
+        x, y = codes[a[at : at + step]], codes[b[at : at + step]]
+        out[at : at + step] = ((x[:, :, None] == y[:, None, :]) & (x >= 0)[:, :, None]).any((1, 2))
+    return out
+
+
+def small_links(x: np.ndarray, codes: np.ndarray, side: np.ndarray, tiled: np.ndarray, bounds: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, new) of the links within small units, all units at once; new: those that no earlier bucket has counted.
+
+    Of a unit of two tiles (tiled) only pairs between them count.
+    """
+    end = np.repeat(bounds[1:], np.diff(bounds))
+    n = end - np.arange(len(x)) - 1
+    a = np.repeat(np.arange(len(x)), n)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n) + a + 1
+    counts = ~tiled[a] | (side[a] != side[b])
+    a, b = a[counts], b[counts]
+    near = np.concatenate([np.zeros(0, bool), *(np.einsum("ij,ij->i", x[a[i : i + 50_000]], x[b[i : i + 50_000]]) >= cosine for i in range(0, len(a), 50_000))])
+    a, b = a[near], b[near]
+    return a, b, ~share_earlier(codes, a, b)
+
+
+def large_links(x: np.ndarray, codes: np.ndarray, side: np.ndarray | None, cosine: float, columns: int = 2048) -> tuple[np.ndarray, np.ndarray] | None:
+    """(linked, new): matrices of the links within one unit, and of those that no earlier bucket has counted."""
     linked = x @ x.T >= cosine
     np.fill_diagonal(linked, False)
     if side is not None:
         linked &= side[:, None] != side[None, :]
     if not linked.any():
         return None
-    used = np.flatnonzero(linked.any(1))
-    linked = linked[np.ix_(used, used)]
-    codes = buckets(x[used], width, tables, probes, seed)
-    # pairs that share an earlier bucket have been counted there
-    earlier = codes < code
-    values, place = np.unique(codes[earlier], return_inverse=True)
-    rows = np.nonzero(earlier)[0]
-    often = np.bincount(place, minlength=len(values)) > 1
-    keep = often[place]
-    column = np.cumsum(often) - 1
-    member = np.zeros((len(used), int(often.sum())), np.float32)
-    member[rows[keep], column[place[keep]]] = 1
-    first = linked & ~(member @ member.T > 0)
-    counts = np.zeros(len(x), np.int64)
-    counts[used] = first @ weight[used]
-    a, b = np.nonzero(np.triu(linked))
-    return counts, used[a], used[b]
-
-
-def near_duplicates(df: DataFrame, cosine: float = COSINE, tables: int | None = None, probes: int | None = None, seed: int = SEED, tile: int = TILE, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    values, place = np.unique(codes, return_inverse=True)
+    place = place.reshape(codes.shape)
+    often = np.flatnonzero((np.bincount(place.ravel(), minlength=len(values)) > 1) & (values >= 0))
+    new = linked.copy()
+    for at in range(0, len(often), columns):
+        column = np.full(len(values), -1)
+        column[often[at : at + columns]] = np.arange(len(often[at : at + columns]))
+        where = column[place]
+        member = np.zeros((len(x), columns), np.float32)
+        rows, cols = np.nonzero(where >= 0)
+        member[rows, where[rows, cols]] = 1
+        new &= ~(member @ member.T > 0)
+    return linked, new
+
+
+def near_duplicates(df: DataFrame, cosine: float = COSINE, recall: float = RECALL, seed: int = SEED, tile: int = TILE, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """key, n_links, component_id, kept: one row for each row of df.
 
     A vector that is null, empty, zero or holds null or non-finite components has no links. Vectors of different lengths
     aren't linked. Rows that repeat a key or a vector count as vectors of their own; a null key's component is the
-    smallest key of its component, null if there is none. Other columns aren't read.
+    smallest key of its component, null if there is none. Other columns aren't read. `recall` of the pairs at the very
+    limit meet in a bucket, and more of those above it.
     """
     spark = df.sparkSession
     kept = Kept(spark)
     v = F.col("v")
     good = F.coalesce(F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))) & F.exists(v, lambda c: c != 0), F.lit(False))
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    # single precision is kept where the table has it, and widened by each task
+    item = "float" if df.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast(f"array<{item}>").alias("v"))
     # zeros of either sign are equal; the text of a vector is a short key for grouping equal ones
-    rows = kept.keep(rows.select("key", F.when(good, F.transform(v, lambda c: c + F.lit(0.0))).alias("v")).withColumn("digest", F.when(F.col("v").isNotNull(), F.sha2(F.to_json("v"), 256))))
+    rows = rows.select("key", F.when(good, F.transform(v, lambda c: c + F.lit(0.0).cast(item))).alias("v")).withColumn("digest", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("v")), 256)))
+    rows = kept.keep(rows)
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.first("v").alias("v"), F.min("key").cast("bigint").alias("rep"), F.count("*").alias("n"))
     classes = kept.keep(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each length of vector
-    widths = {d: width_for(n, 1 << max(1, (d - 1).bit_length())) for d, n in sizes.items()}
+    plans = {d: reach(width_for(n, 1 << max(1, (d - 1).bit_length())), d, cosine, recall, seed) for d, n in sizes.items()}
 
     def hashed(parts):
         for pdf in parts:
             codes: list = [None] * len(pdf)
             for d, at in pdf.groupby("dim").indices.items():
-                for i, c in zip(at, buckets(unit_rows(np.array([pdf["v"].iloc[j] for j in at], float)), widths[d], tables, probes, seed), strict=True):
+                x = unit_rows(np.array([pdf["v"].iloc[j] for j in at], float))
+                for i, c in zip(at, buckets(x, *plans[d], seed), strict=True):
                     codes[i] = c
-            yield pd.DataFrame({"id": pdf["id"], "n": pdf["n"], "dim": pdf["dim"], "v": pdf["v"], "codes": codes})
+            yield pd.DataFrame({"id": pdf["id"], "band": pdf["dim"], "codes": codes})
 
-    placed = kept.keep(widen(classes.select("id", "n", "dim", "v")).mapInPandas(hashed, "id bigint, n bigint, dim int, v array<double>, codes array<bigint>"))
+    placed = widen(classes.select("id", "dim", "v")).mapInPandas(hashed, "id bigint, band int, codes array<bigint>")
+    placed = kept.keep(placed.select("id", "band", F.explode("codes").alias("bucket")))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
+    placed = kept.keep(placed.join(shared, "bucket", "left_semi"))
+    # each row carries the shared codes before its own
+    own = placed.groupBy("id", "band").agg(F.array_sort(F.collect_list("bucket")).alias("codes")).join(classes.select("id", "n", "v"), "id")
+    own = own.select("id", "band", "n", "v", "codes", F.posexplode("codes").alias("at", "bucket"))
     # lengths of vectors are bands of a bucket; only those of one length are compared
-    spread = lambda *cols: placed.select(*cols, F.col("dim").alias("band"), F.explode("codes").alias("bucket"))
-    shared = kept.keep(spread().groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket"))
-    dealt = units(spread("id", "n", "v").join(shared, "bucket", "left_semi"), spread(), kept, tile, 0, "id")
-
-    def run(t: pa.Table) -> dict | None:
-        band, vectors = t.column("band").to_numpy(), t.column("v").combine_chunks()
-        out: list = []
-        ids, n, side, code = t.column("id").to_numpy(), t.column("n").to_numpy(), t.column("side").to_numpy(), int(t.column("bucket")[0].as_py())
-        flat, offsets = np.asarray(vectors.flatten()), np.concatenate([[0], np.cumsum(np.asarray(vectors.value_lengths()))])
+    dealt = units(own.select("id", "band", "n", "v", "bucket", F.slice("codes", F.lit(1), F.col("at")).alias("codes")), placed, kept, tile, 0, "id")
+
+    def run(t: pa.Table, bounds: np.ndarray) -> dict | None:
+        ids, n, side, band = (t.column(c).to_numpy() for c in ("id", "n", "side", "band"))
+        lists = t.column("codes").combine_chunks()
+        flat, size = np.asarray(lists.flatten()), np.asarray(lists.value_lengths())
+        codes = np.full((len(ids), max(1, int(size.max(initial=0)))), -1, np.int64)
+        codes[np.repeat(np.arange(len(ids)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+        lists = t.column("v").combine_chunks()
+        flat, start = np.asarray(lists.flatten(), np.float64), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
+        links, pairs = np.zeros(len(ids), np.int64), []
+        vectors = lambda at: unit_rows(flat[start[at][:, None] + np.arange(start[at[0] + 1] - start[at[0]])])
+        small = np.diff(bounds) <= SMALL
+        tiled = t.column("tile_a").to_numpy() != t.column("tile_b").to_numpy()
         for d in np.unique(band):
-            at = np.flatnonzero(band == d)
-            if len(at) < 2:
-                continue
-            x = unit_rows(np.stack([flat[offsets[i] : offsets[i + 1]] for i in at]))
-            found = links_within(x, n[at], code, widths[int(d)], side[at] if side.any() else None, cosine, tables, probes, seed)
-            if found:
-                counts, a, b = found
-                label = forest(len(at), a, b)
-                touched = np.flatnonzero((counts > 0) | (label != np.arange(len(at))))
-                out.append((ids[at[touched]], counts[touched], ids[at[label[touched]]]))
-        return dict(zip(("id", "links", "root"), map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else None
-
-    found = kept.keep(map_units(dealt, "id bigint, links bigint, root bigint", run, ["id", "n", "band", "v"]))
+            at = np.flatnonzero((band == d) & np.repeat(small, np.diff(bounds)))
+            if len(at) > 1:
+                unit = np.searchsorted(bounds, at, "right")
+                edges = np.concatenate([[0], np.flatnonzero(np.diff(unit)) + 1, [len(at)]])
+                a, b, new = small_links(vectors(at), codes[at], side[at], tiled[at], edges, cosine)
+                np.add.at(links, at[a[new]], n[at[b[new]]])
+                np.add.at(links, at[b[new]], n[at[a[new]]])
+                pairs.append((at[a], at[b]))
+        for lo, hi in zip(bounds[:-1][~small], bounds[1:][~small], strict=True):
+            for d in np.unique(band[lo:hi]):
+                at = lo + np.flatnonzero(band[lo:hi] == d)
+                if len(at) > 1 and (found := large_links(vectors(at), codes[at], side[at] if tiled[at[0]] else None, cosine)):
+                    linked, new = found
+                    links[at] += new @ n[at]
+                    label = forest(len(at), *np.nonzero(np.triu(linked)))
+                    pairs.append((at, at[label]))
+        a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, np.int64),) * 2
+        if not len(a):
+            return None
+        label = forest(len(ids), a, b)
+        touched = np.flatnonzero((links > 0) | (label != np.arange(len(ids))))
+        return {"id": ids[touched], "links": links[touched], "root": ids[label[touched]]}
+
+    found = kept.keep(map_units(dealt, "id bigint, links bigint, root bigint", run, ["id", "n", "band", "v", "codes"]))
     sums = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")), kept)
-    named = kept.keep(classes.select("id", "digest", "rep", "n").join(sums, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left").select("digest", "rep", "n", "links", F.coalesce("component", "id").alias("component")))
+    named = classes.select("id", "digest", "rep", "n").join(sums, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    named = kept.keep(named.select("digest", "rep", "n", "links", F.coalesce("component", "id").alias("component")))
+    kept.only(rows, named)
     smallest = named.groupBy("component").agg(F.min("rep").alias("smallest"))
     classed = named.join(smallest, "component").select(F.col("digest").alias("digest_"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "smallest")
     own = F.col("key").cast("bigint")

@@ -96,14 +96,18 @@ def links(fps: DataFrame, kept: Kept, radius: int = RADIUS, tile: int = TILE) ->
     rows = fps.select("fp", "rep", F.bit_count("fp").alias("band"), F.explode(F.array(*keys)).alias("bucket"))
     dealt = units(rows, rows, kept, tile, radius, "fp")
 
-    def run(t: pa.Table) -> dict | None:
-        x, side = t.column("fp").to_numpy().view(np.uint64), t.column("side").to_numpy()
-        a, b = near_pairs(x, radius, side if side.any() else None)
-        if not len(a):
-            return None
-        label, rep = forest(len(x), a, b), t.column("rep").to_numpy()
-        joined = np.flatnonzero(label != np.arange(len(x)))
-        return {"a": rep[joined], "b": rep[label[joined]]}
+    def run(t: pa.Table, bounds: np.ndarray) -> dict | None:
+        every, sides, rep = t.column("fp").to_numpy().view(np.uint64), t.column("side").to_numpy(), t.column("rep").to_numpy()
+        out: list = []
+        for lo, hi in zip(bounds, bounds[1:]):  # noqa: B905
+            if hi - lo > 1:
+                x, side = every[lo:hi], sides[lo:hi]
+                a, b = near_pairs(x, radius, side if side.any() else None)
+                if len(a):
+                    label = forest(len(x), a, b)
+                    joined = np.flatnonzero(label != np.arange(len(x)))
+                    out.append((rep[lo + joined], rep[lo + label[joined]]))
+        return dict(zip("ab", map(np.concatenate, zip(*out, strict=True)), strict=True)) if out else None
 
     return map_units(dealt, "a bigint, b bigint", run, ["fp", "rep"])
 
@@ -120,6 +124,7 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, seed: int = SEED, radius
     docs = kept.keep(fingerprints(df, size, seed, text, key).withColumnRenamed(key, "key"))
     fps = kept.keep(docs.groupBy("fp").agg(F.min("key").cast("bigint").alias("rep")))
     found = components(links(fps.where("rep IS NOT NULL"), kept, radius, tile), kept)
+    kept.only(docs, fps, found)
     of_fp = fps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     out = docs.join(of_fp, F.col("fp") == F.col("fp_")).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
     return out

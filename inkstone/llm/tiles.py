@@ -41,8 +41,11 @@ def units(rows: DataFrame, counted: DataFrame, kept: Kept, limit: int, radius: i
     return out.select(*rows.columns, "unit.tile_a", "unit.tile_b", "unit.side")
 
 
-def map_units(dealt: DataFrame, schema: str, fn: Callable[[pa.Table], dict | None], columns: list[str]) -> DataFrame:
-    """Calls fn with the rows of each unit that has two or more, sorted by unit; fn returns columns or None."""
+def map_units(dealt: DataFrame, schema: str, fn: Callable[[pa.Table, np.ndarray], dict | None], columns: list[str], together: int = 16_384) -> DataFrame:
+    """Calls fn with rows of whole units that have two rows or more, sorted by unit, and where units begin and end.
+
+    A call gets units of some `together` rows, or one larger unit; fn returns columns or None.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -50,38 +53,41 @@ def map_units(dealt: DataFrame, schema: str, fn: Callable[[pa.Table], dict | Non
     arrow = to_arrow_schema(types)
     keys = ["bucket", "tile_a", "tile_b"]
 
-    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None and rest.num_rows else t
-            if not t.num_rows:
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        held: list[pa.RecordBatch] = []
+        rows, last, ends = 0, None, []  # ends: where units end, but for the last one, which may go on
+        for b in batches:
+            if not b.num_rows:
                 continue
-            k = [t.column(c).to_numpy() for c in keys]
-            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in k], axis=0)) + 1
-            starts = np.concatenate([[0], new])
-            ends = np.concatenate([new, [t.num_rows]])
-            for a, b in zip(starts[:-1][np.diff(starts) > 1], ends[:-1][np.diff(starts) > 1], strict=True):
-                yield t.slice(a, b - a)
-            rest = t.slice(starts[-1])
-        if rest is not None and rest.num_rows > 1:
-            yield rest
+            k = np.stack([b.column(c).to_numpy() for c in keys])
+            new = np.flatnonzero(np.any(k[:, 1:] != k[:, :-1], axis=0)) + 1
+            if last is not None and (k[:, 0] != last).any():
+                new = np.concatenate([[0], new])
+            last = k[:, -1]
+            ends += (new + rows).tolist()
+            held.append(b)
+            rows += b.num_rows
+            if ends and ends[-1] >= together:
+                t = pa.Table.from_batches(held)
+                yield from cut(t, ends)
+                rest = t.slice(ends[-1])
+                held, rows, ends = rest.combine_chunks().to_batches(), rest.num_rows, []
+        if held:
+            yield from cut(pa.Table.from_batches(held), [*ends, rows])
+
+    def cut(t: pa.Table, ends: list[int]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        bounds = np.array([0, *ends])
+        first = 0
+        for i in range(1, len(bounds)):
+            if i == len(bounds) - 1 or bounds[i + 1] - bounds[first] > together:
+                if (np.diff(bounds[first : i + 1]) > 1).any():
+                    yield t.slice(bounds[first], bounds[i] - bounds[first]).combine_chunks(), bounds[first : i + 1] - bounds[first]
+                first = i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[dict] = []
-        rows = 0
-        for g in groups(batches):
-            if out := fn(g):
-                pending.append(out)
-                rows += len(next(iter(out.values())))
-            if rows > 50_000:
-                yield flush(pending)
-                pending, rows = [], 0
-        if pending:
-            yield flush(pending)
-
-    def flush(parts: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.asarray(p[f.name]) for p in parts]), f.type) for f in arrow], schema=arrow)
+        for t, bounds in groups(batches):
+            if out := fn(t, bounds):
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(out[f.name]), f.type) for f in arrow], schema=arrow)
 
     return dealt.select(*keys, "side", *columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, types)
 

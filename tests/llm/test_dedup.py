@@ -118,9 +118,47 @@ def test_hadamard_and_recall():
     rng = np.random.default_rng(6)
     h = embedding_dedup.hadamard(np.eye(8))
     assert (h @ h.T == 8 * np.eye(8)).all()
-    a = embedding_dedup.unit_rows(rng.normal(size=(400, 64)))
-    g = rng.normal(size=(400, 64))
-    g = embedding_dedup.unit_rows(g - (g * a).sum(1, keepdims=True) * a)
-    b = 0.9 * a + (1 - 0.81) ** 0.5 * g
-    ca, cb = embedding_dedup.buckets(a, 3), embedding_dedup.buckets(b, 3)
-    assert np.mean([bool(np.intersect1d(x, y).size) for x, y in zip(ca, cb)]) >= 0.95
+    x, y = embedding_dedup.pairs_at(0.9, 64, 50)
+    assert (x * y).sum(1) == pytest.approx(0.9) and (y * y).sum(1) == pytest.approx(1)
+
+
+@pytest.mark.parametrize(("dim", "width"), [*((64, w) for w in range(1, 7)), (2, 5), (4, 5), (16, 4), (128, 4), (256, 3)])
+def test_recall_does_not_fall_with_the_number_of_vectors(dim, width):
+    own, tables, probes = embedding_dedup.reach(width, dim)
+    assert own == width or dim < 16
+    a, b = embedding_dedup.pairs_at(0.9, dim, 1500, seed=9)
+    ca, cb = embedding_dedup.buckets(a, own, tables, probes), embedding_dedup.buckets(b, own, tables, probes)
+    assert np.mean([bool(np.intersect1d(x, y).size) for x, y in zip(ca, cb)]) >= 0.99
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+@pytest.mark.parametrize("dim", [1, 2, 3])
+def test_few_dimensions_and_extreme_lengths(spark, dim, kind):
+    rng = np.random.default_rng(dim)
+    x = rng.normal(size=(120, dim)).astype(np.float32).astype(float)
+    scale = np.array([1e-30, 1.0, 1e30]) if kind == "float" else np.array([1e-200, 1.0, 1e200])
+    x = x * scale[rng.integers(0, 3, 120)][:, None]
+    if kind == "float":
+        x = x.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id bigint, embedding array<{kind}>")
+    out = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(df).collect()}
+    u = embedding_dedup.unit_rows(x)
+    cos = u @ u.T
+    near = cos >= 0.9
+    assert not ((cos > 0.9 - 1e-9) & (cos < 0.9 + 1e-9)).any()
+    np.fill_diagonal(near, False)
+    root = roots(120, zip(*[z.tolist() for z in np.nonzero(near)]))
+    assert out == {i: (int(near[i].sum()), root[i]) for i in range(120)}
+
+
+def test_cosine_of_exactly_the_limit_is_a_link(spark):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    out = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(df, cosine=0.6).collect()}
+    assert out == {1: 1, 2: 1, 3: 0}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    df = spark.range(64).selectExpr("id AS a", "id + 1 AS b")
+    with pytest.raises(RuntimeError):
+        components(df, Kept(spark), rounds=1)
