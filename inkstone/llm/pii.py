@@ -19,12 +19,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import among_lowest, map_arrow, widen
+from inkstone.llm.common import Kept, among_lowest, map_arrow, widen
+from inkstone.llm.labelled import within
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Documents of the training sample, at most: those of the smallest hashes among documents with digits or at-signs.
-SAMPLE = 2000
+#: Documents of the training sample, at most: those of the smallest hashes among documents with digits or at-signs; and their bytes.
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
 SLOTS = 1 << 13
 ROUNDS = 12
 SURE = 0.8
@@ -112,11 +113,11 @@ class Tokens:
 def _features(word: str, before: str, after: str) -> np.ndarray:
     digits = [c for c in word if "0" <= c <= "9"]
     n = len(digits)
-    shape = re.sub("(.)\\1+", "\\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", word[:80]))))
-    groups = re.findall("[0-9]+", word[:200])
+    shape = re.sub("(.)\\1+", "\\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", word))))
+    groups = re.findall("[0-9]+", word)
     found = [
-        f"shape {shape}", f"digits {min(n, 20)}", f"signs {''.join(sorted(set(c for c in word[:200] if not c.isalnum())))}", f"groups {','.join(str(min(len(g), 6)) for g in groups[:6])}",
-        f"at {word.count('@')}", f"letters {min(sum(c.isalpha() for c in word[:200]) // 3, 5)}", f"start {word[:1]}", f"dots {min(word.count('.'), 5)}", f"before {before}", f"after {after}", "any",
+        f"shape {shape}", f"digits {min(n, 20)}", f"signs {''.join(sorted(set(c for c in word if not c.isalnum())))}", f"groups {','.join(str(min(len(g), 6)) for g in groups)}",
+        f"at {word.count('@')}", f"letters {min(sum(c.isalpha() for c in word) // 3, 5)}", f"start {word[:1]}", f"dots {min(word.count('.'), 5)}", f"before {before}", f"after {after}", "any",
     ]
     if 13 <= n <= 19 and n >= len(word) - word.count("-") - word.count(" "):
         found.append(f"luhn {luhn(''.join(digits))} {n >= 16}")
@@ -159,10 +160,9 @@ def tokens(text: str) -> Tokens:
         near = lambda w: ("9" if DIGIT.search(w) else w.strip(EDGES).lower()[:12]) if w else ""
         out.features.append(_features(word, near(before[-1] if before else ""), near(after[0] if after else "")))
         last = b
-        for k in _keys(word):
-            if k in seen and (seen[k], i) not in out.skips[-4:]:
-                out.skips.append((seen[k], i))  # a chain through all tokens of a key
-            seen[k] = i
+        keys = _keys(word)
+        out.skips += sorted({(seen[k], i) for k in keys if k in seen})  # a chain through all tokens of a key
+        seen |= dict.fromkeys(keys, i)
     out.joined = np.array(joined, bool)
     return out
 
@@ -355,11 +355,19 @@ def joined(spans: dict[str, list[Span]]) -> str:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> Field:
-    """Learns from at most `sample` of the documents with digits or at-signs, those whose keys have the lowest hashes."""
-    may = docs.where(F.col(key).isNotNull() & F.col(text).rlike("[0-9@]"))
-    hashed = F.xxhash64(key)
-    rows = may.where(among_lowest(hashed, sample, may.count())).select(hashed.alias("h"), F.col(text).alias("t")).collect()  # bounded by the sample
-    return train(sorted(t for _, t in sorted((r["h"], r["t"]) for r in rows)[:sample]))
+    """Learns from at most `sample` of the documents with digits or at-signs, those of the lowest hashes of key and text.
+
+    Rows of one key and text count once; the sample has at most SAMPLE_BYTES of text (one document at least). The labels
+    are the base spans themselves, so the sample bounds what forms the field has seen, never which base spans are found.
+    """
+    may = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("key").isNotNull() & F.col("text").rlike("[0-9@]"))
+    hashed = F.xxhash64("key", "text")
+    kept = Kept(docs.sparkSession)
+    drawn = kept.keep(may.where(among_lowest(hashed, sample, may.count())).groupBy(hashed.alias("h")).agg(F.min("text").alias("text"), F.lit(0).alias("label")))
+    sizes = sorted(drawn.select("label", "h", F.octet_length("text").alias("n")).collect(), key=lambda r: r["h"])[:sample]  # bounded by the sample
+    texts = [r["text"] for r in drawn.where(within(sizes, SAMPLE_BYTES)).collect()]  # bounded in rows and bytes
+    kept.only()
+    return train(sorted(texts))
 
 
 def personal_data(docs: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from inkstone.llm import labelled
 from inkstone.llm.bpe import Cache
-from inkstone.llm.common import widen
+from inkstone.llm.common import Kept, widen
 
 THRESHOLD = 0.3
 #: Words of a passage; the last one of a document may be shorter.
@@ -152,13 +152,22 @@ def train(rows: list[tuple[np.ndarray, int]], odds: float, epochs: int = 24, bat
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS, text: str = "text", key: str = "doc_id", label: str = "quality") -> Model | None:
-    """Learns from at most per_class rows of each label whose key isn't held out; None without labels of both kinds."""
+    """Learns from at most per_class rows of each label whose key isn't held out; None without labels of both kinds.
+
+    A key of several rows gives one of them; a class has at most labelled.CLASS_BYTES of text.
+    """
     picked, odds = labelled.sample(labels, label, per_class, key=key)
     if len(set(picked.values())) < 2:
         return None
-    features = F.udf(lambda t: passages(t).tobytes(), "binary")
-    rows = labelled.rows_of(docs.select(key, text), picked, key).select("picked", "label", features(text).alias("x")).collect()  # bounded by the sample
-    rows.sort(key=lambda r: (r["picked"], bytes(r["x"])))
+
+    @F.pandas_udf("binary")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([passages(t).tobytes() for t in texts])
+
+    kept = Kept(docs.sparkSession)
+    rows = labelled.rows_of(docs, picked, kept, text, key).select("picked", "label", features("text").alias("x")).collect()  # bounded in rows and bytes
+    kept.only()
+    rows.sort(key=lambda r: r["picked"])
     if len({r["label"] for r in rows}) < 2:
         return None
     return train([(np.frombuffer(r["x"], np.float32).reshape(-1, SIZE), r["label"]) for r in rows], odds)

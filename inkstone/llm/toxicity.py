@@ -22,8 +22,6 @@ from inkstone.llm.common import Kept, widen
 
 BITS = 20
 THRESHOLD = 0.5
-#: Training rows of a class, at most; a row brings some thousand slots to the driver.
-PER_CLASS = 2500
 #: ASCII signs and digits become spaces, A-Z become a-z; other bytes stay.
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 #: Multipliers that tell kinds of features apart (odd numbers of 64 bits; fixed values).
@@ -105,18 +103,25 @@ def train(rows: list[tuple[np.ndarray, int]], odds: float, bits: int = BITS, alp
     return Model(used, w.astype(np.float32), float(-bias_z / ((beta + bias_n**0.5) / alpha) + odds - sampled), bits)
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
-    """Learns from at most per_class rows of each label whose key isn't held out; no labels: a model without weights."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Model:
+    """Learns from at most per_class rows of each label whose key isn't held out; no labels: a model without weights.
+
+    A key of several rows gives one of them; a class has at most labelled.CLASS_BYTES of text.
+    """
     picked, odds = labelled.sample(labels, label, per_class, key=key)
     if not picked:
         return Model(np.empty(0, np.int64), np.empty(0, np.float32), 0.0)
-    digest = F.udf(lambda t: slots(t).astype("<u4").tobytes(), "binary")
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return pd.Series([slots(t).astype("<u4").tobytes() for t in texts])
+
     kept = Kept(docs.sparkSession)
-    drawn = kept.keep(labelled.rows_of(docs.select(key, text), picked, key).select("picked", "label", digest(text).alias("slots")))
-    # bounded by the sample; part by part, and four bytes a slot
+    drawn = kept.keep(labelled.rows_of(docs, picked, kept, text, key).select("picked", "label", digest("text").alias("slots")))
+    # bounded in rows and bytes; part by part, and four bytes a slot
     rows = [(r["picked"], np.frombuffer(bytes(r["slots"]), "<u4"), r["label"]) for r in drawn.toLocalIterator()]
-    kept.drop(drawn)
-    rows.sort(key=lambda r: (r[0], r[1].tobytes()))
+    kept.only()
+    rows.sort(key=lambda r: r[0])
     return train([(at, y) for _, at, y in rows], odds)
 
 
@@ -137,7 +142,7 @@ def scorer(model: Model, text: str = "text") -> Column:
     return run(text)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = labelled.PER_CLASS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, held_out, score, predicted: one row for each row of docs; repeated rows score alike. Other columns aren't read."""
     model = fit(docs, labels, per_class, text, key)
     out = widen(docs.select(key, text)).select(F.col(key), labelled.held_out(key).alias("held_out"), scorer(model, text).alias("score"))
