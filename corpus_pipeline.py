@@ -10,21 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import packing, pii, quality, simhash, toxicity
-from inkstone.llm.common import Kept, table, widen
+from inkstone.llm.common import Kept, free_name, table, widen
 
 #: SQL can't express the classifiers.
 ORACLE_SQL = None
-ROW, GROUP = "__row", "__group"
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. Without labels of both kinds every document stays."""
+    """Documents that the quality classifier accepts. Without labels of both kinds every document stays.
+
+    Null and empty texts score as one passage of zeros; repeated rows stay or go together. Columns of other names pass
+    through untouched; an empty table stays one.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
     return widen(docs).where(quality.scorer(model) >= quality.THRESHOLD)
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold. Without labels every document stays."""
+    """Documents whose toxicity score is below the threshold. Without labels every document stays.
+
+    Null and empty texts score what the bias says; repeated rows stay or go together. Columns of other names pass
+    through untouched; an empty table stays one.
+    """
     labels = table(spark, sf_dir, "labels", "doc_id", "toxic")
     model = toxicity.fit(docs, labels)
     if not len(model.slots):
@@ -39,14 +46,20 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and ids are joined with them, never texts.
     """
     kept = Kept(spark)
-    rows = kept.keep(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    groups = simhash.near_duplicates(rows, key=ROW).select(ROW, F.col("component_id").alias(GROUP))
-    best = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy(GROUP).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"))
-    return rows.join(best.select(F.col(f"best.{ROW}").alias(ROW)), ROW, "left_semi").select(*docs.columns)
+    row = free_name("row", docs.columns)
+    rows = kept.keep(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = simhash.near_duplicates(rows.select(F.col(row).alias("id"), "text"), key="id").select("id", "component_id")
+    ids = rows.select(F.col(row).alias("id"), "doc_id")
+    best = groups.join(ids, "id").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best"))
+    return rows.join(best.select(F.col("best.id").alias(row)), row, "left_semi").select(*docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every span of personal data replaced by its kind; n_chars follows the new text."""
+    """Documents with every span of personal data replaced by its kind; n_chars follows the new text.
+
+    Null texts stay null and empty ones empty; repeated rows are redacted alike. Other columns pass through untouched;
+    an empty table stays one.
+    """
     field = pii.fit(docs)
     new = {"text": pii.redacted(field)}
     out = widen(docs).withColumns(new)
@@ -54,7 +67,11 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: one row for each piece of a document."""
+    """Sequences of at most 2048 tokens: one row for each piece of a document.
+
+    Null and empty texts are one piece of one token; repeated rows and null ids are pieces of their own. Only doc_id and
+    text are read, so other columns' names don't matter; an empty table gives no rows.
+    """
     return packing.pack_documents(docs)
 
 

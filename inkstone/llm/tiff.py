@@ -125,7 +125,18 @@ def pack_lzw(data: bytes) -> bytes:
     return bytes(out)
 
 
-UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_packbits}
+def inflate(data: bytes) -> bytes:
+    """Deflate; more than a page may hold is an error before it is made."""
+    d = zlib.decompressobj()
+    out = d.decompress(data, MOST[DEFLATE] * len(data))
+    if not d.eof:
+        raise ValueError("deflate data that end too early or never")
+    return out
+
+
+#: Bytes that one stored byte can stand for, at most.
+MOST = {NONE: 1, LZW: 4096, DEFLATE: 1100, OLD_DEFLATE: 1100, PACKBITS: 64}
+UNPACK = {NONE: bytes, LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_packbits}
 PACK = {NONE: bytes, LZW: pack_lzw, DEFLATE: lambda b: zlib.compress(b, 1), PACKBITS: pack_packbits}
 
 
@@ -177,6 +188,9 @@ def decode_page(raw: bytes, tags: dict[int, tuple]) -> Page:
     depth = channels if planar == 1 else 1
     across, down = -(-width // block_w), -(-height // block_h)
     kind = np.dtype(f"{tags[0][0]}u{bits // 8}")
+    held = sum(max(0, min(start + size, len(raw)) - start) for start, size in zip(offsets, counts, strict=True))
+    if width * height * channels * kind.itemsize > held * MOST[compression] or block_w * block_h * depth * kind.itemsize > held * MOST[compression]:
+        raise ValueError("the page claims more than the file can hold")
     out = np.zeros((height, width, channels), kind.newbyteorder("="))
     for k, (start, size) in enumerate(zip(offsets, counts, strict=True)):
         plane, rest = divmod(k, across * down)
