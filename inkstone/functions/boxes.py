@@ -76,3 +76,8 @@ def region_rule(w: Column, h: Column, x0: Column, y0: Column, x1: Column, y1: Co
 
 def single_line_crop(h: Column, w: Column) -> Column:
     return (h < 8) | (w < 8) | (w / h >= 4)
+
+
+def union_box() -> list[Column]:
+    """Aggregates of x0, y0, x1, y1 that hold all boxes of a group."""
+    return [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]

@@ -16,13 +16,22 @@ NUMERALS = {
     "NUM_1": (1, "١", "واحد"), "NUM_2": (2, "٢", "اثنان"), "NUM_3": (3, "٣", "ثلاثة"), "NUM_4": (4, "٤", "أربعة"), "NUM_5": (5, "٥", "خمسة"),
     "NUM_6": (6, "٦", "ستة"), "NUM_10": (10, "١٠", "عشرة"), "NUM_50": (50, "٥٠", "خمسون"), "NUM_100": (100, "١٠٠", "مائة"), "NUM_1000": (1000, "١٠٠٠", "ألف"),
 }
-#: Hard look-alike pairs, by letter name, and groups of like shapes, by letter name or numeral.
-HARD_PAIRS = [("TAW", "SAMEKH"), ("NUN", "ALEF"), ("WAW", "AYN"), ("BETH", "GIMEL"), ("HE", "LAMEDH"), ("KAPH", "NUN"), ("DHADHE", "TETH"), ("BETH", "TETH"), ("BETH", "DHADHE")]
+#: Hard look-alike pairs of letters, and groups of like shapes of letters and numerals, as labels have them.
+HARD_PAIRS = [("𐩩", "𐩯"), ("𐩬", "𐩱"), ("𐩥", "𐩲"), ("𐩨", "𐩴"), ("𐩠", "𐩡"), ("𐩫", "𐩬"), ("𐩳", "𐩷"), ("𐩨", "𐩷"), ("𐩨", "𐩳")]
 SHAPE_GROUPS = [
-    ["NUM_1", "HE", "LAMEDH", "NUN", "ALEF"], ["NUM_2", "NUM_3", "NUM_4", "NUM_5", "NUM_6"], ["NUM_10", "WAW", "AYN", "GHAYN"], ["MEM", "BETH", "TAW", "SAMEKH", "GIMEL"],
-    ["NUM_50", "QOPH", "KAPH", "NUN", "ALEF", "GIMEL"], ["WAW", "TETH", "ZAYN", "DHALETH"], ["HE", "BETH", "GIMEL", "DALETH", "DHALETH", "YODH"], ["RESH", "YODH", "THAW", "THETH"],
-    ["SHIN", "TAW", "SAT", "SAMEKH"], ["WAW", "RESH", "FE"], ["HETH", "KHETH", "SADHE"], ["NUM_100", "NUM_1000"],
-]
+    ["NUM_1", "𐩠", "𐩡", "𐩬", "𐩱"],
+    ["NUM_2", "NUM_3", "NUM_4", "NUM_5", "NUM_6"],
+    ["NUM_10", "𐩥", "𐩲", "𐩶"],
+    ["𐩣", "𐩨", "𐩩", "𐩯", "𐩴"],
+    ["NUM_50", "𐩤", "𐩫", "𐩬", "𐩱", "𐩴"],
+    ["𐩥", "𐩷", "𐩸", "𐩹"],
+    ["𐩠", "𐩨", "𐩴", "𐩵", "𐩹", "𐩺"],
+    ["𐩧", "𐩺", "𐩻", "𐩼"],
+    ["𐩦", "𐩩", "𐩪", "𐩯"],
+    ["𐩥", "𐩧", "𐩰"],
+    ["𐩢", "𐩭", "𐩮"],
+    ["NUM_100", "NUM_1000"],
+]
 
 NO_PREVIEW, ELLIPSIS = "—", "…"
 DEFAULT_TITLE = "نص محلَّل"
@@ -34,3 +43,10 @@ IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "webp", "tif", "tiff")
 JOB_TTL_MINUTES, JOB_CAP = 30, 100
 ATTACHMENTS_CAP, LOCAL_CAP, RECENT = 8, 40, 5
 STATUS_LABELS = {"documented": "موثّق", "archived": "المحفوظات", "local": "على الجهاز"}
+SCAN_STATUS, DOCUMENTATION_STATUS = "analyzed", "under_review"
+STORED_MARK = "[stored-in-storage]"
+UNTITLED = "نقش بدون عنوان"
+DOCUMENT_TYPES, DOCUMENT_SUFFIXES = ("pdf", "msword", "wordprocessingml", "text/plain"), (".pdf", ".doc", ".docx", ".txt")
+#: Signs and names by which labels give a letter, and letters with a round body.
+LABELS_OF = {"mem": ("𐩣", "MEM"), "heth": ("𐩢", "HETH", "HA"), "beth": ("𐩨", "BETH", "BA")}
+ROUND_LETTERS = ("𐩥", "𐩲", "𐩧")

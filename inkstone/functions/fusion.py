@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from inkstone.functions.signal import let
 from inkstone.functions.text import is_numeral, is_readable, is_separator
 
 
@@ -84,9 +85,9 @@ def vote_weights(cnn: Column, proto: Column, shape: Column) -> Column:
 
 def fused(votes: Column) -> Column:
     """The label of the largest sum of weights, of equal ones that voted for first: struct(label, trust)."""
-    summed = F.transform(votes, lambda v: F.struct((-F.aggregate(F.filter(votes, lambda o: o["label"] == v["label"]), F.lit(0.0), lambda a, o: a + o["weight"])).alias("minus"), v["rank"].alias("rank"), v["label"].alias("label")))
-    best = F.get(F.array_sort(summed), 0)
-    return F.struct(best["label"].alias("label"), (-best["minus"]).alias("trust"))
+    summed = lambda all_: F.transform(all_, lambda v: F.struct((-F.aggregate(F.filter(all_, lambda o: o["label"] == v["label"]), F.lit(0.0), lambda a, o: a + o["weight"])).alias("minus"), v["rank"].alias("rank"), v["label"].alias("label")))
+    best = lambda all_: F.get(F.array_sort(summed(all_)), 0)
+    return let(let(votes, best), lambda b: F.struct(b["label"].alias("label"), (-b["minus"]).alias("trust")))
 
 
 def low_content(peak: Column, mean: Column, ratio: Column) -> Column:

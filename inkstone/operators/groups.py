@@ -17,11 +17,15 @@ def map_groups(rows: DataFrame, keys: list[str], order: list, schema: str, fn: C
     names = rows.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+        held: list[pd.DataFrame] = []  # parts of the last group, which are put together once it ends
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
             if not len(batch):
                 continue
+            same = bool(held) and all(batch[k].iloc[0] == held[-1][k].iloc[0] and batch[k].iloc[-1] == held[-1][k].iloc[0] for k in keys)
+            held.append(batch)
+            if same:
+                continue
+            batch = pd.concat(held, ignore_index=True)
             columns = {n: batch[n].to_numpy() for n in names}
             new = np.zeros(len(batch), bool)
             for k in keys:
@@ -30,8 +34,9 @@ def map_groups(rows: DataFrame, keys: list[str], order: list, schema: str, fn: C
             out = [r for a, b in zip(starts[:-1], starts[1:], strict=True) for r in fn({n: c[a:b] for n, c in columns.items()})]
             if out:
                 yield pd.DataFrame(out, columns=fields)
-            rest = batch.iloc[starts[-1] :]
-        if rest is not None and len(rest) and (out := fn({n: rest[n].to_numpy() for n in names})):
+            held = [batch.iloc[starts[-1] :]]
+        rest = pd.concat(held, ignore_index=True) if held else None
+        if rest is not None and (out := fn({n: rest[n].to_numpy() for n in names})):
             yield pd.DataFrame(out, columns=fields)
 
     from pyspark.sql.types import StructType

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import constants as K
@@ -29,13 +29,23 @@ def job_view(jobs: DataFrame) -> DataFrame:
 
 
 def fifo(arrivals: DataFrame, queue: str, at: str, service: str, key: str, patience: float | None = None) -> DataFrame:
-    """queue, key, start, end: one job at a time in order of arrival; one that would wait longer than `patience` leaves (null)."""
+    """queue, key, start, end: one job at a time in order of arrival; one that would wait longer than `patience` leaves (null).
+
+    Without patience a job starts when it has arrived and all work before it is done: the largest, over jobs up to it, of
+    an arrival less the work before that job, plus the work before it. Two running windows say so. With patience a job's
+    fate depends on who left before, so a queue is one group.
+    """
+    if patience is None:
+        w = Window.partitionBy(queue).orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
+        before = arrivals.select(queue, key, at, service, (F.sum(service).over(w) - F.col(service)).alias("__before"))
+        start = F.max(F.col(at) - F.col("__before")).over(w) + F.col("__before")
+        return before.select(queue, key, start.alias("start"), (start + F.col(service)).alias("end"))
 
     def run(c: dict[str, np.ndarray]) -> list[tuple]:
         free, out = float("-inf"), []
         for q, k, t, needs in zip(c[queue], c[key], c[at], c[service], strict=True):
             start = max(t, free)
-            if patience is not None and start - t > patience:
+            if start - t > patience:
                 out.append((q, k, None, None))
                 continue
             free = start + needs

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.numeric import upper_median
+from inkstone.operators.ranks import percentiles
 
 
 def reading_order(rows: DataFrame, line: str, center: str, position: str, rtl: bool = True) -> DataFrame:
@@ -99,3 +100,50 @@ def cluster_lines(boxes: Column) -> Column:
         return F.when(hit.isNotNull(), grown).otherwise(F.concat(acc, F.array(F.struct(b["cy"].alias("total"), F.array(b["pos"]).alias("members")))))
 
     return F.array_sort(F.transform(F.aggregate(ranked, none, join), lambda line: F.struct(mean(line).alias("mean"), line["members"].alias("members"))))
+
+
+def bars_between(bars: DataFrame, letters: DataFrame, key: str, slack: int = 2, rise: int = 4) -> DataFrame:
+    """Bars (key, id, x0, x1, cy) of a line that stand between a left and a right letter, at its height and inside no letter.
+
+    letters: key, x0, x1, y0, y1. A line's letters are summed up to the three numbers that decide about height and
+    neighbours; only the test for "inside a letter" joins them, with letters of the bar's own bins of 64 columns.
+    """
+    line = letters.groupBy(key).agg(F.min("x1").alias("first"), F.max("x0").alias("last"), (F.min("y0") - rise).alias("top"), (F.max("y1") + rise).alias("bottom"))
+    near = bars.join(line, key).where("first <= x0 AND last >= x1 AND cy BETWEEN top AND bottom").select(*bars.columns)
+    # a letter that holds a bar is met in the bin of the bar's left end
+    held = letters.select(key, (F.col("x0") - slack).alias("lo"), (F.col("x1") + slack).alias("hi"))
+    bins = F.sequence(F.floor(F.col("lo") / 64), F.floor(F.col("hi") / 64))
+    held = held.select(F.col(key).alias("__key"), "lo", "hi", F.explode(bins).alias("__bin"))
+    on = (F.col(key) == F.col("__key")) & (F.floor(F.col("x0") / 64) == F.col("__bin")) & (F.col("x0") >= F.col("lo")) & (F.col("x1") <= F.col("hi"))
+    return near.join(held, on, "left_anti")
+
+
+def tagged_bars(boxes: DataFrame, bars: DataFrame, key: str, shift: float = 6, stretch: float = 10) -> DataFrame:
+    """boxes (key, cx, width and others) with is_separator: a bar of the line has a centre and a width that are nearly the same.
+
+    Both sides are dealt to bins of the tolerance, so that only bars of the same or the next bin meet a box.
+    """
+    cell = lambda c: F.floor(F.col(c) / shift)
+    own = boxes.withColumn("__bin", cell("cx"))
+    around = bars.select(F.col(key).alias("__key"), F.col("cx").alias("__cx"), F.col("width").alias("__width"), F.explode(F.array(*[cell("cx") + d for d in (-1, 0, 1)])).alias("__cell"))
+    on = (F.col(key) == F.col("__key")) & (F.col("__bin") == F.col("__cell")) & (F.abs(F.col("cx") - F.col("__cx")) <= shift) & (F.abs(F.col("width") - F.col("__width")) <= stretch)
+    tagged = own.join(around, on, "left_semi").withColumn("is_separator", F.lit(True)).unionByName(own.join(around, on, "left_anti").withColumn("is_separator", F.lit(False)))
+    return tagged.drop("__bin")
+
+
+def maxima(rows: DataFrame, key: str, order: list[str], value: str, threshold: float) -> DataFrame:
+    """rows that are no lower than the one before, higher than the one after and at least `threshold`, with their place i.
+
+    Places count from 0 in each key; first and last rows are no maxima. Two running windows: no task holds a series.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    v = F.col(value)
+    marked = rows.withColumns({"i": F.row_number().over(w) - 1, "__a": F.lag(v).over(w), "__b": F.lead(v).over(w)})
+    return marked.where((v >= F.col("__a")) & (v > F.col("__b")) & (v >= F.lit(threshold))).drop("__a", "__b")
+
+
+def robust_pitch(rows: DataFrame, key: str, width: str, height: float) -> DataFrame:
+    """key, pitch: the median width of those from .32 to 1.05 of the height, and then of those up to 1.35 of that median."""
+    kept = rows.where(F.col(width).between(0.32 * height, 1.05 * height))
+    first = percentiles(kept, key, width, {"__m": 0.5})
+    return percentiles(kept.join(first, key).where(F.col(width) <= 1.35 * F.col("__m")), key, width, {"pitch": 0.5})

@@ -20,6 +20,14 @@ def islands(rows: DataFrame, keys: list[str], at: str, gap: float, order: str) -
     return rows.withColumn("__new", new).withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
+def overlap_islands(rows: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
+    """Adds `island`: it rises where a row's interval begins at or after the end of all before it within its keys."""
+    w = Window.partitionBy(*keys).orderBy(lo, hi)
+    before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    out = rows.withColumn("__new", F.when(F.col(lo) < before, 0).otherwise(1))
+    return out.withColumn("island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+
+
 def link_nearby(local: DataFrame, remote: DataFrame, tolerance: float) -> DataFrame:
     """local_id, remote_id: each local row in order takes the first remote row of the same text nearer than `tolerance` that none has.
 
@@ -48,17 +56,38 @@ def link_nearby(local: DataFrame, remote: DataFrame, tolerance: float) -> DataFr
     return map_groups(both, ["text", "island"], ["pos", "id"], f"local_id {kinds[0]}, remote_id {kinds[1]}", greedy)
 
 
-def overlap_pairs(truth: DataFrame, found: DataFrame, key: str, least: float = 0.5) -> DataFrame:
-    """key, g, p, iou of intervals (key, id, lo, hi) of one line whose overlap over union is at least `least`."""
-    g = truth.select(key, F.col("id").alias("g"), F.col("lo").alias("g0"), F.col("hi").alias("g1"))
-    p = found.select(key, F.col("id").alias("p"), F.col("lo").alias("p0"), F.col("hi").alias("p1"))
+def nearby_pairs(local: DataFrame, remote: DataFrame, tolerance: float) -> DataFrame:
+    """local_id, remote_id of all rows (id, text, at) of one text whose times differ by less than `tolerance`.
+
+    Times are dealt to cells of the tolerance; a remote row is met in its own cell and both next to it, so a text with
+    very many rows pairs no distant ones.
+    """
+    cell = lambda: F.floor(F.col("at") / tolerance)
+    around = remote.select(F.col("id").alias("remote_id"), "text", F.col("at").alias("then"), F.explode(F.array(*[cell() + d for d in (-1, 0, 1)])).alias("cell"))
+    met = local.withColumn("cell", cell()).join(around, ["text", "cell"]).where(F.abs(F.col("at") - F.col("then")) < tolerance)
+    return met.select(F.col("id").alias("local_id"), "remote_id")
+
+
+def overlap_pairs(truth: DataFrame, found: DataFrame, key: str, least: float = 0.5, cell: float = 64.0) -> DataFrame:
+    """key, g, p, iou, lo, hi of intervals (key, id, lo, hi) of one line whose overlap over union is at least `least` (over 0).
+
+    lo, hi: what the two cover. Intervals meet in cells of `cell` units, a few to an interval, and count in the cell where
+    the later one begins; so a line with very many intervals gives no pairs of distant ones. Empty intervals overlap nothing.
+    """
+    cells = F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))
+    side = lambda d, n: d.where("lo < hi").select(key, F.col("id").alias(n), F.col("lo").alias(f"{n}0"), F.col("hi").alias(f"{n}1"), F.explode(cells).alias("__cell"))
     inter = F.least("g1", "p1") - F.greatest("g0", "p0")
     score = inter / F.greatest((F.col("g1") - F.col("g0")) + (F.col("p1") - F.col("p0")) - inter, F.lit(1))
-    return g.join(p, key).where("g0 < p1 AND p0 < g1").withColumn("iou", score).where(F.col("iou") >= least).select(key, "g", "p", "iou")
+    met = side(truth, "g").join(side(found, "p"), [key, "__cell"]).where("g0 < p1 AND p0 < g1").where(F.col("__cell") == F.floor(F.greatest("g0", "p0") / cell))
+    return met.withColumn("iou", score).where(F.col("iou") >= least).select(key, "g", "p", "iou", F.least("g0", "p0").alias("lo"), F.greatest("g1", "p1").alias("hi"))
 
 
 def match_greedy(pairs: DataFrame, key: str) -> DataFrame:
-    """One-to-one pairs of each line, from the best overlap down; of equal ones the larger g, then the larger p, goes first."""
+    """One-to-one pairs of each line, from the best overlap down; of equal ones the larger g, then the larger p, goes first.
+
+    Pairs with lo and hi (as `overlap_pairs` has them) are split where nothing reaches across, so a line with very many
+    pairs still gives small groups; pairs without are one group for each line.
+    """
 
     def greedy(c: dict[str, np.ndarray]) -> list[tuple]:
         used_g, used_p, keep = set(), set(), []
@@ -70,9 +99,11 @@ def match_greedy(pairs: DataFrame, key: str) -> DataFrame:
                 keep.append(row)
         return keep
 
-    names = pairs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema)
-    return map_groups(pairs, [key], [F.desc("iou"), F.desc("g"), F.desc("p")], schema, greedy)
+    split = {"lo", "hi"} <= set(pairs.columns)
+    own = overlap_islands(pairs, [key], "lo", "hi").drop("lo", "hi") if split else pairs
+    names = [c for c in own.columns if c != "island"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name != "island")
+    return map_groups(own, [key, "island"] if split else [key], [F.desc("iou"), F.desc("g"), F.desc("p")], schema, greedy)
 
 
 def boundary_hits(truth: DataFrame, cuts: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -98,28 +129,31 @@ def boundary_hits(truth: DataFrame, cuts: DataFrame, key: str, tolerance: float)
     return map_groups(both, [key, "island"], ["at"], f"{key} {truth.schema[key].dataType.simpleString()}, at {kind}, cut {kind}", greedy)
 
 
-def merge_boxes(boxes: DataFrame, key: str, least: float = 0.5) -> DataFrame:
-    """Boxes (key, x0, y0, x1, y1) of one image, merged where they overlap by `least` or one holds the other, largest first."""
+def merge_boxes(boxes: DataFrame, key: str, least: float = 0.15) -> DataFrame:
+    """Boxes (key, x0, y0, x1, y1) of one image, merged in one pass from the largest down.
+
+    A box joins the first kept one that holds it or overlaps it by `least` (over 0); the two become the box around them.
+    A box that holds a kept one takes its place. Of equal sizes the first by its corners goes first. Images are split
+    where no box reaches across a column, so one with very many boxes still gives small groups.
+    """
 
     def merge(c: dict[str, np.ndarray]) -> list[tuple]:
-        rest = list(zip(*(c[n].tolist() for n in ("x0", "y0", "x1", "y1")), strict=True))
+        kept: list[tuple] = []
         size = lambda b: (b[2] - b[0]) * (b[3] - b[1])
-        moved = True
-        while moved:
-            moved, kept = False, []
-            for b in sorted(rest, key=lambda b: (-size(b), b)):
-                for i, k in enumerate(kept):
-                    w, h = min(b[2], k[2]) - max(b[0], k[0]), min(b[3], k[3]) - max(b[1], k[1])
-                    inter = max(0, w) * max(0, h)
-                    inside = b[0] >= k[0] and b[1] >= k[1] and b[2] <= k[2] and b[3] <= k[3]
-                    if inside or inter / max(size(b) + size(k) - inter, 1) >= least:
-                        kept[i] = (min(b[0], k[0]), min(b[1], k[1]), max(b[2], k[2]), max(b[3], k[3]))
-                        moved = moved or not inside
-                        break
-                else:
-                    kept.append(b)
-            rest = kept
-        return [(c[key][0], *b) for b in rest]
+        holds = lambda a, b: a[0] <= b[0] and a[1] <= b[1] and a[2] >= b[2] and a[3] >= b[3]
+        for b in sorted(zip(*(c[n].tolist() for n in ("x0", "y0", "x1", "y1")), strict=True), key=lambda b: (-size(b), b)):
+            for i, k in enumerate(kept):
+                inter = max(0, min(b[2], k[2]) - max(b[0], k[0])) * max(0, min(b[3], k[3]) - max(b[1], k[1]))
+                if holds(k, b) or inter / max(size(b) + size(k) - inter, 1) >= least:
+                    kept[i] = (min(b[0], k[0]), min(b[1], k[1]), max(b[2], k[2]), max(b[3], k[3]))
+                    break
+                if holds(b, k):
+                    kept[i] = b
+                    break
+            else:
+                kept.append(b)
+        return [(c[key][0], *b) for b in kept]
 
     own = boxes.select(key, "x0", "y0", "x1", "y1")
-    return map_groups(own, [key], ["x0", "y0"], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), merge)
+    split = overlap_islands(own, [key], "x0", "x1")
+    return map_groups(split, [key, "island"], ["x0", "y0"], ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema), merge)

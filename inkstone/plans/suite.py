@@ -2,35 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import boxes, fusion, numeric, segments, signal, text
 from inkstone.functions import constants as K
-from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching
+from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching, ranks
+from inkstone.plans.registry import QUERIES, SQL, Query, query
+from inkstone.plans.registry import rounded as _rounded
 from inkstone.sources.tables import read
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            SQL[fn.__name__] = sql
-        return fn
-
-    return add
-
-
-def _rounded(c, digits: int = 6):
-    return F.round(c, digits)
-
-
 # ---- archive ----------------------------------------------------------------------------------------------------------
 
 
@@ -86,9 +67,9 @@ def visible_semi(spark, sf_dir):
     return archive.visible(read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), owners, "l_orderkey", F.col("o_orderpriority") == "1-URGENT")
 
 
-@query("SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)")
+@query("SELECT n_nationkey, n_name FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey AND s_suppkey % 10 = 3)")
 def guarded_seed(spark, sf_dir):
-    present = read(spark, sf_dir, "supplier", "s_nationkey").select(F.col("s_nationkey").alias("n_nationkey"))
+    present = read(spark, sf_dir, "supplier", "s_nationkey", "s_suppkey").where("s_suppkey % 10 = 3").select(F.col("s_nationkey").alias("n_nationkey"))
     return archive.append_missing(read(spark, sf_dir, "nation", "n_nationkey", "n_name"), present, "n_nationkey")
 
 
@@ -141,11 +122,17 @@ def _sides(spark, sf_dir):
 """)
 def fuzzy_interval_candidates(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
-    other = b.select(F.col("id").alias("remote_id"), "text", F.col("at").alias("then"))
-    return a.join(other, "text").where(F.abs(F.col("at") - F.col("then")) < 86_400_000).select(F.col("id").alias("local_id"), "remote_id")
+    return matching.nearby_pairs(a, b, 86_400_000.0)
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT event_id AS id, event_type || ':' || user_id AS text, epoch_us(ts) // 1000 AS t FROM events),
+    a AS (SELECT a.id, a.text, coalesce(list(b.id ORDER BY b.id) FILTER (b.id IS NOT NULL), CAST([] AS BIGINT[])) AS near FROM e a LEFT JOIN e b ON b.text = a.text AND b.id % 2 = 1 AND abs(a.t - b.t) < 86400000 WHERE a.id % 2 = 0 GROUP BY a.id, a.text),
+    o AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY id) AS n FROM a),
+    m AS (SELECT DISTINCT text, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS local_id, CAST(NULL AS BIGINT) AS remote_id FROM o
+      UNION ALL SELECT text, n, CASE WHEN first IS NULL THEN used ELSE list_append(used, first) END, id, first FROM (SELECT m.text, o.n, used, o.id, list_filter(near, lambda k: NOT list_contains(used, k))[1] AS first FROM m JOIN o ON o.text = m.text AND o.n = m.n + 1) y)
+    SELECT local_id, remote_id FROM m WHERE remote_id IS NOT NULL
+""")
 def fuzzy_interval_greedy(spark, sf_dir):
     a, b = _sides(spark, sf_dir)
     return matching.link_nearby(a, b, 86_400_000.0)
@@ -174,7 +161,7 @@ def state_merge(spark, sf_dir):
 @query("SELECT user_id, max_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
 def upsert_latest(spark, sf_dir):
     events = read(spark, sf_dir, "events", "user_id", "event_id", "ts")
-    return events.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    return archive.latest(events, "user_id", [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
 
 
 @query("""
@@ -326,11 +313,9 @@ def avg_confidence(spark, sf_dir):
 """)
 def median_pair(spark, sf_dir):
     prices = read(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice")
-    # the upper median of many rows is a discrete percentile: no array of all values
-    n = F.count("l_extendedprice")
-    upper = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY l_extendedprice)")
-    high = F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -l_extendedprice)")
-    return prices.groupBy("l_returnflag").agg(_rounded(F.when(n % 2 == 0, high).otherwise(upper)).alias("upper_median"), _rounded(F.percentile("l_extendedprice", 0.5)).alias("true_median"))
+    n = F.col("n")
+    middle = ranks.at_ranks(prices, "l_returnflag", "l_extendedprice", {"upper": F.floor(n / 2), "lower": F.floor((n - 1) / 2)})
+    return middle.select("l_returnflag", _rounded("upper").alias("upper_median"), _rounded((F.col("lower") + F.col("upper")) / 2).alias("true_median"))
 
 
 @query("""
@@ -339,7 +324,8 @@ def median_pair(spark, sf_dir):
 """)
 def percentile_exact(spark, sf_dir):
     prices = read(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice")
-    return prices.groupBy("l_returnflag").agg(*[_rounded(F.percentile("l_extendedprice", p)).alias(n) for n, p in (("p10", 0.1), ("p85", 0.85), ("p92", 0.92), ("p98", 0.98))])
+    names = {"p10": 0.1, "p85": 0.85, "p92": 0.92, "p98": 0.98}
+    return ranks.percentiles(prices, "l_returnflag", "l_extendedprice", names).select("l_returnflag", *[_rounded(n).alias(n) for n in names])
 
 
 @query("""
@@ -347,9 +333,8 @@ def percentile_exact(spark, sf_dir):
     SELECT l_suppkey, round(median(q), 6) AS pitch FROM w JOIN m USING (l_suppkey) WHERE q <= 1.35 * m GROUP BY l_suppkey
 """)
 def robust_pitch(spark, sf_dir):
-    kept = read(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity").where(F.col("l_quantity").between(0.32 * 40, 1.05 * 40))
-    first = kept.groupBy("l_suppkey").agg(F.percentile("l_quantity", 0.5).alias("m"))
-    return kept.join(first, "l_suppkey").where(F.col("l_quantity") <= 1.35 * F.col("m")).groupBy("l_suppkey").agg(_rounded(F.percentile("l_quantity", 0.5)).alias("pitch"))
+    lines = read(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity")
+    return layout.robust_pitch(lines, "l_suppkey", "l_quantity", 40.0).withColumn("pitch", _rounded("pitch"))
 
 
 @query("""
@@ -488,8 +473,8 @@ _SERIES = "o AS (SELECT user_id, least(1.0, value / 100) AS v, row_number() OVER
     SELECT user_id, CAST(i AS INT) AS i, round(v, 6) AS v FROM l WHERE v >= a AND v > b AND v >= 0.35
 """)
 def local_maxima(spark, sf_dir):
-    found = _series(spark, sf_dir).select("user_id", "v", F.explode(signal.local_maxima(F.col("v"), 0.35)).alias("i"))
-    return found.select("user_id", "i", _rounded(F.get("v", F.col("i"))).alias("v"))
+    events = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "value").withColumn("v", F.least(F.lit(1.0), F.col("value") / 100))
+    return layout.maxima(events, "user_id", ["ts", "event_id"], "v", 0.35).select("user_id", "i", _rounded("v").alias("v"))
 
 
 @query(f"""
@@ -499,11 +484,24 @@ def local_maxima(spark, sf_dir):
     FROM e JOIN o ON o.user_id = e.user_id AND o.i > e.lo AND o.i < e.hi GROUP BY e.user_id, e.i, e.v
 """)
 def prominence(spark, sf_dir):
-    found = _series(spark, sf_dir).select("user_id", "v", F.explode(signal.local_maxima(F.col("v"), 0.35)).alias("i"))
-    return found.select("user_id", "i", _rounded(signal.prominence(F.col("v"), F.col("i"))).alias("prominence"))
+    peaks = F.transform(signal.local_maxima(F.col("v"), 0.35), lambda i: F.struct(i.alias("i"), signal.prominence(F.col("v"), i).alias("p")))
+    return _series(spark, sf_dir).select("user_id", F.explode(peaks).alias("x")).select("user_id", "x.i", _rounded("x.p").alias("prominence"))
 
 
-@query()
+#: Peaks from the strongest down, each dropped if a kept one is nearer than 3.
+_SUPPRESSED = """
+    c AS (SELECT user_id, i, v, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, i) AS n FROM l WHERE v >= a AND v > b AND v >= 0.35),
+    m AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM o
+      UNION ALL SELECT m.user_id, c.n, CASE WHEN len(list_filter(kept, lambda k: abs(k - c.i) < 3)) = 0 THEN list_append(kept, c.i) ELSE kept END FROM m JOIN c ON c.user_id = m.user_id AND c.n = m.n + 1),
+    k AS (SELECT user_id, list_sort(max_by(kept, n)) AS cuts FROM m GROUP BY user_id)
+"""
+
+
+@query(f"""
+    WITH RECURSIVE {_SERIES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),{_SUPPRESSED}
+    , e AS (SELECT k.user_id, cuts, list_concat([0], cuts, [n]) AS e FROM k JOIN (SELECT user_id, max(n) AS n FROM o GROUP BY user_id) z USING (user_id))
+    SELECT user_id, coalesce(list_aggregate(cuts, 'string_agg', ','), '') AS cuts, CAST(len(list_filter(range(1, len(e)), lambda j: e[j + 1] - e[j] >= 2)) AS INT) AS n_intervals FROM e
+""")
 def nms_peaks(spark, sf_dir):
     found = _series(spark, sf_dir).withColumn("cuts", signal.peaks(F.col("v")))
     return found.select("user_id", F.array_join(F.col("cuts").cast("array<string>"), ",").alias("cuts"), F.size(signal.intervals(F.col("cuts"), F.size("v"))).alias("n_intervals"))
@@ -523,7 +521,17 @@ def line_bands(spark, sf_dir):
     return found.select("user_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("peaks"), F.array_join(signal.valley_cuts(F.col("v"), F.col("p")).cast("array<string>"), ",").alias("cuts"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_SERIES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),{_SUPPRESSED},
+    e AS (SELECT k.user_id, list_concat([0], cuts, [n]) AS e, vs FROM k JOIN (SELECT user_id, max(n) AS n, list(v ORDER BY i) AS vs FROM o GROUP BY user_id) z USING (user_id)),
+    s AS (SELECT user_id, e, vs, unnest(range(0, len(e) - 1)) AS i FROM e), t AS (SELECT user_id, e, vs, i, unnest(range(i + 1, least(i + 4, len(e)))) AS j FROM s),
+    r AS (SELECT user_id, i, j, e[i + 1] AS lo, e[j + 1] AS hi, greatest(round(list_sum(vs[e[i + 1] + 1 : e[j + 1]]) / (e[j + 1] - e[i + 1]), 9), 0) - 0.55 AS reward FROM t),
+    d AS (SELECT user_id, 0::BIGINT AS j, [0.0]::DOUBLE[] AS best, CAST([-1] AS BIGINT[]) AS back FROM e
+      UNION ALL SELECT user_id, j, list_append(best, top.total), list_append(back, top.i) FROM (SELECT d.user_id, r.j, any_value(d.best) AS best, any_value(d.back) AS back, list_sort(list(struct_pack(minus := -(d.best[r.i + 1] + r.reward), i := r.i, total := d.best[r.i + 1] + r.reward)))[1] AS top FROM d JOIN r ON r.user_id = d.user_id AND r.j = d.j + 1 GROUP BY d.user_id, r.j) y),
+    f AS (SELECT user_id, max_by(back, j) AS back FROM d GROUP BY user_id),
+    w AS (SELECT user_id, back, len(back)::BIGINT - 1 AS j FROM f UNION ALL SELECT user_id, back, back[j + 1] FROM w WHERE back[j + 1] > 0)
+    SELECT r.user_id, CAST(r.i AS INT) AS i, CAST(r.j AS INT) AS j, CAST(r.lo AS INT) AS lo, CAST(r.hi AS INT) AS hi, round(r.reward, 6) AS reward FROM w JOIN r ON r.user_id = w.user_id AND r.j = w.j AND r.i = w.back[w.j + 1]
+""")
 def span_lattice(spark, sf_dir):
     """Best segmentation of each user's series: spans of up to three intervals, by their mean."""
     lines = _series(spark, sf_dir).withColumn("edges", F.concat(F.array(F.lit(0)), signal.peaks(F.col("v")), F.array(F.size("v"))))
@@ -532,7 +540,15 @@ def span_lattice(spark, sf_dir):
     return lattice.best_path(scored, "user_id").withColumn("reward", _rounded("reward"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE b AS (SELECT l_orderkey, l_linenumber AS pos, (l_partkey % 60)::DOUBLE AS cy, l_quantity::DOUBLE AS h FROM lineitem),
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY cy, pos) AS n FROM b), t AS (SELECT l_orderkey, greatest(8.0, 0.55 * list_sort(list(h))[CAST(count(*) // 2 AS INT) + 1]) AS near FROM b GROUP BY l_orderkey),
+    m AS (SELECT l_orderkey, CAST(0 AS BIGINT) AS n, near, CAST([] AS STRUCT(total DOUBLE, ids INT[])[]) AS acc FROM t
+      UNION ALL SELECT l_orderkey, n, near, CASE WHEN hit IS NULL THEN list_append(acc, struct_pack(total := cy, ids := [pos])) ELSE list_transform(acc, lambda a, i: CASE WHEN i = hit THEN struct_pack(total := a.total + cy, ids := list_append(a.ids, pos)) ELSE a END) END
+      FROM (SELECT m.l_orderkey, o.n, near, acc, o.cy, CAST(o.pos AS INT) AS pos, list_position(list_transform(acc, lambda a: abs(o.cy - a.total / len(a.ids)) <= near), true) AS hit FROM m JOIN o ON o.l_orderkey = m.l_orderkey AND o.n = m.n + 1) s),
+    f AS (SELECT l_orderkey, max_by(acc, n) AS acc FROM m GROUP BY l_orderkey), u AS (SELECT l_orderkey, unnest(acc) AS a FROM f)
+    SELECT l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY a.total / len(a.ids), a.ids) - 1 AS INT) AS line, round(a.total / len(a.ids), 6) AS mean, list_aggregate(a.ids, 'string_agg', ',') AS members FROM u
+""")
 def line_clusters(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     box = F.struct(F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 60).alias("cy"), F.col("l_quantity").alias("h"))
@@ -628,21 +644,46 @@ def _truth(spark, sf_dir):
     SELECT l_orderkey, g, p, round(x / greatest(s - x, 1), 6) AS iou FROM p WHERE x / greatest(s - x, 1) >= 0.5
 """)
 def interval_iou_pairs(spark, sf_dir):
-    return matching.overlap_pairs(*_truth(spark, sf_dir), "l_orderkey").withColumn("iou", _rounded("iou"))
+    return matching.overlap_pairs(*_truth(spark, sf_dir), "l_orderkey").select("l_orderkey", "g", "p", _rounded("iou").alias("iou"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber AS id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + 5 + CAST(trunc(l_quantity) AS INT) AS hi FROM lineitem),
+    x AS (SELECT g.l_orderkey, g.id AS g, q.id AS p, (least(g.hi, q.hi) - greatest(g.lo, q.lo)) AS x, (g.hi - g.lo) + (q.hi - q.lo) AS s FROM i g JOIN i q ON g.l_orderkey = q.l_orderkey AND g.id % 2 = 1 AND q.id % 2 = 0 AND g.lo < q.hi AND q.lo < g.hi),
+    p AS (SELECT l_orderkey, g, p, x / greatest(s - x, 1) AS iou, row_number() OVER (PARTITION BY l_orderkey ORDER BY x / greatest(s - x, 1) DESC, g DESC, p DESC) AS n FROM x WHERE x / greatest(s - x, 1) >= 0.5),
+    m AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS ps, false AS taken FROM p
+      UNION ALL SELECT l_orderkey, n2, CASE WHEN f THEN list_append(gs, g2) ELSE gs END, CASE WHEN f THEN list_append(ps, p2) ELSE ps END, f FROM (SELECT m.*, p.n AS n2, p.g AS g2, p.p AS p2, NOT list_contains(gs, p.g) AND NOT list_contains(ps, p.p) AS f FROM m JOIN p ON p.l_orderkey = m.l_orderkey AND p.n = m.n + 1) y)
+    SELECT p.l_orderkey, p.g, p.p, round(p.iou, 6) AS iou FROM m JOIN p USING (l_orderkey, n) WHERE m.taken
+""")
 def interval_match_greedy(spark, sf_dir):
     return matching.match_greedy(matching.overlap_pairs(*_truth(spark, sf_dir), "l_orderkey"), "l_orderkey").withColumn("iou", _rounded("iou"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber % 2 AS odd, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS x FROM lineitem),
+    g AS (SELECT l_orderkey, x, row_number() OVER (PARTITION BY l_orderkey ORDER BY x) AS n FROM i WHERE odd = 1), c AS (SELECT l_orderkey, list(DISTINCT x) AS cuts FROM i WHERE odd = 0 GROUP BY l_orderkey),
+    m AS (SELECT l_orderkey, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS x, CAST(NULL AS BIGINT) AS cut FROM c
+      UNION ALL SELECT l_orderkey, n, CASE WHEN best.d <= 20 THEN list_append(used, best.cut) ELSE used END, x, CASE WHEN best.d <= 20 THEN best.cut END
+      FROM (SELECT m.l_orderkey, g.n, used, g.x, list_sort(list_transform(list_filter(c.cuts, lambda k: NOT list_contains(used, k)), lambda k: struct_pack(d := abs(k - g.x), cut := k)))[1] AS best FROM m JOIN g ON g.l_orderkey = m.l_orderkey AND g.n = m.n + 1 JOIN c ON c.l_orderkey = m.l_orderkey) y)
+    SELECT l_orderkey, CAST(x AS INT) AS at, CAST(cut AS INT) AS cut FROM m WHERE cut IS NOT NULL
+""")
 def boundary_hits(spark, sf_dir):
     g, p = _truth(spark, sf_dir)
     return matching.boundary_hits(g.select("l_orderkey", F.col("lo").alias("at")), p.select("l_orderkey", F.col("lo").alias("at")), "l_orderkey", 20)
 
 
-@query()
+@query("""
+    WITH RECURSIVE b AS (SELECT l_orderkey, CAST(l_partkey % 40 AS INT) AS x0, CAST(l_suppkey % 30 AS INT) AS y0, CAST(l_partkey % 40 + 20 + CAST(trunc(l_quantity) AS INT) % 30 AS INT) AS x1, CAST(l_suppkey % 30 + 30 AS INT) AS y1 FROM lineitem),
+    o AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (x1 - x0) * (y1 - y0) DESC, x0, y0, x1, y1) AS n FROM b),
+    m AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x0 INT, y0 INT, x1 INT, y1 INT)[]) AS kept FROM b
+      UNION ALL SELECT l_orderkey, n, CASE WHEN hit IS NULL THEN list_append(kept, box) ELSE list_transform(kept, lambda k, i: CASE WHEN i <> hit THEN k WHEN kind[hit] = 1 THEN struct_pack(x0 := least(k.x0, box.x0), y0 := least(k.y0, box.y0), x1 := greatest(k.x1, box.x1), y1 := greatest(k.y1, box.y1)) ELSE box END) END
+      FROM (SELECT *, list_position(list_transform(kind, lambda z: z > 0), true) AS hit FROM (SELECT m.l_orderkey, o.n, kept, struct_pack(x0 := o.x0, y0 := o.y0, x1 := o.x1, y1 := o.y1) AS box, list_transform(kept, lambda k: CASE
+        WHEN k.x0 <= o.x0 AND k.y0 <= o.y0 AND k.x1 >= o.x1 AND k.y1 >= o.y1 THEN 1
+        WHEN greatest(0, least(o.x1, k.x1) - greatest(o.x0, k.x0)) * greatest(0, least(o.y1, k.y1) - greatest(o.y0, k.y0)) / CAST(greatest((o.x1 - o.x0) * (o.y1 - o.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - greatest(0, least(o.x1, k.x1) - greatest(o.x0, k.x0)) * greatest(0, least(o.y1, k.y1) - greatest(o.y0, k.y0)), 1) AS DOUBLE) >= 0.15 THEN 1
+        WHEN o.x0 <= k.x0 AND o.y0 <= k.y0 AND o.x1 >= k.x1 AND o.y1 >= k.y1 THEN 2 ELSE 0 END) AS kind FROM m JOIN o ON o.l_orderkey = m.l_orderkey AND o.n = m.n + 1) s) t),
+    f AS (SELECT l_orderkey, max_by(kept, n) AS kept FROM m GROUP BY l_orderkey)
+    SELECT l_orderkey, k.x0, k.y0, k.x1, k.y1 FROM (SELECT l_orderkey, unnest(kept) AS k FROM f) u
+""")
 def box_merge(spark, sf_dir):
     at = lambda c, n: (F.col(c) % n).cast("int")
     lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
@@ -702,15 +743,23 @@ def job_prune(spark, sf_dir):
     return jobs.pruned(records.crossJoin(now), F.col("now"), "created", "updated", "user_id", minutes=20 * 60).select("user_id")
 
 
-@query()
+@query("""
+    WITH a AS (SELECT user_id, event_id, epoch_us(ts) AS t, CAST(floor(value * 1e9) AS BIGINT) AS service FROM events),
+    b AS (SELECT *, sum(service) OVER w - service AS before FROM a WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+    c AS (SELECT *, max(t - before) OVER w + before AS begun FROM b WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))
+    SELECT user_id, event_id, CAST(begun AS BIGINT) AS start, CAST(begun + service AS BIGINT) AS end FROM c
+""")
 def fifo_queue(spark, sf_dir):
-    arrivals = read(spark, sf_dir, "events", "event_id", "user_id", "ts", "value").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), (F.col("value") * 1e9).alias("service"))
-    return jobs.fifo(arrivals, "user_id", "at", "service", "event_id").select("user_id", "event_id", F.round("start", 0).alias("start"), F.round("end", 0).alias("end"))
+    arrivals = read(spark, sf_dir, "events", "event_id", "user_id", "ts", "value").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.floor(F.col("value") * 1e9).alias("service"))
+    return jobs.fifo(arrivals, "user_id", "at", "service", "event_id").select("user_id", "event_id", "start", "end")
 
 
 def queries() -> dict[str, Query]:
+    from inkstone.plans import profiles, records  # noqa: F401  they register themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

@@ -33,23 +33,31 @@ def upsert(path: str, key: str = "id", order: str = "updated_at", minutes: int =
     """A foreachBatch writer: the last row of each key, pruned by age and number, as a new version of a Parquet table.
 
     Versions are folders named by batch; a batch that is run again writes the same folder again, so results are exact.
+    A batch whose version before is missing is an error, not an empty table; versions before that one are removed.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch
-        if number > 0 and (before := _version(spark, path, number - 1)) is not None:
-            rows = before.unionByName(batch)
+        if number > 0:
+            rows = _version(spark, path, number - 1).unionByName(batch)
         latest = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), order).alias("r")).select(key, "r.*")
         now = latest.agg(F.max(order).alias("__now"))
         kept = pruned(latest.crossJoin(F.broadcast(now)), F.col("__now"), "created_at", order, key, cap, minutes).drop("__now")
         kept.write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:
+            _files(spark, f"{path}/v{number - 2}", lambda fs, at: fs.delete(at, True))
 
     return write
 
 
-def _version(spark, path: str, number: int) -> DataFrame | None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/v{number}/_SUCCESS")
-    there = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    return spark.read.parquet(f"{path}/v{number}") if there else None
+def _files(spark, path: str, do):
+    """do(file system, path) in the store of the path; needs a classic session."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def _version(spark, path: str, number: int) -> DataFrame:
+    if not _files(spark, f"{path}/v{number}/_SUCCESS", lambda fs, at: fs.exists(at)):
+        raise FileNotFoundError(f"version {number} of {path} is missing or unfinished")
+    return spark.read.parquet(f"{path}/v{number}")
