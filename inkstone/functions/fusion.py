@@ -119,3 +119,63 @@ def paper_trusted(confidence: Column, label: Column) -> Column:
 
 def same_type(a: Column, b: Column) -> Column:
     return a.isNull() | b.isNull() | (is_numeral(a) == is_numeral(b))
+
+
+#: Least confidence, least similarity and least margin that are trusted.
+LEAST_CONFIDENCE, LEAST_SIMILARITY, LEAST_MARGIN = 0.35, 0.45, 0.02
+
+
+def verdict(cnn: Column, proto: Column, shape: Column) -> Column:
+    """struct(label, trusted, trust, reason) of a network's vote and, where there are any, a prototype's and a shape's.
+
+    Votes are structs (label, score, margin); label is null where the verdict isn't trusted. The label of the largest sum
+    of weights stands first; a kind (letter or numeral) against the network's, or a weak network, changes it. The first
+    reason that holds then says how far it is trusted.
+    """
+
+    def number(v: Column, name: str) -> Column:
+        return F.when(v["label"].isNotNull() & (v["label"] != ""), v[name]).otherwise(0.0).cast("double")
+
+    c, p, s = (F.nullif(v["label"], F.lit("")) for v in (cnn, proto, shape))
+    cc, cm, ps, pm, ss, sm = (number(v, n) for v in (cnn, proto, shape) for n in ("score", "margin"))
+    high = lambda x: F.greatest(x, F.lit(0.0))
+    is_ = lambda a, b: F.coalesce(a == b, F.lit(False))
+    kin = lambda a: same_type(c, a)
+    pick = lambda label, trust: F.struct(label.alias("label"), trust.cast("double").alias("trust"))
+
+    def corrected(first: Column) -> Column:
+        both = is_(p, first["label"]) & is_(s, first["label"]) & (ps >= 0.78) & (ss >= 0.28) & (sm >= 0.08)
+        kind = F.when(~kin(first["label"]) & (cc >= 0.22) & ~both, pick(c, 0.45 * cc + 0.15)).otherwise(pick(first["label"], first["trust"]))
+        by_proto = p.isNotNull() & kin(p) & (ps >= 0.68) & (cc < 0.40) & ((pm >= 0.02) | (cc < 0.30))
+        by_shape = s.isNotNull() & kin(s) & (cc < 0.40) & (sm >= 0.08) & (ss >= 0.22) & (p.isNull() | (ps < 0.82) | is_(p, s))
+        firm = p.isNotNull() & ~is_(p, s) & (ps >= 0.80) & (pm >= 0.08) & kin(p)
+        return F.when(by_shape & ~firm, pick(s, 0.55 * ss + 0.25 * high(ps) + 0.15)).when(by_proto, pick(p, 0.65 * ps + 0.15)).otherwise(kind)
+
+    def reasoned(chosen: Column) -> Column:
+        label, trust = chosen["label"], chosen["trust"]
+        by_c, by_p, by_s, same = is_(c, label), is_(p, label), is_(s, label), kin(label)
+        override = 0.65 * ps + 0.15 * high(pm) + 0.10
+        structure = by_s & (ss >= 0.50) & (by_c | (sm >= 0.12))
+        ladder = [
+            ("cnn_proto_agree", by_p & by_c & (ps >= LEAST_SIMILARITY) & ((cc >= LEAST_CONFIDENCE) | (ps >= 0.70)), label, trust),
+            ("proto_shape_agree", by_p & by_s & same & (ps >= 0.55) & ((ss >= 0.40) | ((ss >= 0.30) & (sm >= 0.10))), label, 0.50 * ps + 0.35 * ss + 0.10),
+            ("shape_override", by_s & same & (sm >= 0.08) & (ss >= 0.22) & (cc < 0.40), label, 0.55 * F.greatest(ss, F.lit(0.25)) + 0.25 * sm + 0.15),
+            ("prototype_override", by_p & same & (ps >= 0.65) & ((pm >= 0.015) | (cc < 0.40) | by_s), label, F.when(by_s, F.least(F.lit(0.95), override + 0.08)).otherwise(override)),
+            ("shape_structure", structure & (same | by_c), label, 0.50 * ss + 0.25 * F.greatest(ps, cc) + 0.15),
+            ("type_mismatch_reject", structure, None, trust * 0.4),
+            ("prefer_cnn_letter_number", ~same & by_c & (cc >= 0.20), c, 0.55 * F.greatest(cc, F.lit(0.25)) + 0.25),
+            ("cnn_confident", by_c & (cc >= 0.45) & (cm >= 0.08), c, 0.55 * cc + 0.2),
+            ("disagree_reject", F.lit(True), None, trust * 0.5),
+        ]
+        steps = [F.when(test, _verdict(reason, out, value)) for reason, test, out, value in ladder]
+        return F.coalesce(*steps)
+
+    alone = (cc >= 0.55) & (cm >= LEAST_MARGIN)
+    only = F.struct(F.when(alone, c).alias("label"), alone.alias("trusted"), (cc * (0.5 + 0.5 * F.least(F.lit(1.0), high(cm) / 0.2))).alias("trust"), F.lit("cnn_only").alias("reason"))
+    weighed = let(let(fused(vote_weights(cnn, proto, shape)), corrected), reasoned)
+    return F.when(p.isNull() & s.isNull(), only).otherwise(weighed)
+
+
+def _verdict(reason: str, label: Column | None, trust: Column) -> Column:
+    bounded = F.least(F.lit(1.0), F.greatest(F.lit(0.0), trust))
+    return F.struct((F.lit(None).cast("string") if label is None else label).alias("label"), F.lit(label is not None).alias("trusted"), bounded.alias("trust"), F.lit(reason).alias("reason"))

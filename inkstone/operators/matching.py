@@ -86,7 +86,7 @@ def match_greedy(pairs: DataFrame, key: str) -> DataFrame:
     """One-to-one pairs of each line, from the best overlap down; of equal ones the larger g, then the larger p, goes first.
 
     Pairs with lo and hi (as `overlap_pairs` has them) are split where nothing reaches across, so a line with very many
-    pairs still gives small groups; pairs without are one group for each line.
+    pairs still gives small groups; pairs without are one group for each line. Ids must be unique within a line.
     """
 
     def greedy(c: dict[str, np.ndarray]) -> list[tuple]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkstone.functions import constants as K
+from inkstone.functions import fusion
 from inkstone.functions import policy as rules
 from inkstone.operators import classify, records
 from inkstone.plans.registry import query
@@ -197,3 +198,35 @@ def predicted_lookalikes(spark, sf_dir):
     letter = F.substring(F.lit("".join(K.LETTERS)), (F.col("doc_id") % 29 + 1).cast("int"), F.lit(1))
     predicted = read(spark, sf_dir, "documents", "doc_id").select("doc_id", letter.alias("a"))
     return predicted.join(F.broadcast(classify.confusable(classify.group_members(spark))), "a", "left").groupBy("doc_id").agg(F.count("b").alias("partners"))  # fixed values
+
+
+@query("""
+    WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_partkey % 4 = 0 THEN 'NUM_5' ELSE 'x' END AS c, (l_partkey % 37) / 36.0::DOUBLE AS cc, (l_partkey % 23) / 40.0::DOUBLE AS cm,
+        CASE WHEN l_suppkey % 5 = 0 THEN NULL WHEN l_suppkey % 3 = 0 THEN 'y' WHEN l_suppkey % 3 = 1 THEN 'x' ELSE 'NUM_5' END AS p, (l_suppkey % 41) / 40.0::DOUBLE AS p1, (l_suppkey % 19) / 90.0::DOUBLE AS p2,
+        CASE WHEN l_linenumber % 4 = 0 THEN NULL WHEN (l_partkey + l_suppkey) % 3 = 0 THEN 'x' WHEN (l_partkey + l_suppkey) % 3 = 1 THEN 'y' ELSE 'NUM_5' END AS s, ((l_partkey + 7 * l_suppkey) % 31) / 40.0::DOUBLE AS s1, (l_partkey * 3 % 17) / 60.0::DOUBLE AS s2 FROM lineitem),
+    i AS (SELECT *, CASE WHEN p IS NULL THEN 0 ELSE p1 END AS ps, CASE WHEN p IS NULL THEN 0 ELSE p2 END AS pm, CASE WHEN s IS NULL THEN 0 ELSE s1 END AS ss, CASE WHEN s IS NULL THEN 0 ELSE s2 END AS sm, c LIKE 'NUM%' AS cn, p LIKE 'NUM%' AS pn, s LIKE 'NUM%' AS sn FROM v),
+    w AS (SELECT *, 0.45 * cc AS wc, 0.40 * ps * CASE WHEN NOT cn AND pn THEN 0.35 ELSE 1 END AS wp, 0.45 * ss * CASE WHEN NOT cn AND sn THEN 0.35 ELSE 1 END * CASE WHEN s2 < 0.05 THEN 0.25 ELSE 1 END AS ws FROM i),
+    t AS (SELECT *, wc + CASE WHEN p = c THEN wp ELSE 0 END + CASE WHEN s = c THEN ws ELSE 0 END AS tc, CASE WHEN p IS NULL THEN -1 ELSE wp + CASE WHEN c = p THEN wc ELSE 0 END + CASE WHEN s = p THEN ws ELSE 0 END END AS tp, CASE WHEN s IS NULL THEN -1 ELSE ws + CASE WHEN c = s THEN wc ELSE 0 END + CASE WHEN p = s THEN wp ELSE 0 END END AS ts FROM w),
+    f AS (SELECT *, CASE WHEN tc >= tp AND tc >= ts THEN c WHEN tp >= ts THEN p ELSE s END AS f, greatest(tc, tp, ts) AS ft FROM t),
+    g AS (SELECT *, coalesce(cn = pn, true) AS kp, coalesce(cn = sn, true) AS ks, cn <> (f LIKE 'NUM%') AND cc >= 0.22 AND NOT coalesce(p = f AND s = f AND ps >= 0.78 AND ss >= 0.28 AND sm >= 0.08, false) AS kind FROM f),
+    h AS (SELECT *, p IS NOT NULL AND kp AND ps >= 0.68 AND cc < 0.40 AND (pm >= 0.02 OR cc < 0.30) AS by_p, s IS NOT NULL AND ks AND cc < 0.40 AND sm >= 0.08 AND ss >= 0.22 AND (p IS NULL OR ps < 0.82 OR p = s) AND NOT (p IS NOT NULL AND coalesce(p <> s, true) AND ps >= 0.80 AND pm >= 0.08 AND kp) AS by_s FROM g),
+    k AS (SELECT *, CASE WHEN by_s THEN s WHEN by_p THEN p WHEN kind THEN c ELSE f END AS l, CASE WHEN by_s THEN 0.55 * ss + 0.25 * ps + 0.15 WHEN by_p THEN 0.65 * ps + 0.15 WHEN kind THEN 0.45 * cc + 0.15 ELSE ft END AS lt FROM h),
+    m AS (SELECT *, l = c AS ac, coalesce(l = p, false) AS ap, coalesce(l = s, false) AS a_s, cn = (l LIKE 'NUM%') AS same FROM k),
+    r AS (SELECT *, CASE WHEN p IS NULL AND s IS NULL THEN 'cnn_only' WHEN ap AND ac AND ps >= 0.45 AND (cc >= 0.35 OR ps >= 0.70) THEN 'cnn_proto_agree' WHEN ap AND a_s AND same AND ps >= 0.55 AND (ss >= 0.40 OR (ss >= 0.30 AND sm >= 0.10)) THEN 'proto_shape_agree'
+        WHEN a_s AND same AND sm >= 0.08 AND ss >= 0.22 AND cc < 0.40 THEN 'shape_override' WHEN ap AND same AND ps >= 0.65 AND (pm >= 0.015 OR cc < 0.40 OR a_s) THEN 'prototype_override' WHEN a_s AND ss >= 0.50 AND (ac OR sm >= 0.12) THEN CASE WHEN same OR ac THEN 'shape_structure' ELSE 'type_mismatch_reject' END
+        WHEN NOT same AND ac AND cc >= 0.20 THEN 'prefer_cnn_letter_number' WHEN ac AND cc >= 0.45 AND cm >= 0.08 THEN 'cnn_confident' ELSE 'disagree_reject' END AS reason FROM m)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, reason, CASE reason WHEN 'cnn_only' THEN CASE WHEN cc >= 0.55 AND cm >= 0.02 THEN c END WHEN 'type_mismatch_reject' THEN NULL WHEN 'disagree_reject' THEN NULL WHEN 'cnn_confident' THEN c ELSE l END AS label,
+        round(CAST(least(1, greatest(0, CASE reason WHEN 'cnn_only' THEN cc * (0.5 + 0.5 * least(cm / 0.2, 1)) WHEN 'cnn_proto_agree' THEN lt WHEN 'proto_shape_agree' THEN 0.50 * ps + 0.35 * ss + 0.10 WHEN 'shape_override' THEN 0.55 * greatest(ss, 0.25) + 0.25 * sm + 0.15
+        WHEN 'prototype_override' THEN CASE WHEN a_s THEN least(0.95, 0.65 * ps + 0.15 * pm + 0.18) ELSE 0.65 * ps + 0.15 * pm + 0.10 END WHEN 'shape_structure' THEN 0.50 * ss + 0.25 * greatest(ps, cc) + 0.15 WHEN 'type_mismatch_reject' THEN lt * 0.4
+        WHEN 'prefer_cnn_letter_number' THEN 0.55 * greatest(cc, 0.25) + 0.25 WHEN 'cnn_confident' THEN 0.55 * cc + 0.2 ELSE lt * 0.5 END)) AS DOUBLE) + 1e-9, 6) AS trust FROM r
+""")
+def fused_verdict(spark, sf_dir):
+    part, supp = F.col("l_partkey"), F.col("l_suppkey")
+    vote = lambda label, score, margin: F.struct(label.alias("label"), score.alias("score"), margin.alias("margin"))
+    of = lambda k, a, b: F.when(k % 3 == 0, a).when(k % 3 == 1, b).otherwise("NUM_5")
+    cnn = vote(F.when(part % 4 == 0, "NUM_5").otherwise("x"), part % 37 / 36.0, part % 23 / 40.0)
+    proto = vote(F.when(supp % 5 != 0, of(supp, "y", "x")), supp % 41 / 40.0, supp % 19 / 90.0)
+    shape = vote(F.when(F.col("l_linenumber") % 4 != 0, of(part + supp, "x", "y")), (part + 7 * supp) % 31 / 40.0, part * 3 % 17 / 60.0)
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    found = lines.withColumn("v", fusion.verdict(cnn, proto, shape))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "v.reason", "v.label", F.round(F.col("v.trust") + 1e-9, 6).alias("trust"))

@@ -634,12 +634,13 @@ def lookalike_pairs(spark, sf_dir):
 
 def _truth(spark, sf_dir):
     at = F.datediff("l_shipdate", F.lit("1992-01-01"))
-    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity").select("l_orderkey", F.col("l_linenumber").alias("id"), at.alias("lo"), (at + 5 + F.col("l_quantity").cast("int")).alias("hi"))
+    # ids of lines repeat in some tables; with the part they don't
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate", "l_quantity").select("l_orderkey", (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("id"), at.alias("lo"), (at + 5 + F.col("l_quantity").cast("int")).alias("hi"))
     return lines.where("id % 2 = 1"), lines.where("id % 2 = 0")
 
 
 @query("""
-    WITH i AS (SELECT l_orderkey, l_linenumber AS id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + 5 + CAST(trunc(l_quantity) AS INT) AS hi FROM lineitem),
+    WITH i AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + 5 + CAST(trunc(l_quantity) AS INT) AS hi FROM lineitem),
     p AS (SELECT g.l_orderkey, g.id AS g, q.id AS p, (least(g.hi, q.hi) - greatest(g.lo, q.lo)) AS x, (g.hi - g.lo) + (q.hi - q.lo) AS s FROM i g JOIN i q ON g.l_orderkey = q.l_orderkey AND g.id % 2 = 1 AND q.id % 2 = 0 AND g.lo < q.hi AND q.lo < g.hi)
     SELECT l_orderkey, g, p, round(x / greatest(s - x, 1), 6) AS iou FROM p WHERE x / greatest(s - x, 1) >= 0.5
 """)
@@ -648,7 +649,7 @@ def interval_iou_pairs(spark, sf_dir):
 
 
 @query("""
-    WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber AS id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + 5 + CAST(trunc(l_quantity) AS INT) AS hi FROM lineitem),
+    WITH RECURSIVE i AS (SELECT l_orderkey, l_partkey * 10 + l_linenumber AS id, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS lo, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) + 5 + CAST(trunc(l_quantity) AS INT) AS hi FROM lineitem),
     x AS (SELECT g.l_orderkey, g.id AS g, q.id AS p, (least(g.hi, q.hi) - greatest(g.lo, q.lo)) AS x, (g.hi - g.lo) + (q.hi - q.lo) AS s FROM i g JOIN i q ON g.l_orderkey = q.l_orderkey AND g.id % 2 = 1 AND q.id % 2 = 0 AND g.lo < q.hi AND q.lo < g.hi),
     p AS (SELECT l_orderkey, g, p, x / greatest(s - x, 1) AS iou, row_number() OVER (PARTITION BY l_orderkey ORDER BY x / greatest(s - x, 1) DESC, g DESC, p DESC) AS n FROM x WHERE x / greatest(s - x, 1) >= 0.5),
     m AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS gs, CAST([] AS BIGINT[]) AS ps, false AS taken FROM p
