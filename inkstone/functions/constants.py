@@ -50,3 +50,4 @@ DOCUMENT_TYPES, DOCUMENT_SUFFIXES = ("pdf", "msword", "wordprocessingml", "text/
 #: Signs and names by which labels give a letter, and letters with a round body.
 LABELS_OF = {"mem": ("𐩣", "MEM"), "heth": ("𐩢", "HETH", "HA"), "beth": ("𐩨", "BETH", "BA")}
 ROUND_LETTERS = ("𐩥", "𐩲", "𐩧")
+WAW, AYN, TETH, DHADHE, BETH, GIMEL = "𐩥", "𐩲", "𐩷", "𐩳", "𐩨", "𐩴"

@@ -213,3 +213,131 @@ def is_round(label: Column) -> Column:
 
 def is_stem_body(label: Column) -> Column:
     return is_letter(label, "mem") | is_letter(label, "heth")
+
+
+def expanded_peak(values: Column, peak: Column, share: float = 0.22) -> Column:
+    """lo, hi (exclusive) around a peak, as far as samples hold `share` of it, .12 at least."""
+    floor = F.greatest(F.lit(0.12), F.lit(share) * F.get(values, peak))
+    low = F.filter(F.transform(values, lambda v, i: F.when(v < floor, i)), lambda i: i.isNotNull())
+    before, after = F.array_max(F.filter(low, lambda i: i < peak)), F.array_min(F.filter(low, lambda i: i > peak))
+    return F.struct(F.coalesce(before + 1, F.lit(0)).alias("lo"), F.coalesce(after, F.size(values)).alias("hi"))
+
+
+def valley(values: Column, lo: Column, hi: Column) -> Column:
+    """The first lowest index of [lo, hi) within the signal; lo where there is no more than one."""
+    a, b = F.greatest(F.lit(0), lo).cast("int"), F.least(F.size(values), hi).cast("int")
+    part = span(values, a, b)
+    return F.when(b <= a + 1, a).otherwise((a + F.array_position(part, F.array_min(part)) - 1).cast("int"))
+
+
+def valley_bands(values: Column, found: Column) -> Column:
+    """A band (lo, hi) for each peak, cut in the valleys between peaks and, a median distance beyond the outer ones, at their lowest."""
+    n = F.size(found)
+    pitch = F.when(n > 1, F.floor(_median(widths(found)))).otherwise(F.size(values)).cast("int")
+
+    def bands(edges: Column) -> Column:
+        m = F.size(edges) - 1
+        return F.zip_with(F.slice(edges, 1, m), F.slice(edges, 2, m), lambda a, b: F.struct(a.alias("lo"), F.least(F.size(values), b).alias("hi")))
+
+    between = F.zip_with(F.slice(found, 1, F.greatest(F.lit(0), n - 1)), F.slice(found, 2, F.greatest(F.lit(0), n - 1)), lambda a, b: valley(values, a, b))
+    first, last = F.get(found, F.lit(0)), F.get(found, n - 1)
+    edges = F.concat(F.array(valley(values, first - pitch, first + 1)), between, F.array(valley(values, last, last + pitch + 1)))
+    return F.when(n > 0, let(edges, bands)).otherwise(F.array().cast("array<struct<lo:int,hi:int>>"))
+
+
+def autocorrelation_pitch(values: Column, height: Column) -> Column:
+    """The lag of the largest autocorrelation from .18 (8 at least) to .65 of the height and a third of the signal; a third of the height where there is no room."""
+    n = F.size(values)
+    lo = _part(height, 0.18, 8)
+    hi = F.least(F.floor(n / 3).cast("int"), F.greatest(lo + 1, F.floor(height * F.lit(0.65)).cast("int")))
+
+    def lag(x: Column) -> Column:
+        at = lambda d: F.aggregate(F.zip_with(F.slice(x, 1, n - d), F.slice(x, d + 1, n - d), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+        scores = F.transform(F.sequence(lo, hi - 1), at)
+        return (lo + F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+    centred = let(array_mean(values), lambda m: F.transform(values, lambda v: v - m))
+    return F.when(hi <= lo, F.greatest(F.lit(8), F.floor(height / 3).cast("int"))).otherwise(let(centred, lag))
+
+
+def seam_between_bodies(activity: Column, lo: Column, seam: Column, hi: Column) -> Column:
+    """Whether a seam is quiet beside strokes on both sides: .55 of the weaker body, or .70 and no louder than two columns away."""
+    n = F.size(activity)
+    s = F.least(F.greatest(F.least(F.greatest(seam, lo + 1), hi - 2), F.lit(1)), n - 2).cast("int")
+    weaker = F.least(_peak(span(activity, lo, s)), _peak(span(activity, s, hi)))
+    here = F.get(activity, s)
+    local = (here <= F.get(activity, F.greatest(s - 2, F.lit(0)))) & (here <= F.get(activity, F.least(s + 2, n - 1))) & (here <= 0.70 * weaker)
+    return F.coalesce((n >= 4) & (hi - lo >= 6) & (weaker >= 0.16) & ((here <= 0.55 * weaker) | local), F.lit(False))
+
+
+def _joined(boxes: Column, joins) -> Column:
+    """Boxes (lo, hi, score) folded from the left: joins(last, next) gives the box that both become, or null."""
+    plain = lambda b: F.struct(b["lo"].cast("int").alias("lo"), b["hi"].cast("int").alias("hi"), b["score"].cast("double").alias("score"))
+
+    def step(out: Column, b: Column) -> Column:
+        both = joins(F.element_at(out, -1), b)
+        return F.when(both.isNotNull(), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(plain(b))))
+
+    none = F.array().cast("array<struct<lo:int,hi:int,score:double>>")
+    return F.aggregate(boxes, none, lambda out, b: F.when(F.size(out) == 0, F.array(plain(b))).otherwise(step(out, b)))
+
+
+def packed_thin(boxes: Column, height: Column) -> Column:
+    """Boxes of a line, where thin sure ones that touch join as long as they make no more than a letter's width."""
+
+    def both(a: Column, b: Column) -> Column:
+        w, v, whole = (a["hi"] - a["lo"]) / height, (b["hi"] - b["lo"]) / height, (b["hi"] - a["lo"]) / height
+        thin = (w <= 0.40) & (v <= 0.40) & (whole <= 0.85) & (F.least(a["score"], b["score"]) >= 0.45) & ~((F.greatest(w, v) > 0.36) & (F.least(w, v) > 0.28))
+        out = F.struct(a["lo"].alias("lo"), b["hi"].cast("int").alias("hi"), (0.5 * (a["score"] + b["score"])).alias("score"))
+        return F.when((height > 0) & (b["lo"] - a["hi"] <= 2) & thin, out)
+
+    return _joined(boxes, both)
+
+
+def edge_slivers(boxes: Column, height: Column, carved: Column) -> Column:
+    """Boxes of a line, where a thin unsure one at either end that touches its neighbour joins it; carved: which are stems that stay."""
+    n = F.size(boxes)
+    weak = lambda i: ((F.get(boxes, i)["hi"] - F.get(boxes, i)["lo"]) / height <= 0.22) & (F.get(boxes, i)["score"] < 0.30) & ~F.coalesce(F.get(carved, i), F.lit(False))
+    near = lambda i, j: F.get(boxes, j)["lo"] - F.get(boxes, i)["hi"] <= 3
+    head = (n >= 2) & (height > 0) & weak(F.lit(0)) & near(F.lit(0), F.lit(1))
+    tail = (n >= F.when(head, 3).otherwise(2)) & (height > 0) & weak(n - 1) & near(n - 2, n - 1)
+
+    def one(b: Column, i: Column) -> Column:
+        lo = F.when(head & (i == 1), F.get(boxes, F.lit(0))["lo"]).otherwise(b["lo"])
+        hi = F.when(tail & (i == n - 2), F.get(boxes, n - 1)["hi"]).otherwise(b["hi"])
+        score = F.greatest(b["score"], F.when(head & (i == 1), F.get(boxes, F.lit(0))["score"]), F.when(tail & (i == n - 2), F.get(boxes, n - 1)["score"]))
+        gone = (head & (i == 0)) | (tail & (i == n - 1))
+        return F.when(~gone, F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), score.cast("double").alias("score")))
+
+    return F.filter(F.transform(boxes, one), lambda b: b.isNotNull())
+
+
+def waw_or_ayn(m: Column) -> Column:
+    """Which of two round letters a printed shape (vert, hole) is, null where it doesn't say."""
+    waw, ayn = F.lit(K.WAW), F.lit(K.AYN)
+    return (
+        F.when(m["vert"] >= 0.82, waw).when((m["hole"] >= 0.58) & (m["vert"] <= 0.72), ayn).when((m["vert"] >= 0.78) & (m["hole"] <= 0.65), waw)
+        .when((m["hole"] >= 0.55) & (m["vert"] + 0.05 < m["hole"]), ayn)
+    )
+
+
+def box_letter(m: Column) -> Column:
+    """Which of three box-like letters a printed shape (vert, horiz, top, bot, hole, lower_runs) is, null where it doesn't say."""
+    teth, dhadhe, beth = F.lit(K.TETH), F.lit(K.DHADHE), F.lit(K.BETH)
+    weak = m["vert"] <= 0.55
+    open_ = ((m["hole"] >= 0.80) & weak) | ((m["bot"] <= 0.60) & (m["top"] >= 0.70) & (m["hole"] >= 0.70) & weak) | ((m["lower_runs"] == 2) & weak & (m["hole"] >= 0.70))
+    closed = (
+        F.when((m["vert"] >= 0.78) & (m["hole"] <= 0.70) & (m["vert"] >= m["horiz"] + 0.08), teth).when((m["horiz"] >= 0.72) & (m["horiz"] >= m["vert"] + 0.12), dhadhe)
+        .when((m["vert"] >= 0.88) & (m["hole"] <= 0.65), teth).when((m["horiz"] >= 0.80) & (m["vert"] <= 0.60), dhadhe).when((m["hole"] >= 0.75) & weak, beth)
+    )
+    return F.when(open_, beth).when((m["top"] >= 0.75) & (m["bot"] >= 0.75), closed)
+
+
+def shape_fixed(label: Column, confidence: Column, m: Column, gimel: Column) -> Column:
+    """struct(label, source, trusted) of a printed glyph whose shape speaks for another letter, null where it doesn't; gimel: the shape is that letter's."""
+    box, round_ = box_letter(m), waw_or_ayn(m)
+    changed = lambda to, source: F.struct(to.alias("label"), F.lit(source).alias("source"), (F.coalesce(confidence, F.lit(0.0)) >= 0.45).alias("trusted"))
+    return (
+        F.when(label.isin(K.TETH, K.DHADHE, K.BETH) & (box != label), changed(box, "paper_box_family_shape")).when((label == K.BETH) & gimel, changed(F.lit(K.GIMEL), "paper_beth_gimel_shape"))
+        .when(label.isin(K.WAW, K.AYN) & (round_ != label), changed(round_, "paper_waw_ayn_shape"))
+    )

@@ -235,3 +235,66 @@ def tagged_bars(spark, sf_dir):
     letters, bars = _letters(spark, sf_dir)
     own = letters.select("l_orderkey", "id", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), (F.col("x1") - F.col("x0")).alias("width"))
     return layout.tagged_bars(own, bars.select("l_orderkey", ((F.col("x0") + F.col("x1")) / 2).alias("cx"), (4 * (F.col("x1") - F.col("x0"))).alias("width")), "l_orderkey").select("l_orderkey", "id", "is_separator")
+
+
+@query(f"""
+    WITH {_BLOCKS}, o AS (SELECT block, r, row_number() OVER (PARTITION BY block ORDER BY i) - 1 AS i, count(*) OVER (PARTITION BY block) AS n FROM p),
+    k AS (SELECT block, arg_max(i, (r, -i)) AS k, max(r) AS top, min(n) AS n FROM o GROUP BY block), f AS (SELECT k.*, greatest(0.12, 0.6 * top) AS floor FROM k)
+    SELECT f.block, CAST(coalesce(max(i) FILTER (i < k AND r < floor) + 1, 0) AS INT) AS lo, CAST(coalesce(min(i) FILTER (i > k AND r < floor), min(n)) AS INT) AS hi FROM f JOIN o USING (block) GROUP BY f.block
+""".replace("min(n)) AS INT", "min(f.n)) AS INT"))
+def expanded_peaks(spark, sf_dir):
+    from inkstone.functions.numeric import index_of_max
+
+    return _blocks(spark, sf_dir).select("block", P.expanded_peak(F.col("r"), index_of_max(F.col("r")), 0.6).alias("x")).select("block", "x.lo", "x.hi")
+
+
+@query(f"""
+    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), e AS (SELECT block, v, list_concat([0], [7, 15, 24, 35]) AS k FROM a),
+    s AS (SELECT block, v, [[0, 8], [7, 15], [15, 24], [24, 35], [35, 40]] AS spans FROM a), x AS (SELECT block, list_transform(spans, lambda t: t[1] + list_position(v[t[1] + 1 : t[2]], list_min(v[t[1] + 1 : t[2]])) - 1) AS edges FROM s)
+    SELECT block, edges[1] || '-' || edges[2] || ',' || edges[2] || '-' || edges[3] || ',' || edges[3] || '-' || edges[4] || ',' || edges[4] || '-' || edges[5] AS bands FROM x
+""")
+def valley_bands(spark, sf_dir):
+    peaks = F.array(*[F.lit(p) for p in (7, 15, 24, 35)])  # a median distance of 9
+    found = _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", P.valley_bands(F.col("r"), peaks).alias("b"))
+    return found.select("block", F.array_join(F.transform("b", lambda x: F.concat(x["lo"].cast("string"), F.lit("-"), x["hi"].cast("string"))), ",").alias("bands"))
+
+
+@query(f"""
+    WITH {_BLOCKS}, m AS (SELECT block, i, r - avg(r) OVER (PARTITION BY block) AS x FROM p), l AS (SELECT unnest(range(8, 13)) AS lag),
+    s AS (SELECT a.block, lag, round(sum(a.x * b.x), 9) AS s FROM l, m a JOIN m b ON a.block = b.block AND b.i = a.i + lag GROUP BY a.block, lag)
+    SELECT block, CAST(arg_max(lag, (s, -lag)) AS INT) AS pitch FROM s WHERE block IN (SELECT block FROM p GROUP BY block HAVING count(*) = 40) GROUP BY block
+""")
+def autocorrelation_pitch(spark, sf_dir):
+    return _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", P.autocorrelation_pitch(F.col("r"), F.lit(30)).alias("pitch"))
+
+
+@query(f"""
+    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), c AS (SELECT block, v, unnest(range(4, 36)) AS s FROM a),
+    w AS (SELECT *, v[s + 1] AS here, least(list_max(v[3 : s]), list_max(v[s + 1 : 38])) AS weaker FROM c)
+    SELECT block, CAST(s AS INT) AS seam FROM w WHERE weaker >= 0.16 AND (here <= 0.55 * weaker OR (here <= v[s - 1] AND here <= v[s + 3] AND here <= 0.70 * weaker))
+""")
+def seams_between_bodies(spark, sf_dir):
+    whole = _blocks(spark, sf_dir).where(F.size("r") == 40)
+    return whole.select("block", F.explode(F.filter(F.sequence(F.lit(4), F.lit(35)), lambda s: P.seam_between_bodies(F.col("r"), F.lit(2), s, F.lit(38)))).alias("seam"))
+
+
+_SHAPE = "p_partkey, p_size % 50 / 50.0::DOUBLE AS vert, p_partkey % 21 / 20.0::DOUBLE AS horiz, (p_partkey * 3) % 16 / 15.0::DOUBLE AS top, (p_partkey * 5) % 14 / 13.0::DOUBLE AS bot, (p_partkey * 7) % 41 / 40.0::DOUBLE AS hole, p_partkey % 4 AS runs, p_partkey % 6 AS k, p_partkey % 10 / 10.0::DOUBLE AS conf, p_partkey % 8 = 0 AS gimel"
+
+
+@query(f"""
+    WITH s AS (SELECT {_SHAPE} FROM part), b AS (SELECT *, CASE k WHEN 0 THEN 'WAW' WHEN 1 THEN 'AYN' WHEN 2 THEN 'TETH' WHEN 3 THEN 'DHADHE' WHEN 4 THEN 'BETH' ELSE 'other' END AS label,
+      CASE WHEN (hole >= 0.80 AND vert <= 0.55) OR (bot <= 0.60 AND top >= 0.70 AND hole >= 0.70 AND vert <= 0.55) OR (runs = 2 AND vert <= 0.55 AND hole >= 0.70) THEN 'BETH' WHEN top >= 0.75 AND bot >= 0.75 THEN CASE WHEN vert >= 0.78 AND hole <= 0.70 AND vert >= horiz + 0.08 THEN 'TETH' WHEN horiz >= 0.72 AND horiz >= vert + 0.12 THEN 'DHADHE' WHEN vert >= 0.88 AND hole <= 0.65 THEN 'TETH' WHEN horiz >= 0.80 AND vert <= 0.60 THEN 'DHADHE' WHEN hole >= 0.75 AND vert <= 0.55 THEN 'BETH' END END AS box,
+      CASE WHEN vert >= 0.82 THEN 'WAW' WHEN hole >= 0.58 AND vert <= 0.72 THEN 'AYN' WHEN vert >= 0.78 AND hole <= 0.65 THEN 'WAW' WHEN hole >= 0.55 AND vert + 0.05 < hole THEN 'AYN' END AS ring FROM s)
+    SELECT p_partkey, CASE WHEN label IN ('TETH', 'DHADHE', 'BETH') AND box <> label THEN box WHEN label = 'BETH' AND gimel THEN 'GIMEL' WHEN label IN ('WAW', 'AYN') AND ring <> label THEN ring END AS fixed,
+      coalesce(CASE WHEN label IN ('TETH', 'DHADHE', 'BETH') AND box <> label THEN conf >= 0.45 WHEN label = 'BETH' AND gimel THEN conf >= 0.45 WHEN label IN ('WAW', 'AYN') AND ring <> label THEN conf >= 0.45 END, false) AS trusted FROM b
+""")
+def printed_shapes(spark, sf_dir):
+    from inkstone.functions import constants as K
+
+    key = F.col("p_partkey")
+    signs = {"WAW": K.WAW, "AYN": K.AYN, "TETH": K.TETH, "DHADHE": K.DHADHE, "BETH": K.BETH, "GIMEL": K.GIMEL}
+    label = F.coalesce(*[F.when(key % 6 == i, F.lit(signs[n])) for i, n in enumerate(("WAW", "AYN", "TETH", "DHADHE", "BETH"))], F.lit("x"))
+    m = F.struct((F.col("p_size") % 50 / 50.0).alias("vert"), (key % 21 / 20.0).alias("horiz"), (key * 3 % 16 / 15.0).alias("top"), (key * 5 % 14 / 13.0).alias("bot"), (key * 7 % 41 / 40.0).alias("hole"), (key % 4).alias("lower_runs"))
+    name = F.create_map(*[F.lit(x) for n, s in signs.items() for x in (s, n)])
+    found = read(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("x", P.shape_fixed(label, key % 10 / 10.0, m, key % 8 == 0))
+    return found.select("p_partkey", F.try_element_at(name, F.col("x.label")).alias("fixed"), F.coalesce(F.col("x.trusted"), F.lit(False)).alias("trusted"))

@@ -128,3 +128,18 @@ def test_slivers_join_what_they_touch(spark):
     assert run([(0, 2), (3, 12), (13, 15)], [1] * 20) == [(0, 12), (13, 15)]
     assert run([(0, 2), (3, 12)], [1, 1, 0, 1, 1, 1, 1, 1, 1, 1, 1, 1]) == [(0, 2), (3, 12)]
     assert run([(0, 10), (14, 16)], [1] * 20) == [(0, 10), (14, 16)]
+
+
+def test_thin_boxes_and_weak_ends_join(spark):
+    one = spark.range(1)
+    boxes = lambda rows: F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"), F.lit(float(s)).alias("score")) for a, b, s in rows])
+    run = lambda c: [tuple(r) for r in one.select(c.alias("x")).first().x]
+    rows = [(0, 8, 0.5), (9, 17, 0.7), (18, 25, 0.6), (40, 70, 0.9), (70, 75, 0.2)]
+    # two make a box of .57 of the height, which takes in no third; smaller ones do
+    assert run(profiles.packed_thin(boxes(rows), F.lit(30))) == [(0, 17, 0.6), (18, 25, 0.6), (40, 70, 0.9), (70, 75, 0.2)]
+    assert run(profiles.packed_thin(boxes(rows), F.lit(60))) == [(0, 25, 0.6), (40, 70, 0.9), (70, 75, 0.2)]
+    no = F.array(*[F.lit(False)] * 5)
+    assert run(profiles.edge_slivers(boxes(rows), F.lit(30), no)) == [(0, 8, 0.5), (9, 17, 0.7), (18, 25, 0.6), (40, 75, 0.9)]
+    stem = F.array(*[F.lit(i == 4) for i in range(5)])
+    assert len(run(profiles.edge_slivers(boxes(rows), F.lit(30), stem))) == 5
+    assert run(profiles.edge_slivers(boxes([(0, 3, 0.1), (4, 30, 0.8)]), F.lit(30), F.array(F.lit(False)))) == [(0, 30, 0.8)]
