@@ -756,7 +756,7 @@ def fifo_queue(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from inkstone.plans import profiles, records  # noqa: F401  they register themselves
+    from inkstone.plans import profiles, records, rules  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
