@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import constants as K
 from inkstone.functions.numeric import array_mean, array_percentile
-from inkstone.functions.signal import let, span
+from inkstone.functions.signal import let, near_max, span
 
 
 def _median(values: Column) -> Column:
@@ -118,11 +118,11 @@ def column_weights(boundary: Column, inside: Column, boxes: Column, real: bool =
     return let(seams, weights)
 
 
-def word_separator_box(width: Column, height: Column, pitch: Column, left: Column, right: Column) -> Column:
-    """Whether a thin stem between two full letters separates words: both neighbours of .42 of the pitch, and narrow itself."""
+def word_separator_box(width: Column, height: Column, pitch: Column, left: Column, right: Column, narrow: float = 0.24) -> Column:
+    """Whether a thin stem between two full letters separates words: both neighbours of .42 of the pitch, and narrow itself (a share of the height)."""
     full = F.coalesce((height > 0) & (pitch > 0) & (left >= 0.42 * pitch) & (right >= 0.42 * pitch), F.lit(False))
     share = width / height
-    return full & ((width <= 0.32 * pitch) | (share <= 0.24) | ((width <= 0.55 * F.least(left, right)) & (share <= 0.30)))
+    return full & ((width <= 0.32 * pitch) | (share <= narrow) | ((width <= 0.55 * F.least(left, right)) & (share <= 0.30)))
 
 
 def rescued_segment(scores: Column, height: Column, confidence: Column) -> Column:
@@ -341,3 +341,20 @@ def shape_fixed(label: Column, confidence: Column, m: Column, gimel: Column) ->
         F.when(label.isin(K.TETH, K.DHADHE, K.BETH) & (box != label), changed(box, "paper_box_family_shape")).when((label == K.BETH) & gimel, changed(F.lit(K.GIMEL), "paper_beth_gimel_shape"))
         .when(label.isin(K.WAW, K.AYN) & (round_ != label), changed(round_, "paper_waw_ayn_shape"))
     )
+
+
+def thin_bar(width: Column, height: Column) -> Column:
+    """Whether an upright is as narrow as a word separator: two columns at least and .24 of the height at most."""
+    return F.coalesce((height > 0) & (width >= 2) & (width / height <= 0.24), F.lit(False))
+
+
+def internal_separator(edges: Column, i: Column, pitch: Column, height: Column) -> Column:
+    """Whether part i of a line is a bar between two full letters: `word_separator_box` with a share of .22; outer parts never are."""
+    w = lambda k: (F.get(edges, k + 1) - F.get(edges, k)).cast("double")
+    inner = (i > 0) & (i < F.size(edges) - 2)
+    return F.coalesce(inner & word_separator_box(w(i), height, pitch, w(i - 1), w(i + 1), 0.22), F.lit(False))
+
+
+def crosses_strong(edges: Column, i: Column, j: Column, strength: Column, least: float = 0.48) -> Column:
+    """Whether the span from edge i to edge j holds an inner edge that is a sure boundary; strength: largest near each column."""
+    return (j > i + 1) & F.exists(F.slice(edges, i + 2, F.greatest(F.lit(0), j - i - 1)), lambda c: F.coalesce(near_max(strength, c) >= least, F.lit(False)))

@@ -298,3 +298,20 @@ def printed_shapes(spark, sf_dir):
     name = F.create_map(*[F.lit(x) for n, s in signs.items() for x in (s, n)])
     found = read(spark, sf_dir, "part", "p_partkey", "p_size").withColumn("x", P.shape_fixed(label, key % 10 / 10.0, m, key % 8 == 0))
     return found.select("p_partkey", F.try_element_at(name, F.col("x.label")).alias("fixed"), F.coalesce(F.col("x.trusted"), F.lit(False)).alias("trusted"))
+
+
+@query(f"""
+    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), e AS (SELECT block, v, [0, 3 + block % 4, 15, 18 + block % 5, 32, 40] AS e FROM a), x AS (SELECT block, v, e, unnest([0, 1, 2, 3, 4]) AS i FROM e),
+    w AS (SELECT *, e[i + 2] - e[i + 1] AS w, CASE WHEN i > 0 THEN e[i + 1] - e[i] END AS l, CASE WHEN i < 4 THEN e[i + 3] - e[i + 2] END AS r FROM x)
+    SELECT block, CAST(i AS INT) AS i, w >= 2 AND w / 30.0 <= 0.24 AS thin, coalesce(i > 0 AND i < 4 AND l >= 0.42 * 12 AND r >= 0.42 * 12 AND (w <= 0.32 * 12 OR w / 30.0 <= 0.22 OR (w <= 0.55 * least(l, r) AND w / 30.0 <= 0.30)), false) AS separates,
+      i <= 3 AND list_max(v[greatest(0, e[i + 2] - 3) + 1 : e[i + 2] + 4]) >= 0.9123 AS crosses FROM w
+""")
+def edge_rules(spark, sf_dir):
+    """Of each part of a line: whether it is thin, separates words, and whether joining it with the next crosses a boundary."""
+    block = F.col("block")
+    edges = F.array(F.lit(0), (3 + block % 4).cast("int"), F.lit(15), (18 + block % 5).cast("int"), F.lit(32), F.lit(40))
+    parts = _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", "r", edges.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    e, i = F.col("e"), F.col("i")
+    width = F.get(e, i + 1) - F.get(e, i)
+    crosses = P.crosses_strong(e, i, i + 2, F.col("r"), 0.9123) & (i <= 3)
+    return parts.select("block", "i", P.thin_bar(width, F.lit(30)).alias("thin"), P.internal_separator(e, i, F.lit(12), F.lit(30)).alias("separates"), crosses.alias("crosses"))
