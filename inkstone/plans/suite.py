@@ -507,14 +507,29 @@ def nms_peaks(spark, sf_dir):
     return found.select("user_id", F.array_join(F.col("cuts").cast("array<string>"), ",").alias("cuts"), F.size(signal.intervals(F.col("cuts"), F.size("v"))).alias("n_intervals"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_SERIES.replace("o AS", "raw AS")}, d AS (SELECT user_id, i, n, v, unnest(range(-8, 9)) AS d FROM raw), t AS (SELECT user_id, i, n, v, d, greatest(1, 2 * (n - 1)) AS s FROM d),
+    x AS (SELECT user_id, i, n, v, d, ((i + d) % s + s) % s AS k, s FROM t), y AS (SELECT x.user_id, x.i, x.n, x.v, list_sum(list(exp(-0.5 * (x.d / 2.0) ** 2) * r.v ORDER BY x.d)) / list_sum(list(exp(-0.5 * (x.d / 2.0) ** 2) ORDER BY x.d)) AS sm FROM x JOIN raw r ON r.user_id = x.user_id AND r.i = CASE WHEN x.k < x.n THEN x.k ELSE x.s - x.k END GROUP BY x.user_id, x.i, x.n, x.v),
+    o AS (SELECT user_id, i, n, sm AS v, v AS own FROM y), l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),{_SUPPRESSED},
+    e AS (SELECT k.user_id, list_concat([0], cuts, [n]) AS e, vs FROM k JOIN (SELECT user_id, max(n) AS n, list(own ORDER BY i) AS vs FROM o GROUP BY user_id) z USING (user_id)),
+    q AS (SELECT user_id, e, vs, unnest(range(1, len(e))) AS j FROM e), b AS (SELECT user_id, e[j] AS lo, e[j + 1] AS hi, vs[e[j] + 1 : e[j + 1]] AS part FROM q WHERE e[j + 1] - e[j] >= 2)
+    SELECT user_id, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, round(list_max(part), 6) AS confidence, round(list_sum(part) / (hi - lo), 6) AS mean FROM b WHERE list_sum(part) / (hi - lo) >= 0.12
+""")
 def boundary_boxes(spark, sf_dir):
     """Smoothed peaks, intervals between them, and the objectness gate."""
     found = _series(spark, sf_dir).withColumn("b", F.explode(signal.let(signal.peaks(F.col("v"), sigma=2.0), lambda cuts: signal.boxes(cuts, F.col("v")))))
     return found.select("user_id", "b.lo", "b.hi", _rounded("b.confidence").alias("confidence"), _rounded("b.mean").alias("mean"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_SERIES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)), c AS (SELECT user_id, i, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM l WHERE v >= a AND v > b AND v >= 0.32),
+    z AS (SELECT user_id, list(v ORDER BY i) AS vs FROM o GROUP BY user_id),
+    m AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM z
+      UNION ALL SELECT user_id, n, CASE WHEN last IS NULL THEN [i] WHEN i - last < 5 AND low / (least(vs[last + 1], vs[i + 1]) + 1e-6) > 0.65 AND low > 0.45 THEN CASE WHEN vs[i + 1] > vs[last + 1] THEN list_append(kept[1 : len(kept) - 1], i) ELSE kept END ELSE list_append(kept, i) END
+      FROM (SELECT m.user_id, c.n, kept, c.i, kept[-1] AS last, z.vs, list_min(z.vs[kept[-1] + 1 : c.i + 1]) AS low FROM m JOIN c ON c.user_id = m.user_id AND c.n = m.n + 1 JOIN z ON z.user_id = m.user_id) y),
+    f AS (SELECT m.user_id, max_by(kept, n) AS k, any_value(vs) AS vs FROM m JOIN z USING (user_id) GROUP BY m.user_id)
+    SELECT user_id, coalesce(list_aggregate(k, 'string_agg', ','), '') AS peaks, coalesce(list_aggregate(list_transform(range(1, len(k)), lambda j: k[j] + list_position(vs[k[j] + 1 : k[j + 1] + 1], list_min(vs[k[j] + 1 : k[j + 1] + 1])) - 1), 'string_agg', ','), '') AS cuts FROM f
+""")
 def line_bands(spark, sf_dir):
     """Maxima folded by pitch, and cuts in the valleys between them."""
     found = _series(spark, sf_dir).withColumn("p", signal.collapse_close_peaks(F.col("v"), signal.local_maxima(F.col("v"), 0.32), F.lit(6)))
