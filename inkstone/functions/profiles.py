@@ -358,3 +358,56 @@ def internal_separator(edges: Column, i: Column, pitch: Column, height: Column)
 def crosses_strong(edges: Column, i: Column, j: Column, strength: Column, least: float = 0.48) -> Column:
     """Whether the span from edge i to edge j holds an inner edge that is a sure boundary; strength: largest near each column."""
     return (j > i + 1) & F.exists(F.slice(edges, i + 2, F.greatest(F.lit(0), j - i - 1)), lambda c: F.coalesce(near_max(strength, c) >= least, F.lit(False)))
+
+
+def joined_bands(bands: Column, height: Column) -> Column:
+    """Bands (lo, hi) of a page, where a thin first one joins the next, and so does a thin inner one far shorter than both neighbours.
+
+    Thin is .16 of the page's height, 8 at least; the first must be under .55 of the next, an inner one under .60.
+    """
+    tiny = _part(height, 0.16, 8)
+    tall = lambda b: b["hi"] - b["lo"]
+    both = lambda a, b: F.struct(a["lo"].cast("int").alias("lo"), b["hi"].cast("int").alias("hi"))
+
+    def head(b: Column) -> Column:
+        first, second = F.get(b, F.lit(0)), F.get(b, F.lit(1))
+        thin = (tall(first) <= tiny) & (tall(first) < 0.55 * tall(second))
+        return F.when((F.size(b) >= 2) & thin, F.concat(F.array(both(first, second)), F.slice(b, 3, F.size(b)))).otherwise(b)
+
+    def inner(b: Column) -> Column:
+        start = F.struct(F.array().cast("array<struct<lo:int,hi:int>>").alias("out"), F.lit(False).alias("skip"))
+
+        def step(acc: Column, i: Column) -> Column:
+            own, after, before = F.get(b, i), F.get(b, i + 1), F.element_at(acc["out"], -1)
+            thin = (i > 0) & (i < F.size(b) - 1) & (tall(own) <= tiny) & (tall(own) < 0.60 * F.least(tall(before), tall(after)))
+            joins = F.struct(F.concat(acc["out"], F.array(both(own, after))).alias("out"), F.lit(True).alias("skip"))
+            alone = F.struct(F.concat(acc["out"], F.array(both(own, own))).alias("out"), F.lit(False).alias("skip"))
+            return F.when(acc["skip"], F.struct(acc["out"].alias("out"), F.lit(False).alias("skip"))).when((F.size(acc["out"]) > 0) & thin, joins).otherwise(alone)
+
+        return F.when(F.size(b) < 3, b).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step)["out"])
+
+    typed = F.transform(bands, lambda b: both(b, b))
+    return F.when(F.size(bands) > 0, let(let(typed, head), inner)).otherwise(typed)
+
+
+def widened_bands(bands: Column, values: Column, height: Column) -> Column:
+    """Bands (lo, hi) of a page grown into what signal stands beyond the outer ones, and a little across the seams between them."""
+    n = F.size(bands)
+    median = _median(F.transform(bands, lambda b: F.greatest(F.lit(1), b["hi"] - b["lo"]).cast("double")))
+    edge, share, least = (F.greatest(F.lit(k), f(median * p)).cast("int") for k, p, f in ((6, 0.14, F.rint), (4, 0.10, F.rint), (8, 0.45, F.floor)))
+    limit = lambda b: F.greatest(F.lit(0.22), 0.40 * F.coalesce(F.array_max(span(values, b["lo"], b["hi"])), F.lit(1.0)))
+    first, last = F.get(bands, F.lit(0)), F.get(bands, n - 1)
+    low = lambda b: F.filter(F.transform(values, lambda v, i: F.when(v < limit(b), i)), lambda i: i.isNotNull())
+    top = F.coalesce(F.array_max(F.filter(low(first), lambda i: i < first["lo"])) + 1, F.lit(0))
+    bottom = F.coalesce(F.array_min(F.filter(low(last), lambda i: i >= last["hi"])), height)
+    lo = lambda i: F.when(i == 0, F.greatest(F.lit(0), F.least(top, first["lo"]) - edge)).otherwise(F.get(bands, i)["lo"])
+    hi = lambda i: F.when(i == n - 1, F.least(height, F.greatest(bottom, last["hi"]) + edge)).otherwise(F.get(bands, i)["hi"])
+    seam = lambda i: F.floor((hi(i) + lo(i + 1)) / 2)  # noqa: E731  between band i and the next
+
+    def one(_: Column, i: Column) -> Column:
+        up, down = F.greatest(F.lit(0), F.least(lo(i), seam(i - 1) - share)), F.least(height, F.greatest(hi(i), seam(i) + share))
+        begin = F.when((i > 0) & (hi(i) - up >= least), up).otherwise(lo(i))
+        end = F.when((i < n - 1) & (down - begin >= least), down).otherwise(hi(i))
+        return F.struct(begin.cast("int").alias("lo"), end.cast("int").alias("hi"))
+
+    return F.transform(bands, one)

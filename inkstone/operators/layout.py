@@ -147,3 +147,12 @@ def robust_pitch(rows: DataFrame, key: str, width: str, height: float) -> DataFr
     kept = rows.where(F.col(width).between(0.32 * height, 1.05 * height))
     first = percentiles(kept, key, width, {"__m": 0.5})
     return percentiles(kept.join(first, key).where(F.col(width) <= 1.35 * F.col("__m")), key, width, {"pitch": 0.5})
+
+
+def separator_runs(boxes: DataFrame, key: str, x0: str, x1: str, separator: Column, gap: int = 3) -> DataFrame:
+    """key, run, lo, hi, bars: separators that follow each other in a line, `gap` columns apart at most, as one run."""
+    w = Window.partitionBy(key).orderBy(x0, x1)
+    marked = boxes.withColumn("__bar", F.coalesce(separator, F.lit(False)))
+    joins = F.coalesce(F.col("__bar") & F.lag("__bar").over(w) & (F.col(x0) - F.lag(x1).over(w) <= gap), F.lit(False))
+    numbered = marked.withColumn("__new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.where("__bar").groupBy(key, "run").agg(F.min(x0).alias("lo"), F.max(x1).alias("hi"), F.count("*").alias("bars"))

@@ -315,3 +315,15 @@ def edge_rules(spark, sf_dir):
     width = F.get(e, i + 1) - F.get(e, i)
     crosses = P.crosses_strong(e, i, i + 2, F.col("r"), 0.9123) & (i <= 3)
     return parts.select("block", "i", P.thin_bar(width, F.lit(30)).alias("thin"), P.internal_separator(e, i, F.lit(12), F.lit(30)).alias("separates"), crosses.alias("crosses"))
+
+
+@query("""
+    WITH b AS (SELECT l_orderkey, CAST(l_partkey % 60 AS INT) AS x0, CAST(l_partkey % 60 + 2 + l_suppkey % 9 AS INT) AS x1, l_suppkey % 3 <> 0 AS bar FROM lineitem),
+    m AS (SELECT *, coalesce(bar AND lag(bar) OVER w AND x0 - lag(x1) OVER w <= 3, false) AS j FROM b WINDOW w AS (PARTITION BY l_orderkey ORDER BY x0, x1)),
+    r AS (SELECT *, sum(CASE WHEN j THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY x0, x1 ROWS UNBOUNDED PRECEDING) AS run FROM m)
+    SELECT l_orderkey, CAST(run AS BIGINT) AS run, min(x0) AS lo, max(x1) AS hi, count(*) AS bars FROM r WHERE bar GROUP BY l_orderkey, run
+""")
+def separator_runs(spark, sf_dir):
+    x = (F.col("l_partkey") % 60).cast("int")
+    lines = read(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey").select("l_orderkey", x.alias("x0"), (x + 2 + F.col("l_suppkey") % 9).cast("int").alias("x1"), (F.col("l_suppkey") % 3 != 0).alias("bar"))
+    return layout.separator_runs(lines, "l_orderkey", "x0", "x1", F.col("bar")).withColumn("run", F.col("run").cast("bigint"))
