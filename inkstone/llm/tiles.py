@@ -21,7 +21,8 @@ def units(rows: DataFrame, counted: DataFrame, kept: Kept, limit: int, radius: i
     """rows with the unit they belong to: tile_a, tile_b (bigint, -1 for a whole bucket), side (0: tile_a, 1: tile_b).
 
     rows: bucket (bigint), band (int) and others; counted: the same buckets and bands, to be counted by. Rows of a large
-    bucket come once for each unit of their tile. Only the number of large buckets' bands reaches the driver.
+    bucket come once for each unit of their tile; rows that repeat are rows of their own. Only the number of large
+    buckets' bands reaches the driver.
     """
     per_band = counted.groupBy("bucket", "band").agg(F.count("*").alias("n"))
     large = per_band.groupBy("bucket").agg(F.sum("n").alias("total"), F.collect_list(F.struct("band", "n")).alias("bands")).where(F.col("total") > limit)
@@ -44,7 +45,8 @@ def units(rows: DataFrame, counted: DataFrame, kept: Kept, limit: int, radius: i
 def map_units(dealt: DataFrame, schema: str, fn: Callable[[pa.Table, np.ndarray], dict | None], columns: list[str], together: int = 16_384) -> DataFrame:
     """Calls fn with rows of whole units that have two rows or more, sorted by unit, and where units begin and end.
 
-    A call gets units of some `together` rows, or one larger unit; fn returns columns or None.
+    A call gets units of some `together` rows, or one larger unit; fn returns columns or None. Rows that repeat are rows
+    of their own; without rows fn isn't called.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
