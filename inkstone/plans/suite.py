@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.functions import boxes, fusion, numeric, segments, signal, text
+from inkstone.functions import boxes, fusion, numeric, peaks, segments, signal, text
 from inkstone.functions import constants as K
 from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching, ranks
 from inkstone.plans.registry import QUERIES, SQL, Query, query
@@ -484,8 +484,8 @@ def local_maxima(spark, sf_dir):
     FROM e JOIN o ON o.user_id = e.user_id AND o.i > e.lo AND o.i < e.hi GROUP BY e.user_id, e.i, e.v
 """)
 def prominence(spark, sf_dir):
-    peaks = F.transform(signal.local_maxima(F.col("v"), 0.35), lambda i: F.struct(i.alias("i"), signal.prominence(F.col("v"), i).alias("p")))
-    return _series(spark, sf_dir).select("user_id", F.explode(peaks).alias("x")).select("user_id", "x.i", _rounded("x.p").alias("prominence"))
+    found = F.transform(signal.local_maxima(F.col("v"), 0.35), lambda i: F.struct(i.alias("i"), signal.prominence(F.col("v"), i).alias("p")))
+    return _series(spark, sf_dir).select("user_id", F.explode(found).alias("x")).select("user_id", "x.i", _rounded("x.p").alias("prominence"))
 
 
 #: Peaks from the strongest down, each dropped if a kept one is nearer than 3.
@@ -582,6 +582,13 @@ def cut_sets(spark, sf_dir):
     return s.select("o_custkey", F.size(both).cast("bigint").alias("n_union"), F.size(F.array_except("a", "b")).cast("bigint").alias("n_except"), F.size(F.array_distinct("a")).cast("bigint").alias("n_distinct"), F.aggregate(both, F.lit(0).cast("bigint"), lambda t, v: t + v).alias("sum_union"))
 
 
+@query()
+def line_peaks(spark, sf_dir):
+    """Rows of lines from each user's series, taken as a row signal."""
+    found = _series(spark, sf_dir).withColumn("p", peaks.line_peaks(F.col("v")))
+    return found.select("user_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("peaks"))
+
+
 @query("""
     WITH b AS (SELECT p_partkey, 200 + p_size * 10 AS w, 150 + p_size AS h, p_partkey % 60 AS x0, p_size AS y0, 200 + p_size * 10 - p_partkey % 90 AS x1, 150 + p_size - p_partkey % 40 AS y1 FROM part),
     m AS (SELECT *, (x1 - x0) * (y1 - y0) / CAST(w * h AS DOUBLE) AS ratio, y0 / h AS t, (h - y1) / h AS bo, x0 / w AS l, (w - x1) / w AS r FROM b)
