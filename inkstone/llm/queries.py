@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from inkstone.llm.common import table, widen
 
 
+#: Rules of op13 (fixed values): host, path, verdict.
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.token_counts import token_counts
 
@@ -70,6 +80,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.url_rules import judge
+
+    return judge(table(spark, sf_dir, "pages", "page_id", "url"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -85,5 +101,15 @@ OP8_SQL = """
 """
 
 
+#: Every page met with every rule; the longest of those that fit.
+OP13_SQL = """
+    WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+    cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+    fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+    SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": OP8_SQL}
+    return {"op8_embedding_dedup": OP8_SQL, "op13_url_rules": OP13_SQL}
