@@ -80,6 +80,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.merkle import FIELDS, manifest
+
+    return manifest(table(spark, sf_dir, "documents", *FIELDS))
+
+
 def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.url_rules import judge
 
@@ -101,6 +107,35 @@ OP8_SQL = """
 """
 
 
+#: All levels of all trees by recursion, then each leaf's siblings level by level.
+OP12_SQL = """
+    WITH RECURSIVE enc AS (
+      SELECT row_number() OVER () AS r, doc_id, source, text, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM documents),
+    leaves AS MATERIALIZED (SELECT r, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+      sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lower FROM enc),
+    placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree FROM leaves),
+    crcs AS MATERIALIZED (SELECT r, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: ascii(c)::BIGINT)),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) AS crc FROM placed),
+    up AS (SELECT 0 AS level, tree, pos, n, leaf AS hash FROM placed
+      UNION ALL SELECT level + 1, tree, pos // 16, any_value((n + 15) // 16), sha256(string_agg(hash, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY level, tree, pos // 16),
+    nodes AS MATERIALIZED (SELECT * FROM up),
+    subs AS MATERIALIZED (SELECT tree, level AS height, hash, count(*) OVER () AS n FROM nodes WHERE n = 1),
+    top AS (SELECT 0 AS level, tree AS pos, n, hash FROM subs
+      UNION ALL SELECT level + 1, pos // 16, any_value((n + 15) // 16), sha256(string_agg(hash, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 16),
+    tops AS MATERIALIZED (SELECT * FROM top),
+    runs AS MATERIALIZED (
+      SELECT tree, level, pos // 16 AS run, list(hash ORDER BY pos) AS hashes FROM nodes WHERE n > 1 GROUP BY ALL
+      UNION ALL SELECT -1, level, pos // 16, list(hash ORDER BY pos) FROM tops WHERE n > 1 GROUP BY ALL),
+    walk AS (
+      SELECT r, 0 AS k, tree, 0 AS level, pos, '' AS seen, CASE WHEN crc % 5 = 0 THEN lower ELSE leaf END AS folded FROM placed JOIN crcs USING (r)
+      UNION ALL SELECT r, k + 1, CASE WHEN hashes IS NULL THEN -1 ELSE w.tree END, CASE WHEN hashes IS NULL THEN 0 ELSE w.level + 1 END, CASE WHEN hashes IS NULL THEN w.tree ELSE pos // 16 END,
+        seen || coalesce(array_to_string(list_concat(hashes[1 : pos % 16], hashes[pos % 16 + 2 :]), ''), ''),
+        CASE WHEN hashes IS NULL THEN folded ELSE sha256(array_to_string(list_concat(list_append(hashes[1 : pos % 16], folded), hashes[pos % 16 + 2 :]), '')) END
+      FROM walk w LEFT JOIN runs u ON u.tree = w.tree AND u.level = w.level AND u.run = pos // 16 WHERE w.tree >= 0 OR hashes IS NOT NULL),
+    ends AS (SELECT r, arg_max(seen, k) AS seen, arg_max(folded, k) AS folded FROM walk GROUP BY r)
+    SELECT doc_id, leaf, s.hash AS subroot, t.hash AS root, sha256(seen) AS proof_sha256, folded AS folded_root, folded = t.hash AS verified
+    FROM placed JOIN ends USING (r) JOIN subs s USING (tree) JOIN tops t ON t.n = 1
+"""
 #: Every page met with every rule; the longest of those that fit.
 OP13_SQL = """
     WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
@@ -112,4 +147,4 @@ OP13_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": OP8_SQL, "op13_url_rules": OP13_SQL}
+    return {"op8_embedding_dedup": OP8_SQL, "op12_merkle": OP12_SQL, "op13_url_rules": OP13_SQL}
