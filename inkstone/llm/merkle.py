@@ -128,30 +128,31 @@ def climb(nodes: DataFrame, kept: Kept) -> tuple[list[DataFrame], DataFrame]:
         roots = roots.unionByName(level.where("n = 1").select("tree", F.lit(len(levels)).alias("height"), "hash"))
 
 
+def sent_down(heard: DataFrame, nodes: DataFrame, children: int, kept: Kept) -> DataFrame:
+    """One downward superstep: PATHS of the children of all nodes, which hear their own PATHS; children: how many there are."""
+
+    def send(messages: tuple) -> list[tuple]:
+        (tree, pos), met = messages
+        (path, subroot), (own, _) = sorted(met, key=lambda m: m[1] is None)
+        return [(tree, pos * FANOUT + slot, subroot, step(own, slot) + path) for slot in range(len(own) // DIGEST)]
+
+    # both kinds of message in one table, so that one Python worker at a time deals them out
+    none = F.lit(None).cast("binary")
+    met = heard.select("tree", "pos", F.col("path").alias("data"), "subroot").unionByName(nodes.select("tree", "pos", F.col("children").alias("data"), none.alias("subroot")))
+    rdd = met.rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), None if r[3] is None else bytes(r[3]))))
+    return kept.keep(heard.sparkSession.createDataFrame(rdd.groupByKey(tasks(rdd, children)).flatMap(send), PATHS, verifySchema=False))
+
+
 def descend(levels: list[DataFrame], starts: DataFrame, kept: Kept) -> DataFrame:
     """Downward supersteps from the trees' roots (tree, height, subroot, path: of the root) to the nodes over leaves.
 
     Gives PATHS of the lowest inner nodes, and of the only leaf of trees of height 0.
     """
-    spark = starts.sparkSession
-    here = None
-    for height in range(len(levels), 0, -1):
-        own = starts.where(F.col("height") == height).select("tree", F.lit(0).cast("bigint").alias("pos"), "subroot", "path")
-        here = own if here is None else here.unionByName(own)
-        if height == 1:
-            break
-        nodes, count = levels[height - 1], levels[height - 2].count()
-
-        def send(pair: tuple) -> list[tuple]:
-            (tree, pos), (heard, children) = pair
-            (subroot, path), (children,) = next(iter(heard)), children
-            return [(tree, pos * FANOUT + slot, subroot, step(children, slot) + path) for slot in range(len(children) // DIGEST)]
-
-        heard = here.rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), bytes(r[3]))))
-        met = heard.cogroup(nodes.select("tree", "pos", "children").rdd.map(lambda r: ((r[0], r[1]), bytes(r[2]))), tasks(heard, count))
-        here = kept.keep(spark.createDataFrame(met.flatMap(send), PATHS, verifySchema=False))
-    lone = starts.where("height = 0").select("tree", F.lit(0).cast("bigint").alias("pos"), "subroot", "path")
-    return lone if here is None else here.unionByName(lone)
+    own = lambda height: starts.where(F.col("height") == height).select("tree", F.lit(0).cast("bigint").alias("pos"), "subroot", "path")
+    here = own(len(levels))
+    for height in range(len(levels), 1, -1):
+        here = sent_down(here, levels[height - 1], levels[height - 2].count(), kept).unionByName(own(height - 1))
+    return here.unionByName(own(0)) if levels else here
 
 
 def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "doc_id", group: str = "source", text: str = "text", every: int = 5, proofs: bool = False) -> DataFrame:
@@ -184,37 +185,33 @@ def manifest(docs: DataFrame, fields: tuple[str, ...] = FIELDS, key: str = "doc_
     start = spark.createDataFrame([(-1, len(top_levels), b"", b"")], "tree bigint, height int, subroot binary, path binary")
     to_groups = descend(top_levels, start, kept)
     if top_levels:  # the nodes over the top tree's leaves send to these
-        nodes = top_levels[0].select("pos", "children").rdd.map(lambda r: (r[0], bytes(r[1])))
-        met = to_groups.rdd.map(lambda r: (r[1], bytes(r[3]))).join(nodes, tasks(nodes, top_levels[0].count()))
-        sent = met.flatMap(lambda m: [(m[0] * FANOUT + slot, step(m[1][1], slot) + m[1][0]) for slot in range(len(m[1][1]) // DIGEST)])
-        to_groups = kept.keep(spark.createDataFrame(sent, "tree bigint, path binary", verifySchema=False))
-    else:
-        to_groups = to_groups.select(F.lit(0).cast("bigint").alias("tree"), "path")
+        to_groups = sent_down(to_groups, top_levels[0], trees.count(), kept)
+    to_groups = to_groups.select(F.col("pos").alias("tree"), "path")
     starts = kept.keep(subroots.withColumnRenamed("hash", "subroot").join(to_groups, "tree"))
     paths = descend(levels, starts, kept)
 
-    def verify(pair: tuple) -> list[tuple]:
-        """The leaves under one node, or a tree's only leaf, with its children and path."""
-        _, (own, paths) = pair
-        own, ((subroot, path),) = sorted(own, key=lambda r: r[0]), paths
-        children, lone = b"".join(h for _, _, h, _, _ in own), own[0][4] == 1
-        folded = {combine(children): fold(combine(children), path)} if not lone else {}
+    def verify(messages: tuple) -> list[tuple]:
+        """The leaves under one node, or a tree's only leaf, with the path that they hear."""
+        _, met = messages
+        *own, (_, path, subroot, _, _) = sorted(met, key=lambda m: FANOUT if m[0] is None else m[0])
+        children, lone = b"".join(m[1] for m in own), own[0][4] == 1
+        node = combine(children)
+        usual = None if lone else fold(node, path)
         found = []
-        for slot, key, digest, changed, _ in own:
+        for slot, digest, changed, key, _ in own:
             proof = path if lone else step(children, slot) + path
-            now = changed or digest
             if lone:
-                up = fold(now, path)
+                up = fold(changed or digest, path)
             else:
                 at = slot * DIGEST
-                parent = combine(children[:at] + now + children[at + DIGEST :])
-                up = folded.get(parent) or fold(parent, path)
+                above = combine(children[:at] + (changed or digest) + children[at + DIGEST :])
+                up = usual if above == node else fold(above, path)
             found.append((key, digest.hex(), subroot.hex(), root.hex(), proof_digest(proof), up.hex(), up == root, proof if proofs else None))
         return found
 
-    own = leaves.select("tree", "pos", "n", "hash", "key", "tampered").rdd.map(lambda r: ((r[0], r[1] // FANOUT), (r[1] % FANOUT, r[4], bytes(r[3]), bytes(r[5]) if r[5] else None, r[2])))
-    heard = paths.rdd.map(lambda r: ((r[0], r[1]), (bytes(r[2]), bytes(r[3]))))
-    met = own.cogroup(heard, tasks(own, count))
-    found = kept.keep(spark.createDataFrame(met.flatMap(verify), out, verifySchema=False))
+    own = leaves.select("tree", F.floor(F.col("pos") / FANOUT).alias("pos"), (F.col("pos") % FANOUT).alias("slot"), "hash", "tampered", "key", "n")
+    heard = paths.select("tree", "pos", F.lit(None).cast("bigint").alias("slot"), F.col("path").alias("hash"), F.col("subroot").alias("tampered"), F.lit(None).cast(kind.split(" ", 1)[1]).alias("key"), F.lit(0).cast("bigint").alias("n"))
+    rdd = own.unionByName(heard).rdd.map(lambda r: ((r[0], r[1]), (r[2], bytes(r[3]), None if r[4] is None else bytes(r[4]), r[5], r[6])))
+    found = kept.keep(spark.createDataFrame(rdd.groupByKey(tasks(rdd, count)).flatMap(verify), out, verifySchema=False))
     kept.only(found)
     return found.withColumnRenamed("key", key).select(key, "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified", *["proof"] * proofs)
