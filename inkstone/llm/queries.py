@@ -80,6 +80,12 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from inkstone.llm.vector_codes import compress
+
+    return compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from inkstone.llm.merkle import FIELDS, manifest
 
@@ -107,6 +113,29 @@ OP8_SQL = """
 """
 
 
+
+
+def vector_codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds over all parts of all vectors, one after the other in plain SQL."""
+    steps = []
+    for r in range(rounds + 1):
+        near = f"SELECT p.i, p.pos, b.k, sum((p.v - b.v) * (p.v - b.v)) AS d FROM p JOIN b{r} b USING (pos, j) GROUP BY p.i, p.pos, b.k"
+        steps.append(f"a{r} AS MATERIALIZED (SELECT i, pos, arg_min(k, (d, k)) AS k, min(d) AS d FROM ({near}) GROUP BY i, pos)")
+        if r < rounds:
+            means = f"SELECT pos, k, j, sum(v)::BIGINT AS s, count(*) AS n FROM a{r} JOIN p USING (i, pos) GROUP BY pos, k, j"
+            steps.append(f"b{r + 1} AS MATERIALIZED (SELECT b.pos, b.k, b.j, coalesce((s - ((s % n) + n) % n) // n, b.v) AS v FROM b{r} b LEFT JOIN ({means}) m USING (pos, k, j))")
+    return f"""
+    WITH good AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS i, vec_id, label, embedding AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    items AS (SELECT i, len(e) // {parts} AS size, unnest(e) AS x, unnest(range(len(e))) AS ix FROM good),
+    p AS MATERIALIZED (SELECT i, ix // size AS pos, ix % size AS j, floor(4096 * x::DOUBLE)::BIGINT AS v FROM items),
+    b0 AS MATERIALIZED (SELECT pos, i - 1 AS k, j, v FROM p WHERE i <= {entries}),
+    {", ".join(steps)},
+    digest AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY pos, k, j)) AS codebooks_sha256 FROM b{rounds}),
+    coded AS (SELECT i, string_agg(printf('%02x', k), '' ORDER BY pos) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY i)
+    SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM good JOIN coded USING (i), digest
+"""
+
+
 #: All levels of all trees by recursion, then each leaf's siblings level by level.
 OP12_SQL = """
     WITH RECURSIVE enc AS (
@@ -147,4 +176,4 @@ OP13_SQL = """
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_embedding_dedup": OP8_SQL, "op12_merkle": OP12_SQL, "op13_url_rules": OP13_SQL}
+    return {"op8_embedding_dedup": OP8_SQL, "op11_vector_codes": vector_codes_sql(), "op12_merkle": OP12_SQL, "op13_url_rules": OP13_SQL}
