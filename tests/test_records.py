@@ -146,47 +146,23 @@ def test_thin_boxes_and_weak_ends_join(spark):
 
 
 def test_bands_of_a_page(spark):
-    rng = np.random.default_rng(8)
     struct = lambda rows: F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi")) for a, b in rows])
     run = lambda c: [tuple(r) for r in spark.range(1).select(c.alias("x")).first().x]
-
-    def joined(b, h):
-        tiny, tall = max(8, int(0.16 * h)), lambda x: x[1] - x[0]
-        if len(b) >= 2 and tall(b[0]) <= tiny and tall(b[0]) < 0.55 * tall(b[1]):
-            b = [(b[0][0], b[1][1]), *b[2:]]
-        if len(b) < 3:
-            return b
-        out, i = [], 0
-        while i < len(b):
-            inner = 0 < i < len(b) - 1 and tall(b[i]) <= tiny and tall(b[i]) < 0.60 * min(tall(out[-1]), tall(b[i + 1]))
-            out.append((b[i][0], b[i + 1][1]) if inner else b[i])
-            i += 1 + inner
-        return out
-
-    def widened(b, v, h):
-        out, m = [list(x) for x in b], float(np.median([max(1, y - x) for x, y in b]))
-        edge, share, least = max(6, round(0.14 * m)), max(4, round(0.10 * m)), max(8, int(0.45 * m))
-        t, (x, y) = out[0][0], b[0]
-        while t > 0 and v[t - 1] >= max(0.22, 0.4 * max(v[x:y])):
-            t -= 1
-        e, (x, y) = out[-1][1], b[-1]
-        while e < h and v[e] >= max(0.22, 0.4 * max(v[x:y])):
-            e += 1
-        out[0][0], out[-1][1] = max(0, t - edge), min(h, e + edge)
-        for i in range(len(out) - 1):
-            seam = (out[i][1] + out[i + 1][0]) // 2
-            down, up = min(h, max(out[i][1], seam + share)), max(0, min(out[i + 1][0], seam - share))
-            if down - out[i][0] >= least:
-                out[i][1] = down
-            if out[i + 1][1] - up >= least:
-                out[i + 1][0] = up
-        return [tuple(x) for x in out]
-
-    for _ in range(6):
-        edges = np.cumsum(rng.integers(3, 40, 7))
-        bands = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:])]
-        h = int(edges[-1] + 20)
-        v = np.round(rng.random(h), 3)
-        assert run(profiles.joined_bands(struct(bands), F.lit(h))) == joined(bands, h)
-        assert run(profiles.widened_bands(struct(bands), F.array(*[F.lit(float(x)) for x in v]), F.lit(h))) == widened(bands, v, h)
-    assert run(profiles.joined_bands(struct([(0, 5)]), F.lit(100))) == [(0, 5)]
+    join = lambda rows, h: run(profiles.joined_bands(struct(rows), F.lit(h)))
+    # up to .16 of a page of 100 is tiny: 16 rows
+    assert join([(0, 10), (12, 52), (60, 72), (75, 115)], 100) == [(0, 52), (60, 115)]
+    assert join([(0, 17), (20, 60), (60, 77), (80, 120)], 100) == [(0, 17), (20, 60), (60, 77), (80, 120)]
+    assert join([(0, 12), (14, 34), (40, 60)], 100) == [(0, 12), (14, 34), (40, 60)]  # .6 of its neighbour: no scrap
+    assert join([(0, 40), (42, 50), (52, 60)], 100) == [(0, 40), (42, 50), (52, 60)]  # the last neighbour is as low
+    assert join([(0, 40), (42, 50)], 100) == [(0, 40), (42, 50)] and join([(0, 5)], 100) == [(0, 5)]
+
+    widen = lambda rows, v, h: run(profiles.widened_bands(struct(rows), F.array(*[F.lit(float(x)) for x in v]), F.lit(h)))
+    # bands of 20 rows: 6 rows outwards, and inner edges 4 rows past the middle of a gap
+    assert widen([(20, 40), (60, 80)], [0.0] * 100, 100) == [(14, 54), (46, 86)]
+    # ink above the first band, .4 of its largest or more, belongs to it
+    inked = [0.0] * 10 + [0.5] * 10 + [1.0] * 20 + [0.0] * 60
+    assert widen([(20, 40), (60, 80)], inked, 100) == [(4, 54), (46, 86)]
+    faint = [0.0] * 10 + [0.3] * 10 + [1.0] * 20 + [0.0] * 60
+    assert widen([(20, 40), (60, 80)], faint, 100) == [(14, 54), (46, 86)]
+    # never past the page
+    assert widen([(2, 22), (60, 98)], [0.0] * 100, 100) == [(0, 45), (37, 100)]
