@@ -65,14 +65,18 @@ def segment_scores(spark, sf_dir):
     return found.select("l_orderkey", *[_rounded(f"s.{n}").alias(n) for n in ("edge_peak", "column_coherence", "row_coherence", "activity_mean", "activity_peak")], "s.object_mean", "s.width")
 
 
-_BLOCKS = "p AS (SELECT p_partkey // 40 AS block, p_partkey % 40 AS i, CAST(p_size / 50 AS DOUBLE) AS r, CAST((p_partkey * 7 % 50) / 50 AS DOUBLE) AS c FROM part)"
+#: Signals of forty columns, one for each block of forty part keys; a key that is missing is a column of zero.
+_BLOCKS = """
+    p AS (SELECT block, i, coalesce(CAST(p_size / 50 AS DOUBLE), 0) AS r, coalesce(CAST((p_partkey * 7 % 50) / 50 AS DOUBLE), 0) AS c
+      FROM (SELECT DISTINCT p_partkey // 40 AS block FROM part) CROSS JOIN (SELECT unnest(range(40)) AS i) LEFT JOIN part ON p_partkey = block * 40 + i)"""
 
 
 def _blocks(spark, sf_dir):
     key = F.col("p_partkey")
     rows = read(spark, sf_dir, "part", "p_partkey", "p_size").select(F.floor(key / 40).alias("block"), (key % 40).alias("i"), (F.col("p_size") / 50).alias("r"), ((key * 7 % 50) / 50).alias("c"))
-    both = rows.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", "r", "c"))).alias("x"))
-    return both.select("block", F.transform("x", lambda x: x["r"]).alias("r"), F.transform("x", lambda x: x["c"]).alias("c"))
+    both = rows.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("r", "c").alias("v")))).alias("x"))
+    column = lambda n: F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.coalesce(F.try_element_at("x", i.cast("bigint"))[n], F.lit(0.0))).alias(n)
+    return both.select("block", column("r"), column("c"))
 
 
 @query(f"""
@@ -162,7 +166,7 @@ def deep_valleys(spark, sf_dir):
 """)
 def wide_split(spark, sf_dir):
     n = (F.col("block") % 12 + 18).cast("int")
-    found = _blocks(spark, sf_dir).where(F.size("r") >= n).select("block", P.wide_split(F.lit(0), n, F.slice("r", F.lit(1), n), F.lit(10)).alias("p"))
+    found = _blocks(spark, sf_dir).select("block", P.wide_split(F.lit(0), n, F.slice("r", F.lit(1), n), F.lit(10)).alias("p"))
     return found.select("block", F.array_join(F.transform("p", lambda x: F.concat(x["lo"].cast("string"), F.lit("-"), x["hi"].cast("string"))), ",").alias("parts"))
 
 
@@ -249,32 +253,32 @@ def expanded_peaks(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), e AS (SELECT block, v, list_concat([0], [7, 15, 24, 35]) AS k FROM a),
+    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block), e AS (SELECT block, v, list_concat([0], [7, 15, 24, 35]) AS k FROM a),
     s AS (SELECT block, v, [[0, 8], [7, 15], [15, 24], [24, 35], [35, 40]] AS spans FROM a), x AS (SELECT block, list_transform(spans, lambda t: t[1] + list_position(v[t[1] + 1 : t[2]], list_min(v[t[1] + 1 : t[2]])) - 1) AS edges FROM s)
     SELECT block, edges[1] || '-' || edges[2] || ',' || edges[2] || '-' || edges[3] || ',' || edges[3] || '-' || edges[4] || ',' || edges[4] || '-' || edges[5] AS bands FROM x
 """)
 def valley_bands(spark, sf_dir):
     peaks = F.array(*[F.lit(p) for p in (7, 15, 24, 35)])  # a median distance of 9
-    found = _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", P.valley_bands(F.col("r"), peaks).alias("b"))
+    found = _blocks(spark, sf_dir).select("block", P.valley_bands(F.col("r"), peaks).alias("b"))
     return found.select("block", F.array_join(F.transform("b", lambda x: F.concat(x["lo"].cast("string"), F.lit("-"), x["hi"].cast("string"))), ",").alias("bands"))
 
 
 @query(f"""
     WITH {_BLOCKS}, m AS (SELECT block, i, r - avg(r) OVER (PARTITION BY block) AS x FROM p), l AS (SELECT unnest(range(8, 13)) AS lag),
     s AS (SELECT a.block, lag, round(sum(a.x * b.x), 9) AS s FROM l, m a JOIN m b ON a.block = b.block AND b.i = a.i + lag GROUP BY a.block, lag)
-    SELECT block, CAST(arg_max(lag, (s, -lag)) AS INT) AS pitch FROM s WHERE block IN (SELECT block FROM p GROUP BY block HAVING count(*) = 40) GROUP BY block
+    SELECT block, CAST(arg_max(lag, (s, -lag)) AS INT) AS pitch FROM s GROUP BY block
 """)
 def autocorrelation_pitch(spark, sf_dir):
-    return _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", P.autocorrelation_pitch(F.col("r"), F.lit(30)).alias("pitch"))
+    return _blocks(spark, sf_dir).select("block", P.autocorrelation_pitch(F.col("r"), F.lit(30)).alias("pitch"))
 
 
 @query(f"""
-    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), c AS (SELECT block, v, unnest(range(4, 36)) AS s FROM a),
+    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block), c AS (SELECT block, v, unnest(range(4, 36)) AS s FROM a),
     w AS (SELECT *, v[s + 1] AS here, least(list_max(v[3 : s]), list_max(v[s + 1 : 38])) AS weaker FROM c)
     SELECT block, CAST(s AS INT) AS seam FROM w WHERE weaker >= 0.16 AND (here <= 0.55 * weaker OR (here <= v[s - 1] AND here <= v[s + 3] AND here <= 0.70 * weaker))
 """)
 def seams_between_bodies(spark, sf_dir):
-    whole = _blocks(spark, sf_dir).where(F.size("r") == 40)
+    whole = _blocks(spark, sf_dir)
     return whole.select("block", F.explode(F.filter(F.sequence(F.lit(4), F.lit(35)), lambda s: P.seam_between_bodies(F.col("r"), F.lit(2), s, F.lit(38)))).alias("seam"))
 
 
@@ -301,7 +305,7 @@ def printed_shapes(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), e AS (SELECT block, v, [0, 3 + block % 4, 15, 18 + block % 5, 32, 40] AS e FROM a), x AS (SELECT block, v, e, unnest([0, 1, 2, 3, 4]) AS i FROM e),
+    WITH {_BLOCKS}, a AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block), e AS (SELECT block, v, [0, 3 + block % 4, 15, 18 + block % 5, 32, 40] AS e FROM a), x AS (SELECT block, v, e, unnest([0, 1, 2, 3, 4]) AS i FROM e),
     w AS (SELECT *, e[i + 2] - e[i + 1] AS w, CASE WHEN i > 0 THEN e[i + 1] - e[i] END AS l, CASE WHEN i < 4 THEN e[i + 3] - e[i + 2] END AS r FROM x)
     SELECT block, CAST(i AS INT) AS i, w >= 2 AND w / 30.0 <= 0.24 AS thin, coalesce(i > 0 AND i < 4 AND l >= 0.42 * 12 AND r >= 0.42 * 12 AND (w <= 0.32 * 12 OR w / 30.0 <= 0.22 OR (w <= 0.55 * least(l, r) AND w / 30.0 <= 0.30)), false) AS separates,
       i <= 3 AND list_max(v[greatest(0, e[i + 2] - 3) + 1 : e[i + 2] + 4]) >= 0.9123 AS crosses FROM w
@@ -310,7 +314,7 @@ def edge_rules(spark, sf_dir):
     """Of each part of a line: whether it is thin, separates words, and whether joining it with the next crosses a boundary."""
     block = F.col("block")
     edges = F.array(F.lit(0), (3 + block % 4).cast("int"), F.lit(15), (18 + block % 5).cast("int"), F.lit(32), F.lit(40))
-    parts = _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", "r", edges.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
+    parts = _blocks(spark, sf_dir).select("block", "r", edges.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
     e, i = F.col("e"), F.col("i")
     width = F.get(e, i + 1) - F.get(e, i)
     crosses = P.crosses_strong(e, i, i + 2, F.col("r"), 0.9123) & (i <= 3)

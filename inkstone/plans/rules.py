@@ -113,13 +113,13 @@ def interval_geometry(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_BLOCKS}, o AS (SELECT block, r, row_number() OVER (PARTITION BY block ORDER BY i) - 1 AS i FROM p), m AS (SELECT block, list(r ORDER BY i) AS v, min(r) AS lo, max(r) AS hi FROM o GROUP BY block HAVING count(*) = 40),
+    WITH {_BLOCKS}, o AS (SELECT block, r, row_number() OVER (PARTITION BY block ORDER BY i) - 1 AS i FROM p), m AS (SELECT block, list(r ORDER BY i) AS v, min(r) AS lo, max(r) AS hi FROM o GROUP BY block),
     j AS (SELECT block, v, lo, hi, unnest(range(0, 14)) AS j FROM m), k AS (SELECT *, j * 39 / 13.0::DOUBLE AS x FROM j)
     SELECT block, CAST(j AS INT) AS j, round((v[j + 1] - lo) / (hi - lo + 1e-6), 6) AS norm, round(v[CAST(floor(x) AS INT) + 1] + (v[least(CAST(floor(x) AS INT) + 1, 39) + 1] - v[CAST(floor(x) AS INT) + 1]) * (x - floor(x)), 6) AS resampled,
       round(greatest(exp(-0.5 * ((j - 3) / 2.5) ** 2), exp(-0.5 * ((j - 11) / 2.5) ** 2)), 6) AS target, list_max(v[greatest(0, j - 3) + 1 : j + 4]) AS near FROM k
 """)
 def profile_steps(spark, sf_dir):
-    whole = _blocks(spark, sf_dir).where(F.size("r") == 40)
+    whole = _blocks(spark, sf_dir)
     v = F.col("r")
     steps = F.arrays_zip(F.slice(signal.norm01(v), 1, 14).alias("norm"), signal.resample(v, 14).alias("resampled"), signal.soft_targets(F.array(F.lit(3), F.lit(11)), 14).alias("target"), F.transform(F.sequence(F.lit(0), F.lit(13)), lambda x: signal.near_max(v, x)).alias("near"))
     found = whole.select("block", F.posexplode(steps).alias("j", "x"))
@@ -127,34 +127,34 @@ def profile_steps(spark, sf_dir):
 
 
 @query(f"""
-    WITH {_BLOCKS}, m AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), j AS (SELECT block, v, unnest(range(0, 40)) AS j FROM m), d AS (SELECT block, v, j, unnest(range(-4, 5)) AS d FROM j),
+    WITH {_BLOCKS}, m AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block), j AS (SELECT block, v, unnest(range(0, 40)) AS j FROM m), d AS (SELECT block, v, j, unnest(range(-4, 5)) AS d FROM j),
     w AS (SELECT block, j, exp(-0.5 * d * d) AS w, v[CASE WHEN abs(j + d) < 40 THEN abs(j + d) ELSE 78 - abs(j + d) END + 1] AS x FROM d)
     SELECT block, CAST(j AS INT) AS j, round(sum(w * x) / sum(w), 6) AS smooth FROM w GROUP BY block, j
 """)
 def smoothed_profile(spark, sf_dir):
-    found = _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", F.posexplode(signal.smooth(F.col("r"), 1.0)).alias("j", "s"))
+    found = _blocks(spark, sf_dir).select("block", F.posexplode(signal.smooth(F.col("r"), 1.0)).alias("j", "s"))
     return found.select("block", "j", _rounded("s").alias("smooth"))
 
 
 @query(f"""
-    WITH {_BLOCKS}, m AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), e AS (SELECT block, v, unnest([[0, 6], [6, 7], [7, 15], [15, 29], [29, 40]]) AS e FROM m), s AS (SELECT block, e[1] AS lo, e[2] AS hi, v[e[1] + 1 : e[2]] AS s FROM e WHERE e[2] - e[1] >= 2)
+    WITH {_BLOCKS}, m AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block), e AS (SELECT block, v, unnest([[0, 6], [6, 7], [7, 15], [15, 29], [29, 40]]) AS e FROM m), s AS (SELECT block, e[1] AS lo, e[2] AS hi, v[e[1] + 1 : e[2]] AS s FROM e WHERE e[2] - e[1] >= 2)
     SELECT block, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, round(list_max(s), 6) AS confidence, round(list_avg(s), 6) AS mean FROM s WHERE list_avg(s) >= 0.5123
 """)
 def object_boxes(spark, sf_dir):
     cuts = F.array(*[F.lit(c) for c in (6, 7, 15, 29)])
-    found = _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", F.explode(signal.boxes(cuts, F.col("r"), empty=0.5123)).alias("b"))
+    found = _blocks(spark, sf_dir).select("block", F.explode(signal.boxes(cuts, F.col("r"), empty=0.5123)).alias("b"))
     return found.select("block", "b.lo", "b.hi", _rounded("b.confidence").alias("confidence"), _rounded("b.mean").alias("mean"))
 
 
 @query(f"""
-    WITH {_BLOCKS}, m AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block HAVING count(*) = 40), f AS (SELECT block, v, [list_avg(v[e * 8 + 1 : e * 8 + 8]) >= 0.5123 for e in [0, 1, 2, 3, 4]] AS f FROM m), k AS (SELECT block, list_filter([0, 1, 2, 3, 4], lambda e: f[e + 1]) AS k FROM f)
+    WITH {_BLOCKS}, m AS (SELECT block, list(r ORDER BY i) AS v FROM p GROUP BY block), f AS (SELECT block, v, [list_avg(v[e * 8 + 1 : e * 8 + 8]) >= 0.5123 for e in [0, 1, 2, 3, 4]] AS f FROM m), k AS (SELECT block, list_filter([0, 1, 2, 3, 4], lambda e: f[e + 1]) AS k FROM f)
     SELECT block, coalesce(list_aggregate([(((k[i] + 1) * 8 + k[i + 1] * 8) // 2) for i in range(1, len(k))], 'string_agg', ','), '') AS cuts FROM k
 """)
 def corridor_cuts(spark, sf_dir):
     v = F.col("r")
     active = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda e: F.aggregate(signal.span(v, e * 8, e * 8 + 8), F.lit(0.0), lambda a, x: a + x) / 8 >= 0.5123)
     cuts = segments.corridor_cuts(F.array(*[F.lit(c) for c in (8, 16, 24, 32)]), F.lit(40), active)
-    return _blocks(spark, sf_dir).where(F.size("r") == 40).select("block", F.array_join(cuts.cast("array<string>"), ",").alias("cuts"))
+    return _blocks(spark, sf_dir).select("block", F.array_join(cuts.cast("array<string>"), ",").alias("cuts"))
 
 
 @query("""
