@@ -38,13 +38,22 @@ def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: st
     if rule == "start":
         return np.bincount(first, minlength=len(bounds)).astype(float)
     out = np.bincount(first[first == last], minlength=len(bounds)).astype(float)
-    for i in np.flatnonzero(first != last):
-        inner = np.arange(first[i], last[i] + 1)
-        share = np.minimum(bounds[inner], ends[i]) - np.maximum(np.concatenate([[0], bounds])[inner], starts[i])
-        if rule == "majority":
-            out[inner[share.argmax()]] += 1
-        else:
-            out[inner] += share / share.sum()
+    crossing = np.flatnonzero(first != last)
+    if not len(crossing):
+        return out
+    # one row for each section that a crossing token has bytes of, token by token
+    n = last[crossing] - first[crossing] + 1
+    begin = np.cumsum(n) - n
+    token = np.repeat(crossing, n)
+    inner = first[token] + np.arange(len(token)) - np.repeat(begin, n)
+    share = np.minimum(bounds[inner], ends[token]) - np.maximum(np.where(inner > 0, bounds[inner - 1], 0), starts[token])
+    if rule == "split":
+        np.add.at(out, inner, share / (ends - starts)[token])
+        return out
+    # the first section that holds most of a token: its place among the rows, where shares reach the token's largest
+    most = share == np.repeat(np.maximum.reduceat(share, begin), n)
+    place = np.minimum.reduceat(np.where(most, np.arange(len(token)), len(token)), begin)
+    np.add.at(out, inner[place], 1)
     return out
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -139,3 +140,30 @@ def test_packing_whole_documents(spark, library):
         own = sorted((r.offset, r.length) for r in out if r.sequence_id == s)
         assert [o for o, _ in own] == [0, *np.cumsum([n for _, n in own])[:-1]] and sum(n for _, n in own) <= 2048
     assert packing.pack_documents(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["start", "majority", "split"])
+def test_attribution_is_that_of_each_token_alone(rule):
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        sections, tokens = rng.integers(1, 7, 40), rng.integers(1, 9, 60)
+        n = min(sections.sum(), tokens.sum())
+        bounds, ends = (np.unique(np.minimum(np.cumsum(x), n)) for x in (sections, tokens))
+        starts = np.concatenate([[0], ends[:-1]])
+        want = np.zeros(len(bounds))
+        for a, b in zip(starts, ends, strict=True):
+            share = [max(0, min(b, hi) - max(a, lo)) for lo, hi in zip([0, *bounds[:-1]], bounds, strict=True)]
+            if rule == "split":
+                want += np.array(share) / (b - a)
+            else:
+                want[np.flatnonzero(share)[0] if rule == "start" else int(np.argmax(share))] += 1
+        assert token_counts.attribute(starts, ends, bounds, rule) == pytest.approx(want)
+
+
+def test_millions_of_blank_lines_take_seconds():
+    n = 2_000_000
+    bounds = np.arange(1, 2 * n + 1)  # every byte a line
+    ends = np.arange(2, 2 * n + 1, 2)
+    began = time.process_time()
+    got = token_counts.attribute(ends - 2, ends, bounds)
+    assert got.sum() == n and time.process_time() - began < 20
