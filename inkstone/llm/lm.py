@@ -6,7 +6,7 @@ class vectors and with the vectors of a class's symbols give the next symbol; bo
 from noise and normalised over their whole range, in batched matrix products. A bucket's word follows by its smoothed
 share of the bucket, so every text has a proper probability. Groups of pieces of documents learn side by side, and their
 parameters are averaged after each of a few rounds. The rounds share out all pieces of all training documents, so the
-model learns from every symbol once; a small corpus is gone through several times.
+model learns from every symbol, `PASSES` times at every size of corpus.
 
 Counts cover all training texts. Words of the `HEAD` largest counts are looked up in every task, a table of bounded
 size; all others meet their counts in a join, however many there are.
@@ -31,14 +31,17 @@ from inkstone.llm.common import Kept, crc_mod, parts_for, widen
 
 FOLDS = 10
 HEAD = 131_072
-WORDS, BUCKETS = 1023, 512
-LEVELS, SIZE, BACK = 5, 24, 3
+#: Words that are symbols of their own: those of so many occurrences or more, at most WORDS. BUCKETS share the others.
+WORDS, LEAST_SEEN, BUCKETS = 4095, 10, 512
+SIZE, BACK = 24, 3
 #: Symbols of a group that learns on its own, about, and of a piece of a text; all symbols of all groups are learned from.
 TRAIN_SYMBOLS, PIECE = 2_400_000, 65_536
-#: Symbols to learn from at least: smaller corpora are gone through several times.
-LEAST_SYMBOLS = 600_000
+#: Groups that a task takes one after the other where there are very many: it sends the sum of what they learned.
+TOGETHER = 8
 #: A pass over the training texts has so many rounds, each over texts of its own, after which groups are averaged.
 ROUNDS, NOISE = 3, 10
+#: How often a group goes over its pieces of a round.
+PASSES = 1
 #: Rows and columns of the counts that symbols are put into classes by: preceding symbols are taken modulo this.
 SKETCH = 256
 ALPHA = 0.1
@@ -139,12 +142,13 @@ def pairs(ids: np.ndarray, context: np.ndarray, m: int) -> np.ndarray:
     return np.bincount((ids[:, None] * SKETCH + context % SKETCH).ravel(), minlength=m * SKETCH)
 
 
-def classes(seen: np.ndarray, levels: int = LEVELS) -> np.ndarray:
-    """Halves symbols `levels` times along the main direction of what stands before them: 2**levels classes of like sizes.
+def classes(seen: np.ndarray) -> np.ndarray:
+    """Halves symbols along the main direction of what stands before them until there are about as many classes as members of each.
 
     seen: for each symbol, counts of the symbols before it.
     """
     m = len(seen)
+    levels = max(1, round(math.log2(m) / 2))
     seen = np.sqrt(seen / np.maximum(seen.sum(1, keepdims=True), 1)).astype(np.float32)
     groups = [np.arange(m)]
     for _ in range(levels):
@@ -297,7 +301,7 @@ class Known:
 RECORD = np.dtype([("log", "<f8"), ("id", "<i8")])
 
 
-def know(counts: DataFrame, head: int = HEAD, n_words: int = WORDS) -> tuple[Known, np.ndarray]:
+def know(counts: DataFrame, head: int = HEAD, n_words: int = WORDS, least: int = LEAST_SEEN) -> tuple[Known, np.ndarray]:
     """Head words and totals from counts (word, bucket, c); symbols' counts.
 
     Head words are those of the largest counts, at most `head`, down to a step of a fine logarithmic scale.
@@ -312,7 +316,8 @@ def know(counts: DataFrame, head: int = HEAD, n_words: int = WORDS) -> tuple[Kno
         edge = r["level"]
     rows = own.where(level >= edge).select("word", "c").collect() if edge is not None else []  # at most `head`
     rows.sort(key=lambda r: (-r["c"], r["word"]))
-    names = [r["word"].encode() for r in rows[:n_words]]
+    often = [r for r in rows[:n_words] if r["c"] >= least]
+    names = [r["word"].encode() for r in often]
     of = {w: i for i, w in enumerate(names)}
     table = {r["word"].encode(): (of.get(r["word"].encode(), -1), r["c"]) for r in rows}
     sums = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()  # a row for each bucket
@@ -324,11 +329,11 @@ def know(counts: DataFrame, head: int = HEAD, n_words: int = WORDS) -> tuple[Kno
             ends = r["n"]
         else:
             n_b[r["bucket"]], v_b[r["bucket"]] = r["n"], r["v"]
-    for r in rows[:n_words]:
+    for r in often:
         b = bucket(r["word"].encode())
         n_b[b] -= r["c"]
         v_b[b] -= 1
-    symbols = np.concatenate([[r["c"] for r in rows[:n_words]], n_b, [ends]])
+    symbols = np.concatenate([[r["c"] for r in often], n_b, [ends]])
     return Known(table, len(names), np.log10(n_b + ALPHA * (v_b + 1)), total, math.log10(total + ALPHA * (distinct + 1)), ends), symbols
 
 
@@ -404,36 +409,49 @@ def joined(pieces: list[tuple[int, bytes]], m: int) -> tuple[np.ndarray, np.ndar
 
 
 def blocks(batches, most: int):
-    """(g, pieces) of rows (g, lead, ids) that come in order of g: a group's pieces, some `most` symbols at a time."""
+    """(g, pieces) of rows (g, lead, ids, times) that come in order of g: a group's pieces, some `most` symbols at a time."""
     g, pieces, n = None, [], 0
     for b in batches:
-        for group, lead, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-            if pieces and (group != g or n >= most):
-                yield g, pieces
-                pieces, n = [], 0
-            g = group
-            pieces.append((lead, data))
-            n += len(data) // 2
+        for group, lead, data, times in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for _ in range(times):
+                if pieces and (group != g or n >= most):
+                    yield g, pieces
+                    pieces, n = [], 0
+                g = group
+                pieces.append((lead, data))
+                n += len(data) // 2
     if pieces:
         yield g, pieces
 
 
-def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds: int = ROUNDS, seed: int = 13) -> Model:
-    """Learns the neural part from all symbols of texts (row, pieces: as `coded` has them), each of its `rounds` from a share of them.
+def deal(texts: DataFrame, rounds: int, groups: int) -> DataFrame:
+    """round, g, h, lead, ids, times: the pieces of texts (pieces: as `coded` has them), dealt to rounds and groups.
 
-    Pieces are dealt by hash to rounds and groups; a group has about TRAIN_SYMBOLS symbols in all. In a round every
-    group goes on from the same parameters over its pieces; the mean of what the groups end with, by their symbols, begins
-    the next round. Where all texts have fewer than LEAST_SYMBOLS, a round goes over its pieces several times.
+    Cells follow from a piece's symbols and its number among equal ones, so they are a function of the table, and equal
+    pieces spread over cells. More copies of a piece than there are cells go to all cells evenly, `times` to a cell.
+    """
+    cells = rounds * groups
+    own = texts.select(F.posexplode("pieces").alias("piece", "ids")).select(F.when(F.col("piece") > 0, BACK).otherwise(0).alias("lead"), "ids").groupBy("lead", "ids").agg(F.count("*").alias("n"))
+    each = own.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.col("n"), F.lit(cells)) - 1)))
+    many = F.col("n") > cells
+    h = F.xxhash64("ids", "lead", "copy")
+    cell = F.when(many, F.col("copy")).otherwise(F.pmod(h, F.lit(cells)))
+    times = F.when(many, F.floor((F.col("n") - F.col("copy") - 1) / cells) + 1).otherwise(1)
+    return each.select((cell % rounds).cast("int").alias("round"), F.floor(cell / rounds).cast("int").alias("g"), h.alias("h"), "lead", "ids", times.cast("bigint").alias("times"))
+
+
+def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds: int = ROUNDS, passes: int = PASSES, seed: int = 13) -> Model:
+    """Learns the neural part from all symbols of texts (pieces: as `coded` has them), each of its `rounds` from a share of them.
+
+    A group has about TRAIN_SYMBOLS symbols in all. In a round every group goes on from the same parameters over its
+    pieces, `passes` times; the mean of what the groups end with, by their symbols, begins the next round. Groups and
+    the order of their pieces follow from the pieces alone, so partitions change nothing but roundings of sums.
     """
     m, n_groups, most = len(symbols), parts_for(known.total, TRAIN_SYMBOLS), TRAIN_SYMBOLS // 2
     if not known.total:
         return train(symbols, np.array([m - 1]), np.array([0]), 1, seed)
-    passes = parts_for(LEAST_SYMBOLS, known.total)
-    dealt = texts.select("row", F.posexplode("pieces").alias("piece", "ids")).withColumn("h", F.xxhash64("row", "piece"))
-    dealt = dealt.select(
-        F.pmod("h", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.shiftright("h", 20), F.lit(n_groups)).cast("int").alias("g"), F.when(F.col("piece") > 0, BACK).otherwise(0).alias("lead"), "ids", "h"
-    )
-    dealt = kept.keep(dealt.repartition(n_groups, "g").sortWithinPartitions("round", "g", "h").drop("h"), "round")
+    tasks = max(min(n_groups, 4 * texts.sparkSession.sparkContext.defaultParallelism), parts_for(n_groups, TOGETHER))
+    dealt = kept.keep(deal(texts, rounds, n_groups), "round")
 
     def sums(value: np.ndarray, at: np.ndarray):
         for i in range(0, len(at), 100_000):
@@ -441,7 +459,7 @@ def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds:
 
     def total(rows: DataFrame, run, n: int) -> np.ndarray:
         """Sums over all tasks of a vector of fixed size."""
-        found = rows.select("g", "lead", "ids").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        found = rows.select("g", "lead", "ids", "times").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
         out = np.zeros(n)
         out[found.column("i").to_numpy()] = found.column("v").to_numpy()
         return out
@@ -453,7 +471,7 @@ def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds:
         at = np.flatnonzero(seen)
         yield from sums(seen[at], at)
 
-    trainer = Trainer(symbols, total(dealt, count, m * SKETCH).reshape(m, SKETCH))
+    trainer = Trainer(symbols, total(dealt.withColumn("g", F.lit(0)), count, m * SKETCH).reshape(m, SKETCH))
     state = trainer.start(seed)
     for r in range(rounds):
         shared = texts.sparkSession.sparkContext.broadcast((trainer, state))
@@ -473,7 +491,9 @@ def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds:
             if out[-1]:
                 yield from sums(out, np.arange(len(out)))
 
-        mean = total(dealt.where(F.col("round") == r), learn, len(state) + 1)
+        # dealt anew for each round: a group is one task's work however the stored files are split
+        rows = dealt.where(F.col("round") == r).repartition(tasks, "g").sortWithinPartitions("g", "h", "lead", "ids")
+        mean = total(rows, learn, len(state) + 1)
         if mean[-1]:
             state = (mean[:-1] / mean[-1]).astype(np.float32)
         shared.unpersist()
@@ -510,8 +530,8 @@ def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, text: str = "te
 
     A null text counts as the empty one, whose only token is the end; repeated rows are counted and scored each for
     itself. Without training documents all counts are zero. A null key counts as the empty text when folds are dealt
-    (and so is held out). Other columns aren't read. The last digits of score depend on which rows a task reads, as
-    pieces are dealt to groups by their rows' numbers: a group of copies then never gathers in one task.
+    (and so is held out). Other columns aren't read. Scores are a function of the table's rows, whatever partitions they
+    come in; only roundings of sums differ in the last digits.
     """
     kept = Kept(docs.sparkSession)
     own = widen(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).withColumn("held_out", crc_mod("key", folds) == 0)

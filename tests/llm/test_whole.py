@@ -77,3 +77,23 @@ def test_scores_are_those_of_a_plain_recomputation(spark, monkeypatch, head):
         rest = sum(math.log10((c[w] + lm.ALPHA) / (mass[lm.bucket(w.encode())] + lm.ALPHA)) for w in words if w not in symbol)
         assert out[k, len(ids)] == pytest.approx(plain(ids, rest), abs=1e-3)
     assert len(out) == len(rows) and out[103, 40_001] < 0
+
+
+def test_scores_are_a_function_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TRAIN_SYMBOLS", 4000)  # several groups
+    monkeypatch.setattr(lm, "PIECE", 50)
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{i}" for i in range(60)])
+    rows = [(i, " ".join(names[np.minimum(59, rng.geometric(0.1, 40))])) for i in range(300)] + [(1000 + i, "copy of one text " * 20) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    runs = [{r.doc_id: (r.base_score, r.score) for r in lm.score(docs.repartition(n)).collect()} for n in (4, 16, 64)]
+    for other in runs[1:]:
+        assert all(other[k] == pytest.approx(v, rel=1e-3) for k, v in runs[0].items())
+    # copies are as many as they are, and lie in several groups
+    own = docs.selectExpr("doc_id AS key", "text", "false AS held_out")
+    kept = Kept(spark)
+    known, _ = lm.know(kept.keep(lm.token_counts(own.select("text"))))
+    dealt = lm.deal(lm.coded(own, known), 3, 4).collect()
+    assert sum(r.times * (len(r.ids) // 2 - r.lead) for r in dealt) == known.total
+    hot = [r for r in dealt if r.times > 1]
+    assert {(r.round, r.g) for r in hot} == {(a, b) for a in range(3) for b in range(4)} and max(r.times for r in hot) - min(r.times for r in hot) <= 1
