@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import boxes, fusion, numeric, peaks, segments, signal, text
 from inkstone.functions import constants as K
-from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching, ranks
+from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching, ranks, series
 from inkstone.plans.registry import QUERIES, SQL, Query, query
 from inkstone.plans.registry import rounded as _rounded
 from inkstone.sources.tables import read
@@ -484,8 +484,10 @@ def local_maxima(spark, sf_dir):
     FROM e JOIN o ON o.user_id = e.user_id AND o.i > e.lo AND o.i < e.hi GROUP BY e.user_id, e.i, e.v
 """)
 def prominence(spark, sf_dir):
-    found = F.transform(signal.local_maxima(F.col("v"), 0.35), lambda i: F.struct(i.alias("i"), signal.prominence(F.col("v"), i).alias("p")))
-    return _series(spark, sf_dir).select("user_id", F.explode(found).alias("x")).select("user_id", "x.i", _rounded("x.p").alias("prominence"))
+    events = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "value").withColumn("v", F.least(F.lit(1.0), F.col("value") / 100))
+    rows = series.positions(events, "user_id", F.date_trunc("hour", "ts"), ["ts", "event_id"]).select(F.col("user_id").alias("key"), "i", "v")
+    found = series.prominences(rows, series.local_maxima(rows, 0.35))
+    return found.select(F.col("key").alias("user_id"), F.col("i").cast("int").alias("i"), _rounded("prominence").alias("prominence"))
 
 
 #: Peaks from the strongest down, each dropped if a kept one is nearer than 3.
