@@ -780,7 +780,7 @@ def fifo_queue(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from inkstone.plans import pages, profiles, records, rules  # noqa: F401  they register themselves
+    from inkstone.plans import boundaries, pages, profiles, records, rules  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
