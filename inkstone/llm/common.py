@@ -92,6 +92,18 @@ class Kept:
             drop_path(self.spark, path)
 
 
+    def read_by(self, df: DataFrame, *under: DataFrame) -> DataFrame:
+        """df, marked as the reader of these tables and of those that `under` read: see `release`."""
+        df._reads = [self, *(k for u in under for k in getattr(u, "_reads", []))]
+        return df
+
+
+def release(df: DataFrame) -> None:
+    """Deletes the tables that only df reads, once df has been written elsewhere."""
+    for kept in getattr(df, "_reads", []):
+        kept.only()
+
+
 def free_name(name: str, columns: list[str]) -> str:
     """name, or a longer one that no column has (in any case of letters)."""
     taken = {c.lower() for c in columns}

@@ -127,4 +127,4 @@ def near_duplicates(df: DataFrame, size: int = SHINGLE, seed: int = SEED, radius
     kept.only(docs, fps, found)
     of_fp = fps.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
     out = docs.join(of_fp, F.col("fp") == F.col("fp_")).select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-    return out
+    return kept.read_by(out)
