@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import packing, pii, quality, simhash, toxicity
-from inkstone.llm.common import Kept, free_name, table, widen
+from inkstone.llm.common import Kept, free_name, release, table, widen
 
 #: SQL can't express the classifiers.
 ORACLE_SQL = None
@@ -48,10 +48,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = Kept(spark)
     row = free_name("row", docs.columns)
     rows = kept.keep(docs.withColumn(row, F.monotonically_increasing_id()))
-    groups = simhash.near_duplicates(rows.select(F.col(row).alias("id"), "text"), key="id").select("id", "component_id")
+    found = simhash.near_duplicates(rows.select(F.col(row).alias("id"), "text"), key="id")
+    groups = found.select("id", "component_id")
     ids = rows.select(F.col(row).alias("id"), "doc_id")
     best = groups.join(ids, "id").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("best"))
-    return rows.join(best.select(F.col("best.id").alias(row)), row, "left_semi").select(*docs.columns)
+    out = rows.join(best.select(F.col("best.id").alias(row)), row, "left_semi").select(*docs.columns)
+    return kept.read_by(out, found)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,11 +87,19 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each but the last is written to the shared folder and read again."""
+    """All stages over `documents`; each but the last is written to the shared folder and read again.
+
+    A stage's table, and what the stage itself wrote, is deleted once the next one's is written.
+    """
     kept = Kept(spark)
     docs = table(spark, sf_dir, "documents")
+    last = None
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
+        docs = kept.keep(out) if name != STAGES[-1][0] else out  # packing has written its pieces when it returns
         if name != STAGES[-1][0]:
-            docs = kept.keep(docs)
+            release(out)
+        if last is not None:
+            kept.drop(last)
+        last = docs
     return docs
