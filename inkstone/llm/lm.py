@@ -38,6 +38,8 @@ SIZE, BACK = 24, 3
 TRAIN_SYMBOLS, PIECE = 2_400_000, 65_536
 #: Groups that a task takes one after the other where there are very many: it sends the sum of what they learned.
 TOGETHER = 8
+#: Numbers of a vector that travel as one value.
+CHUNK = 16_384
 #: A pass over the training texts has so many rounds, each over texts of its own, after which groups are averaged.
 ROUNDS, NOISE = 3, 10
 #: How often a group goes over its pieces of a round.
@@ -119,7 +121,8 @@ class Model:
 
 def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log of the softmax of each row's scores at one place; overwrites scores."""
-    scores -= scores.max(1, keepdims=True)
+    if scores.max(initial=0) > 80 or scores.min(initial=0) < -80:  # else no power of e leaves the range of numbers
+        scores -= scores.max(1, keepdims=True)
     own = scores[np.arange(len(at)), at]
     return own - np.log(np.exp(scores, out=scores).sum(1))
 
@@ -453,23 +456,29 @@ def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds:
     tasks = max(min(n_groups, 4 * texts.sparkSession.sparkContext.defaultParallelism), parts_for(n_groups, TOGETHER))
     dealt = kept.keep(deal(texts, rounds, n_groups), "round")
 
-    def sums(value: np.ndarray, at: np.ndarray):
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000], pa.int32()), pa.array(value[i : i + 100_000], pa.float64())], names=["i", "v"])
+    def sums(values: np.ndarray):
+        """A task's vector in chunks; those of zeros stay out."""
+        parts = [(i, values[at : at + CHUNK]) for i, at in enumerate(range(0, len(values), CHUNK))]
+        parts = [(i, v.astype("<f8").tobytes()) for i, v in parts if v.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.binary())], names=["i", "v"])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(v, "<f8") for v in t.column("v").to_pylist()], 0)
+        return pa.table({"i": t.column("i").slice(0, 1), "v": pa.array([total.tobytes()], pa.binary())})
 
     def total(rows: DataFrame, run, n: int) -> np.ndarray:
-        """Sums over all tasks of a vector of fixed size."""
-        found = rows.select("g", "lead", "ids", "times").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).toArrow()
+        """Sums over all tasks of a vector of fixed size: a chunk of it is a task's work, with a row of each task that learned."""
+        found = rows.select("g", "lead", "ids", "times").mapInArrow(run, "i int, v binary").groupBy("i").applyInArrow(added, "i int, v binary").toArrow()
         out = np.zeros(n)
-        out[found.column("i").to_numpy()] = found.column("v").to_numpy()
+        for i, v in zip(found.column("i").to_pylist(), found.column("v").to_pylist(), strict=True):
+            out[i * CHUNK : i * CHUNK + len(v) // 8] = np.frombuffer(v, "<f8")
         return out
 
     def count(batches):
         seen = np.zeros(m * SKETCH)
         for _, pieces in blocks(batches, most):
             seen += pairs(*joined(pieces, m), m)
-        at = np.flatnonzero(seen)
-        yield from sums(seen[at], at)
+        yield from sums(seen)
 
     trainer = Trainer(symbols, total(dealt.withColumn("g", F.lit(0)), count, m * SKETCH).reshape(m, SKETCH))
     state = trainer.start(seed)
@@ -489,7 +498,7 @@ def fit(texts: DataFrame, known: Known, symbols: np.ndarray, kept: Kept, rounds:
                 n, k = n + len(ids), k + 1
             out += n * np.append(own, 1.0)
             if out[-1]:
-                yield from sums(out, np.arange(len(out)))
+                yield from sums(out)
 
         # dealt anew for each round: a group is one task's work however the stored files are split
         rows = dealt.where(F.col("round") == r).repartition(tasks, "g").sortWithinPartitions("g", "h", "lead", "ids")
