@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import constants as K
-from inkstone.operators.groups import map_groups
 
 
 def latest_state(events: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
@@ -28,29 +26,32 @@ def job_view(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", F.when(done, "succeeded").when(failed, "failed").otherwise("pending").alias("status"), F.when(done, F.col("text")).alias("text"), F.when(failed, F.col("error")).alias("error"), F.when(done, F.coalesce(F.col("overlay") != "", F.lit(False))).alias("has_overlay"))
 
 
-def fifo(arrivals: DataFrame, queue: str, at: str, service: str, key: str, patience: float | None = None) -> DataFrame:
-    """queue, key, start, end: one job at a time in order of arrival; one that would wait longer than `patience` leaves (null).
+def fifo(arrivals: DataFrame, queue: str, at: str, service: str, key: str) -> DataFrame:
+    """queue, key, start, end of each job where a queue does one at a time in order of arrival.
 
-    Without patience a job starts when it has arrived and all work before it is done: the largest, over jobs up to it, of
-    an arrival less the work before that job, plus the work before it. Two running windows say so. With patience a job's
-    fate depends on who left before, so a queue is one group.
+    A job starts when it has arrived and all work before it is done: the largest, over jobs up to it, of an arrival less
+    the work before that job, plus the work before it. Two running windows say so.
     """
-    if patience is None:
-        w = Window.partitionBy(queue).orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
-        before = arrivals.select(queue, key, at, service, (F.sum(service).over(w) - F.col(service)).alias("__before"))
-        start = F.max(F.col(at) - F.col("__before")).over(w) + F.col("__before")
-        return before.select(queue, key, start.alias("start"), (start + F.col(service)).alias("end"))
-
-    def run(c: dict[str, np.ndarray]) -> list[tuple]:
-        free, out = float("-inf"), []
-        for q, k, t, needs in zip(c[queue], c[key], c[at], c[service], strict=True):
-            start = max(t, free)
-            if start - t > patience:
-                out.append((q, k, None, None))
-                continue
-            free = start + needs
-            out.append((q, k, start, free))
-        return out
-
-    own = arrivals.select(queue, key, F.col(at).cast("double").alias(at), F.col(service).cast("double").alias(service))
-    return map_groups(own, [queue], [at, key], f"{queue} {own.schema[queue].dataType.simpleString()}, {key} {own.schema[key].dataType.simpleString()}, start double, end double", run)
+    w = Window.partitionBy(queue).orderBy(at, key).rowsBetween(Window.unboundedPreceding, 0)
+    before = arrivals.select(queue, key, at, service, (F.sum(service).over(w) - F.col(service)).alias("__before"))
+    start = F.max(F.col(at) - F.col("__before")).over(w) + F.col("__before")
+    return before.select(queue, key, start.alias("start"), (start + F.col(service)).alias("end"))
+
+
+def results(events: DataFrame, key: str, kind: str, result: str, at: str, seq: str) -> DataFrame:
+    """key, status, result, updated_at: where each job ends, by its events in order of (at, seq).
+
+    Kinds: queued, running, succeeded, failed, and finalized, which gives a better result. The first of succeeded and failed
+    stands. A job's result is replaced once, and only if it has succeeded: the first finalized behind that counts, others
+    don't. finalized alone makes no job. Repeated events change nothing; other kinds are left out.
+    """
+    order = F.struct(F.col(at).alias("at"), F.col(seq).alias("seq"))
+    own = events.where(F.col(kind).isin("queued", "running", "succeeded", "failed", "finalized")).select(F.col(key).alias("key"), F.col(kind).alias("kind"), F.col(result).alias("result"), order.alias("at"))
+    is_end, runs = F.col("kind").isin("succeeded", "failed"), F.max(F.when(F.col("kind") == "running", 1))
+    ends = own.groupBy("key").agg(F.min_by(F.struct("kind", "result", "at"), F.when(is_end, F.col("at"))).alias("end"), runs.alias("runs"), F.max(F.when(F.col("kind") != "finalized", 1)).alias("known"), F.max("at.at").alias("updated_at")).where("known = 1")
+    done = F.col("end.kind") == "succeeded"
+    better = own.where("kind = 'finalized'").select(F.col("key").alias("key_"), F.col("at").alias("then"), F.col("result").alias("better"))
+    met = ends.join(better, F.col("key").eqNullSafe(F.col("key_")) & (F.col("then") > F.col("end.at")) & done, "left")
+    out = met.groupBy("key", "end", "runs", "updated_at").agg(F.min_by(F.struct("better"), "then").alias("b"))
+    status = F.coalesce(F.col("end.kind"), F.when(F.col("runs") == 1, "running"), F.lit("queued"))
+    return out.select(F.col("key").alias(key), status.alias("status"), F.when(F.col("b").isNotNull(), F.col("b.better")).when(done, F.col("end.result")).alias("result"), "updated_at")

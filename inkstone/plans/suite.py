@@ -779,6 +779,24 @@ def fifo_queue(spark, sf_dir):
     return jobs.fifo(arrivals, "user_id", "at", "service", "event_id").select("user_id", "event_id", "start", "end")
 
 
+#: Events as those of jobs: what their types stand for, and ten jobs to a user.
+_KINDS = {"signup": "queued", "view": "running", "purchase": "succeeded", "error": "failed", "click": "finalized"}
+
+
+@query(f"""
+    WITH e AS (SELECT user_id * 10 + event_id % 10 AS job, CASE event_type {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END AS kind, round(value, 2) AS result, ts AS moment, event_id AS seq FROM events),
+    k AS (SELECT job, bool_or(kind = 'running') AS runs, max(moment) AS updated_at FROM e GROUP BY job HAVING bool_or(kind <> 'finalized')),
+    d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY moment, seq) AS n FROM e WHERE kind IN ('succeeded', 'failed')) WHERE n = 1),
+    b AS (SELECT e.job, arg_min(e.result, (e.moment, e.seq)) AS better FROM e JOIN d ON d.job = e.job WHERE e.kind = 'finalized' AND d.kind = 'succeeded' AND (e.moment, e.seq) > (d.moment, d.seq) GROUP BY e.job)
+    SELECT job, coalesce(d.kind, CASE WHEN runs THEN 'running' ELSE 'queued' END) AS status, CASE WHEN d.kind = 'succeeded' THEN coalesce(better, d.result) END AS result, updated_at FROM k LEFT JOIN d USING (job) LEFT JOIN b USING (job)
+""")
+def job_results(spark, sf_dir):
+    """Where each job ends, and its result, replaced once by the first better one."""
+    kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("event_type")]
+    events = read(spark, sf_dir, "events", "user_id", "event_id", "event_type", "value", "ts").select((F.col("user_id") * 10 + F.col("event_id") % 10).alias("job"), kind.alias("kind"), F.round("value", 2).alias("result"), "ts", "event_id")
+    return jobs.results(events, "job", "kind", "result", "ts", "event_id")
+
+
 def queries() -> dict[str, Query]:
     from inkstone.plans import boundaries, pages, profiles, records, rules  # noqa: F401  they register themselves
 
