@@ -47,8 +47,8 @@ def scaled(c: Column, factor: float) -> Column:
 
 
 def padded(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column, share: float = 0.06, least: int = 4) -> Column:
-    """The box grown by a share of its sides, `least` at least, within the image."""
-    px, py = (F.greatest(F.lit(least), F.floor(extent(a, b) * share)) for a, b in ((x0, x1), (y0, y1)))
+    """The box grown by a share of its sides (halves go to the even neighbour), `least` at least, within the image."""
+    px, py = (F.greatest(F.lit(least), F.rint(extent(a, b) * share)) for a, b in ((x0, x1), (y0, y1)))
     zero = F.lit(0)
     return F.struct(F.greatest(zero, x0 - px).cast("int").alias("x0"), F.greatest(zero, y0 - py).cast("int").alias("y0"), F.least(width, x1 + px).cast("int").alias("x1"), F.least(height, y1 + py).cast("int").alias("y1"))
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkstone.functions import pages as G
+from inkstone.functions import regions as R
 from inkstone.functions.numeric import array_mean, index_of_max
 from inkstone.functions.signal import let, span
-from inkstone.operators import pages
+from inkstone.operators import pages, regions
 from inkstone.plans.registry import query
+from inkstone.plans.registry import rounded as _rounded
 from inkstone.sources.tables import read
 
 #: Of each row of a page (k: its place) the two signals, the same in both languages; lines are 23 to 33 rows apart.
@@ -169,3 +171,48 @@ def page_bands(spark, sf_dir):
     """The bands of all lines of every page."""
     found = pages.page_bands(_pages(spark, sf_dir), F.col("s"), F.col("c"), F.lit(200), _score(F.col("row.c")))
     return found.select("page", F.size("bands").alias("lines"), _text(F.col("bands")).alias("bands"))
+
+
+def _mask(page):
+    """A box of a page's strokes for two pages of three."""
+    x0, y0 = 20 + page % 10, 30 + page % 40
+    return F.when(page % 3 > 0, R.box(x0, y0, F.lit(90), y0 + 40))
+
+
+@query(f"""
+    WITH RECURSIVE {_PAGES}, x AS MATERIALIZED (SELECT page, y AS i, CASE WHEN y BETWEEN 10 + page % 30 AND 139 - page % 50 THEN 0.3 + 0.7 * c ELSE 0.02 * c END AS v FROM r),
+    q AS MATERIALIZED (SELECT page, y, h, CASE WHEN y < 60 + page % 25 OR y > 128 - page % 20 THEN s ELSE s * 0.1 END AS s, CASE WHEN y < 60 + page % 25 OR y > 128 - page % 20 THEN c ELSE c * 0.1 END AS m FROM r),
+    l AS (SELECT *, lag(s) OVER w AS a, lead(s) OVER w AS b, max(s) OVER (PARTITION BY page) AS top FROM q WINDOW w AS (PARTITION BY page ORDER BY y)), t AS (SELECT page, y, h, row_number() OVER (PARTITION BY page ORDER BY y) AS n FROM l WHERE s >= a AND s >= b AND s >= 0.42 * top),
+    f AS (SELECT page, n, [y] AS kept FROM t WHERE n = 1 UNION ALL SELECT f.page, t.n, CASE WHEN t.y - f.kept[-1] >= greatest(6, floor(0.04 * t.h)) THEN list_append(f.kept, t.y) ELSE f.kept END FROM f JOIN t ON t.page = f.page AND t.n = f.n + 1),
+    k AS (SELECT page, unnest(arg_max(kept, n)) AS y FROM f GROUP BY page), p AS (SELECT k.page, k.y, q.h, greatest(0.12, 0.20 * q.s) AS floor FROM k JOIN q USING (page, y)),
+    sp AS (SELECT p.page, p.y, coalesce(max(q.y) FILTER (q.y < p.y AND q.s < floor) + 1, 0) AS lo, coalesce(min(q.y) FILTER (q.y > p.y AND q.s < floor), min(p.h)) AS hi FROM p JOIN q ON q.page = p.page GROUP BY p.page, p.y),
+    y AS (SELECT page, min(lo) AS y0, max(hi) AS y1 FROM sp GROUP BY page HAVING max(hi) - min(lo) >= 12),
+    z AS (SELECT page, greatest(median(v) + 0.12 * (max(v) - median(v)), 0.24 * max(v)) AS thr FROM x GROUP BY page), xs AS (SELECT x.page, min(i) AS x0, max(i) + 1 AS x1 FROM x JOIN z USING (page) WHERE v >= thr GROUP BY x.page HAVING max(i) + 1 - min(i) >= 12),
+    b AS (SELECT d.page, d.h, least(x0, CASE WHEN d.page % 3 > 0 THEN 20 + d.page % 10 END) AS x0, least(CASE WHEN x0 IS NOT NULL THEN y0 END, CASE WHEN d.page % 3 > 0 THEN 30 + d.page % 40 END) AS y0, greatest(x1, CASE WHEN d.page % 3 > 0 THEN 90 END) AS x1, greatest(CASE WHEN x0 IS NOT NULL THEN y1 END, CASE WHEN d.page % 3 > 0 THEN 70 + d.page % 40 END) AS y1
+      FROM (SELECT DISTINCT page, h FROM q) d LEFT JOIN (SELECT * FROM y JOIN xs USING (page)) USING (page)),
+    m AS (SELECT b.*, max(q.s) AS main, least(b.h - 4, b.y1 + greatest(3, floor(0.04 * b.h))) AS lo FROM b JOIN q ON q.page = b.page AND q.y >= b.y0 AND q.y < b.y1 GROUP BY ALL),
+    g2 AS (SELECT page, y, 1 AS k, m AS v, lag(m) OVER w AS a, lead(m) OVER w AS b FROM q WINDOW w AS (PARTITION BY page ORDER BY y) UNION ALL SELECT page, y, 0, s, lag(s) OVER w, lead(s) OVER w FROM q WINDOW w AS (PARTITION BY page ORDER BY y)),
+    c AS (SELECT m.page, g2.y, g2.v + 0.15 * k AS score, k, g2.v, m.main, (SELECT min(q.s) FROM q WHERE q.page = m.page AND q.y BETWEEN greatest(0, m.y1 - 1) AND g2.y) AS low FROM m JOIN g2 ON g2.page = m.page AND g2.y >= m.lo + 1 AND g2.y < m.h - 2 WHERE m.y1 < m.h - 6 AND main > 1e-6 AND m.h - 2 > m.lo + 4 AND g2.v >= greatest(0.14, 0.12 * main) AND g2.v >= g2.a AND g2.v >= g2.b),
+    d AS (SELECT page, arg_max(y, (score, k, -y)) AS ridge FROM c WHERE low <= least(0.22, 0.55 * v) AND low <= 0.40 * main GROUP BY page),
+    o AS (SELECT d.page, ridge, greatest(0.12, 0.28 * q.m) AS fm, greatest(0.12, 0.22 * q.s) AS fs FROM d JOIN q ON q.page = d.page AND q.y = d.ridge),
+    n AS (SELECT o.page, ridge, greatest(coalesce(min(q.y) FILTER (q.y > ridge AND q.m < fm), min(q.h)), coalesce(min(q.y) FILTER (q.y > ridge AND q.s < fs), min(q.h))) AS hi FROM o JOIN q ON q.page = o.page GROUP BY o.page, ridge),
+    w AS (SELECT x.page, min(i) AS lo, max(i) + 1 AS hi FROM x JOIN (SELECT page, greatest(0.18 * max(v), median(v)) AS thr FROM x GROUP BY page) u USING (page) WHERE v >= thr GROUP BY x.page),
+    a AS (SELECT m.page, m.h, CASE WHEN least(m.h, greatest(m.y1, n.hi)) > greatest(m.y1, ridge - greatest(6, floor(0.08 * m.h))) + 4 THEN least(m.x0, w.lo) ELSE m.x0 END AS x0, m.y0, CASE WHEN least(m.h, greatest(m.y1, n.hi)) > greatest(m.y1, ridge - greatest(6, floor(0.08 * m.h))) + 4 THEN greatest(m.x1, w.hi) ELSE m.x1 END AS x1, CASE WHEN n.hi IS NULL THEN m.y1 ELSE greatest(m.y1, least(m.h, n.hi)) END AS y1 FROM m LEFT JOIN n USING (page) LEFT JOIN w USING (page)),
+    ok AS (SELECT a.* FROM a JOIN q ON q.page = a.page AND q.y >= a.y0 AND q.y < a.y1 GROUP BY ALL HAVING avg(q.m) >= 0.18 AND a.y1 - a.y0 >= greatest(16, floor(0.05 * a.h)) AND a.x1 - a.x0 >= 16),
+    s AS (SELECT *, (x1 - x0) * (y1 - y0) / CAST(150 * h AS DOUBLE) AS ratio, y0 / CAST(h AS DOUBLE) AS t, (h - y1) / CAST(h AS DOUBLE) AS bo, x0 / 150.0::DOUBLE AS l, (150 - x1) / 150.0::DOUBLE AS rr FROM ok),
+    j AS (SELECT *, CASE WHEN ratio >= 0.92 AND t + bo < 0.06 AND l + rr < 0.06 THEN 'inscription_fills_frame' WHEN greatest(t, bo, l, rr) < 0.035 THEN 'margins_too_small_to_help' WHEN ratio < 0.025 THEN 'no_clear_inscription_cluster'
+      WHEN ((t + bo >= 0.10 OR l + rr >= 0.10) AND (h >= 100 OR t + bo >= 0.18 OR l + rr >= 0.18)) OR ((bo >= 0.08 OR t >= 0.08) AND (h >= 120 OR bo >= 0.20 OR t >= 0.20)) OR (t + bo >= 0.06 AND (y1 - y0) / h <= 0.88 AND (h >= 120 OR t + bo >= 0.22)) OR (l + rr >= 0.06 AND ratio <= 0.82 AND (h >= 120 OR l + rr >= 0.10)) THEN 'margin_trim' ELSE 'margins_too_small_to_help' END AS reason FROM s),
+    pad AS (SELECT *, greatest(4, round_even(0.06 * (x1 - x0), 0)) AS px, greatest(4, round_even(0.06 * (y1 - y0), 0)) AS py FROM j)
+    SELECT v.page, coalesce(reason, 'no_bbox') AS reason, round(coalesce(ratio, 1), 6) AS ratio, CASE WHEN reason = 'margin_trim' THEN concat_ws(',', CAST(greatest(0, x0 - px) AS INT), CAST(greatest(0, y0 - py) AS INT), CAST(least(150, x1 + px) AS INT), CAST(least(v.h, y1 + py) AS INT)) ELSE concat_ws(',', 0, 0, 150, v.h) END AS region
+    FROM (SELECT DISTINCT page, h FROM q) v LEFT JOIN pad USING (page)
+""")
+def page_regions(spark, sf_dir):
+    """The part of each page that holds its lines, from signals that are faint in a gap above the last one."""
+    page, s, c = F.col("page"), F.col("s"), F.col("c")
+    faint = lambda v: F.transform(v, lambda x, y: F.when((y < 60 + page % 25) | (y > 128 - page % 20), x).otherwise(x * 0.1))
+    sides = F.transform(c, lambda x, i: F.when((i >= 10 + page % 30) & (i <= 139 - page % 50), 0.7 * x + 0.3).otherwise(x * 0.02))
+    own = _pages(spark, sf_dir).select("page", faint(s).alias("s"), faint(c).alias("m"), sides.alias("x"))
+    boxed = regions.found_boxes(own, s, F.col("m"), F.lit(150), lambda lo, hi: F.col("row.x"), _score(F.col("row.m")), _mask(page))
+    out = regions.regions(boxed.withColumn("h", F.size("s")), F.lit(150), F.col("h"))
+    corners = F.concat_ws(",", *[F.col(n).cast("string") for n in ("x0", "y0", "x1", "y1")])
+    return out.select("page", "reason", _rounded("ratio").alias("ratio"), corners.alias("region"))
