@@ -56,7 +56,14 @@ def words(text: str | None) -> list[bytes]:
 
 
 def bucket(word: bytes) -> int:
-    return zlib.crc32(word.decode("utf-8", "replace")[-2:].encode()) % BUCKETS
+    """By the last two letters."""
+    last = word[-2:]
+    return zlib.crc32(last if last.isascii() else word.decode("utf-8", "replace")[-2:].encode()) % BUCKETS
+
+
+def bucket_of(word: str) -> F.Column:
+    """The same of a column; -1 for the end."""
+    return F.when(F.col(word) == END, -1).otherwise(F.crc32(F.expr(f"right(`{word}`, 2)").cast("binary")) % BUCKETS).cast("int")
 
 
 def token_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
@@ -68,7 +75,7 @@ def token_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([k.decode() for k in keys] + [END]), pa.array([bucket(k) for k in keys] + [-1], pa.int32()), pa.array([*counts.values(), ends], pa.int64())], names=["word", "bucket", "c"])
+            return pa.RecordBatch.from_arrays([pa.array([*keys, END.encode()], pa.binary()).cast(pa.string()), pa.array([*counts.values(), ends], pa.int64())], names=["word", "c"])
 
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -81,7 +88,8 @@ def token_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
         if ends:
             yield out()
 
-    return docs.mapInArrow(run, "word string, bucket int, c bigint").groupBy("word", "bucket").agg(F.sum("c").alias("c"))
+    summed = docs.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return summed.select("word", bucket_of("word").alias("bucket"), "c")
 
 
 @dataclass
@@ -295,10 +303,12 @@ class Known:
     log_total: float
     ends: int
 
-    def record(self, word: bytes) -> bytes:
-        """Symbol, and log10 of the smoothed count, not a number where only the join knows it."""
-        symbol, c = self.head.get(word, (-1, -1))
-        return struct.pack("<dq", math.log10(c + ALPHA) if c >= 0 else math.nan, symbol if symbol >= 0 else self.n_words + bucket(word))
+    def records(self):
+        """From a word to its record: symbol, and log10 of the smoothed count, not a number where only the join knows it."""
+        pack = struct.Struct("<dq").pack
+        head = {w: pack(math.log10(c + ALPHA), symbol if symbol >= 0 else self.n_words + bucket(w)) for w, (symbol, c) in self.head.items()}
+        other = [pack(math.nan, self.n_words + b) for b in range(BUCKETS)]
+        return lambda word: head.get(word) or other[bucket(word)]
 
 
 RECORD = np.dtype([("log", "<f8"), ("id", "<i8")])
@@ -363,7 +373,7 @@ def coded(docs: DataFrame, known: Known) -> DataFrame:
 
     def run(batches):
         known = shared.value
-        cache = Cache(known.record)
+        cache = Cache(known.records())
         Cache.only(cache)
         row = TaskContext.get().partitionId() << 40
         log_end = math.log10(known.ends + ALPHA)

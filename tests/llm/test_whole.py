@@ -79,6 +79,13 @@ def test_scores_are_those_of_a_plain_recomputation(spark, monkeypatch, head):
     assert len(out) == len(rows) and out[103, 40_001] < 0
 
 
+def test_buckets_are_the_same_in_columns(spark):
+    names = ["a", "ab", "abc", "é", "né", "xé1", "中文字", "\U0001f600x", "z\u0301", "123", lm.END]
+    got = {r.word: r.b for r in spark.createDataFrame([(n,) for n in names], "word string").select("word", lm.bucket_of("word").alias("b")).collect()}
+    assert got == {n: -1 if n == lm.END else lm.bucket(n.encode()) for n in names}
+    assert all(lm.bucket(n.encode()) == zlib.crc32(n[-2:].encode()) % lm.BUCKETS for n in names)
+
+
 def test_scores_are_a_function_of_the_table(spark, monkeypatch):
     monkeypatch.setattr(lm, "TRAIN_SYMBOLS", 4000)  # several groups
     monkeypatch.setattr(lm, "PIECE", 50)
