@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import pages as G
 from inkstone.functions import regions as R
 from inkstone.functions.numeric import array_mean, index_of_max
+from inkstone.functions.peaks import line_peaks as find_line_peaks
 from inkstone.functions.signal import let, span
 from inkstone.operators import pages, regions
 from inkstone.plans.registry import query
@@ -50,6 +51,45 @@ def _text(bands):
     return F.array_join(F.transform(bands, lambda b: F.concat(b["lo"].cast("string"), F.lit("-"), b["hi"].cast("string"))), ",")
 
 
+def _pitch(peaks: str, name: str) -> str:
+    """CTEs that end in `name` (page, pitch): the pitch of the peaks in a table (page, y), from their gaps and the lag at which the page repeats itself."""
+    return f"""
+    {name}_gap AS (SELECT page, lead(y) OVER (PARTITION BY page ORDER BY y) - y AS gap FROM {peaks}),
+    {name}_med AS (SELECT page, h, CAST(coalesce(floor(median(gap)), greatest(24, floor(0.12 * h))) AS INT) AS med FROM {name}_gap JOIN (SELECT DISTINCT page, h FROM r) USING (page) GROUP BY page, h),
+    {name}_lo AS (SELECT *, greatest(16, CAST(floor(0.85 * med) AS INT)) AS lo FROM {name}_med),
+    {name}_hi AS (SELECT *, least(h // 2, greatest(lo + 1, CAST(floor(2.8 * med) AS INT), CAST(floor(0.45 * h) AS INT))) AS hi FROM {name}_lo),
+    {name}_lag AS (SELECT page, med, unnest(range(lo, hi)) AS lag FROM {name}_hi WHERE hi > lo + 1),
+    {name}_ac AS (SELECT l.page, med, lag, sum(a.x * b.x) AS ac FROM {name}_lag l JOIN centred a ON a.page = l.page JOIN centred b ON b.page = l.page AND b.y = a.y + lag GROUP BY l.page, med, lag),
+    {name}_best AS (SELECT page, any_value(med) AS med, arg_max(lag, (round(ac, 9), -lag)) AS lag, max(ac) AS ac FROM {name}_ac GROUP BY page),
+    {name} AS MATERIALIZED (SELECT m.page, CASE WHEN (b.ac / (w + 1e-6) >= 0.10 AND b.lag >= floor(1.4 * b.med)) OR (b.ac / (w + 1e-6) >= 0.20 AND abs(b.lag - b.med) <= floor(0.35 * b.med)) THEN b.lag ELSE m.med END AS pitch FROM {name}_med m LEFT JOIN {name}_best b USING (page) LEFT JOIN power USING (page))"""
+
+
+@query(f"""
+    WITH RECURSIVE {_PAGES}, {_CLEAR},
+    centred AS MATERIALIZED (SELECT page, y, s - avg(s) OVER (PARTITION BY page) AS x FROM r), power AS (SELECT page, sum(x * x) AS w FROM centred GROUP BY page),
+    near AS (SELECT page, y, s, h, s >= lag(s) OVER w AND s >= lead(s) OVER w AND s >= lag(s, 2) OVER w AND s >= lead(s, 2) OVER w AS top FROM r WINDOW w AS (PARTITION BY page ORDER BY y)),
+    found AS MATERIALIZED (SELECT near.page, near.y, s FROM near JOIN t ON t.page = near.page AND t.sig = 's' AND t.y = near.y WHERE near.top AND near.y BETWEEN 2 AND near.h - 3 AND s >= 0.32 AND clear >= 0.15),
+    {_pitch("found", "one")},
+    ranked AS (SELECT page, y, row_number() OVER (PARTITION BY page ORDER BY s DESC, y) AS n FROM found),
+    nms AS (SELECT page, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM one UNION ALL SELECT m.page, k.n, CASE WHEN len(list_filter(kept, lambda q: abs(q - k.y) < greatest(12, floor(0.55 * pitch)))) = 0 THEN list_append(kept, k.y) ELSE kept END FROM nms m JOIN ranked k ON k.page = m.page AND k.n = m.n + 1 JOIN one ON one.page = m.page),
+    kept AS MATERIALIZED (SELECT page, unnest(list_sort(arg_max(kept, n))) AS y FROM nms GROUP BY page),
+    next AS (SELECT page, y, lead(y) OVER (PARTITION BY page ORDER BY y) AS z, count(*) OVER (PARTITION BY page) AS n, pitch FROM kept JOIN one USING (page)),
+    rooms AS (SELECT page, y, pitch, y + greatest(8, floor(0.35 * pitch)) AS lo, z - greatest(8, floor(0.35 * pitch)) AS hi, 0.28 AS level, greatest(12, floor(0.55 * pitch)) AS apart FROM next WHERE z - y >= floor(1.55 * pitch)
+      UNION ALL SELECT x.page, y, pitch, y + greatest(8, floor(0.70 * pitch)), least(h - 2, y + floor(1.55 * pitch)), 0.22, greatest(10, floor(0.55 * pitch)) FROM next x JOIN (SELECT DISTINCT page, h FROM r) USING (page) WHERE z IS NULL AND n >= 2 AND least(h - 2, y + floor(1.55 * pitch)) > y + greatest(8, floor(0.70 * pitch)) + 4),
+    mids AS (SELECT q.page, q.y AS before, level, apart, arg_max(r.y, (r.s, -r.y)) AS y, max(r.s) AS s FROM rooms q JOIN r ON r.page = q.page AND r.y >= q.lo AND r.y < q.hi GROUP BY q.page, q.y, level, apart),
+    more AS MATERIALIZED (SELECT page, y FROM kept UNION ALL SELECT m.page, m.y FROM mids m JOIN t ON t.page = m.page AND t.sig = 's' AND t.y = m.y WHERE m.s >= level AND clear >= 0.06 AND m.y - before >= apart),
+    {_pitch("more", "two")},
+    line AS (SELECT page, y, row_number() OVER (PARTITION BY page ORDER BY y) AS n FROM more),
+    fold AS (SELECT page, n, [y] AS kept FROM line WHERE n = 1 UNION ALL SELECT o.page, o.n, CASE WHEN o.y - o.last < floor(0.85 * pitch) AND low / (least(a.s, b.s) + 1e-6) > 0.65 AND low > 0.45 THEN CASE WHEN b.s > a.s THEN list_append(o.kept[1 : len(o.kept) - 1], o.y) ELSE o.kept END ELSE list_append(o.kept, o.y) END
+      FROM (SELECT f.page, l.n, l.y, f.kept, f.kept[-1] AS last, (SELECT min(r.s) FROM r WHERE r.page = f.page AND r.y BETWEEN f.kept[-1] AND l.y) AS low FROM fold f JOIN line l ON l.page = f.page AND l.n = f.n + 1) o JOIN r a ON a.page = o.page AND a.y = o.last JOIN r b ON b.page = o.page AND b.y = o.y JOIN two ON two.page = o.page),
+    ends AS (SELECT page, array_to_string(arg_max(kept, n), ',') AS peaks FROM fold GROUP BY page)
+    SELECT d.page, coalesce(peaks, (SELECT arg_max(r.y, (r.s, -r.y))::VARCHAR FROM r WHERE r.page = d.page)) AS peaks FROM (SELECT DISTINCT page FROM r) d LEFT JOIN ends USING (page)
+""")
+def line_peaks(spark, sf_dir):
+    """Rows of the lines of each page."""
+    return _pages(spark, sf_dir).select("page", F.array_join(find_line_peaks(F.col("s")).cast("array<string>"), ",").alias("peaks"))
+
+
 @query(f"""
     WITH {_PAGES}, {_CLEAR},
     f AS (SELECT page, min(h) AS h, arg_max(y, (s, -y)) FILTER (y BETWEEN 40 AND 79) AS a, arg_max(y, (s, -y)) FILTER (y BETWEEN 80 AND 109) AS b, arg_max(y, (s, -y)) FILTER (y < 60) AS one FROM r GROUP BY page HAVING count(*) = 150),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkstone.functions import boxes, fusion, numeric, peaks, segments, signal, text
+from inkstone.functions import boxes, fusion, numeric, segments, signal, text
 from inkstone.functions import constants as K
 from inkstone.operators import archive, classify, evaluate, jobs, lattice, layout, matching, ranks, series
 from inkstone.plans.registry import QUERIES, SQL, Query, query
@@ -459,12 +459,6 @@ def run_bands(spark, sf_dir):
     return found.select("user_id", *[F.col(c).cast("bigint").alias(c) for c in ("run", "first", "last", "length")])
 
 
-def _series(spark, sf_dir):
-    """Each user's values in order of time, scaled to 0..1."""
-    events = read(spark, sf_dir, "events", "user_id", "event_id", "ts", "value")
-    return events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: F.least(F.lit(1.0), x["value"] / 100)).alias("v"))
-
-
 _SERIES = "o AS (SELECT user_id, least(1.0, value / 100) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)"
 
 
@@ -490,71 +484,80 @@ def prominence(spark, sf_dir):
     return found.select(F.col("key").alias("user_id"), F.col("i").cast("int").alias("i"), _rounded("prominence").alias("prominence"))
 
 
+def _line_signals(spark, sf_dir):
+    """Signals of lines: blocks of a hundred events in order of time, scaled to 0..1."""
+    events = read(spark, sf_dir, "events", "event_id", "ts", "value").withColumn("line", F.expr("event_id DIV 100"))
+    return events.groupBy("line").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: F.least(F.lit(1.0), x["value"] / 100)).alias("v"))
+
+
+_LINES = "o AS (SELECT event_id // 100 AS line, least(1.0, value / 100) AS v, row_number() OVER (PARTITION BY event_id // 100 ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_id // 100) AS n FROM events)"
+
+
 #: Peaks from the strongest down, each dropped if a kept one is nearer than 3.
 _SUPPRESSED = """
-    c AS (SELECT user_id, i, v, row_number() OVER (PARTITION BY user_id ORDER BY v DESC, i) AS n FROM l WHERE v >= a AND v > b AND v >= 0.35),
-    m AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM o
-      UNION ALL SELECT m.user_id, c.n, CASE WHEN len(list_filter(kept, lambda k: abs(k - c.i) < 3)) = 0 THEN list_append(kept, c.i) ELSE kept END FROM m JOIN c ON c.user_id = m.user_id AND c.n = m.n + 1),
-    k AS (SELECT user_id, list_sort(max_by(kept, n)) AS cuts FROM m GROUP BY user_id)
+    c AS (SELECT line, i, v, row_number() OVER (PARTITION BY line ORDER BY v DESC, i) AS n FROM l WHERE v >= a AND v > b AND v >= 0.35),
+    m AS (SELECT DISTINCT line, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM o
+      UNION ALL SELECT m.line, c.n, CASE WHEN len(list_filter(kept, lambda k: abs(k - c.i) < 3)) = 0 THEN list_append(kept, c.i) ELSE kept END FROM m JOIN c ON c.line = m.line AND c.n = m.n + 1),
+    k AS (SELECT line, list_sort(max_by(kept, n)) AS cuts FROM m GROUP BY line)
 """
 
 
 @query(f"""
-    WITH RECURSIVE {_SERIES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),{_SUPPRESSED}
-    , e AS (SELECT k.user_id, cuts, list_concat([0], cuts, [n]) AS e FROM k JOIN (SELECT user_id, max(n) AS n FROM o GROUP BY user_id) z USING (user_id))
-    SELECT user_id, coalesce(list_aggregate(cuts, 'string_agg', ','), '') AS cuts, CAST(len(list_filter(range(1, len(e)), lambda j: e[j + 1] - e[j] >= 2)) AS INT) AS n_intervals FROM e
+    WITH RECURSIVE {_LINES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY line ORDER BY i)),{_SUPPRESSED}
+    , e AS (SELECT k.line, cuts, list_concat([0], cuts, [n]) AS e FROM k JOIN (SELECT line, max(n) AS n FROM o GROUP BY line) z USING (line))
+    SELECT line, coalesce(list_aggregate(cuts, 'string_agg', ','), '') AS cuts, CAST(len(list_filter(range(1, len(e)), lambda j: e[j + 1] - e[j] >= 2)) AS INT) AS n_intervals FROM e
 """)
 def nms_peaks(spark, sf_dir):
-    found = _series(spark, sf_dir).withColumn("cuts", signal.peaks(F.col("v")))
-    return found.select("user_id", F.array_join(F.col("cuts").cast("array<string>"), ",").alias("cuts"), F.size(signal.intervals(F.col("cuts"), F.size("v"))).alias("n_intervals"))
+    found = _line_signals(spark, sf_dir).withColumn("cuts", signal.peaks(F.col("v")))
+    return found.select("line", F.array_join(F.col("cuts").cast("array<string>"), ",").alias("cuts"), F.size(signal.intervals(F.col("cuts"), F.size("v"))).alias("n_intervals"))
 
 
 @query(f"""
-    WITH RECURSIVE {_SERIES.replace("o AS", "raw AS")}, d AS (SELECT user_id, i, n, v, unnest(range(-8, 9)) AS d FROM raw), t AS (SELECT user_id, i, n, v, d, greatest(1, 2 * (n - 1)) AS s FROM d),
-    x AS (SELECT user_id, i, n, v, d, ((i + d) % s + s) % s AS k, s FROM t), y AS (SELECT x.user_id, x.i, x.n, x.v, list_sum(list(exp(-0.5 * (x.d / 2.0) ** 2) * r.v ORDER BY x.d)) / list_sum(list(exp(-0.5 * (x.d / 2.0) ** 2) ORDER BY x.d)) AS sm FROM x JOIN raw r ON r.user_id = x.user_id AND r.i = CASE WHEN x.k < x.n THEN x.k ELSE x.s - x.k END GROUP BY x.user_id, x.i, x.n, x.v),
-    o AS (SELECT user_id, i, n, sm AS v, v AS own FROM y), l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),{_SUPPRESSED},
-    e AS (SELECT k.user_id, list_concat([0], cuts, [n]) AS e, vs FROM k JOIN (SELECT user_id, max(n) AS n, list(own ORDER BY i) AS vs FROM o GROUP BY user_id) z USING (user_id)),
-    q AS (SELECT user_id, e, vs, unnest(range(1, len(e))) AS j FROM e), b AS (SELECT user_id, e[j] AS lo, e[j + 1] AS hi, vs[e[j] + 1 : e[j + 1]] AS part FROM q WHERE e[j + 1] - e[j] >= 2)
-    SELECT user_id, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, round(list_max(part), 6) AS confidence, round(list_sum(part) / (hi - lo), 6) AS mean FROM b WHERE list_sum(part) / (hi - lo) >= 0.12
+    WITH RECURSIVE {_LINES.replace("o AS", "raw AS")}, d AS (SELECT line, i, n, v, unnest(range(-8, 9)) AS d FROM raw), t AS (SELECT line, i, n, v, d, greatest(1, 2 * (n - 1)) AS s FROM d),
+    x AS (SELECT line, i, n, v, d, ((i + d) % s + s) % s AS k, s FROM t), y AS (SELECT x.line, x.i, x.n, x.v, list_sum(list(exp(-0.5 * (x.d / 2.0) ** 2) * r.v ORDER BY x.d)) / list_sum(list(exp(-0.5 * (x.d / 2.0) ** 2) ORDER BY x.d)) AS sm FROM x JOIN raw r ON r.line = x.line AND r.i = CASE WHEN x.k < x.n THEN x.k ELSE x.s - x.k END GROUP BY x.line, x.i, x.n, x.v),
+    o AS (SELECT line, i, n, sm AS v, v AS own FROM y), l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY line ORDER BY i)),{_SUPPRESSED},
+    e AS (SELECT k.line, list_concat([0], cuts, [n]) AS e, vs FROM k JOIN (SELECT line, max(n) AS n, list(own ORDER BY i) AS vs FROM o GROUP BY line) z USING (line)),
+    q AS (SELECT line, e, vs, unnest(range(1, len(e))) AS j FROM e), b AS (SELECT line, e[j] AS lo, e[j + 1] AS hi, vs[e[j] + 1 : e[j + 1]] AS part FROM q WHERE e[j + 1] - e[j] >= 2)
+    SELECT line, CAST(lo AS INT) AS lo, CAST(hi AS INT) AS hi, round(list_max(part), 6) AS confidence, round(list_sum(part) / (hi - lo), 9) AS mean FROM b WHERE list_sum(part) / (hi - lo) >= 0.12
 """)
 def boundary_boxes(spark, sf_dir):
     """Smoothed peaks, intervals between them, and the objectness gate."""
-    found = _series(spark, sf_dir).withColumn("b", F.explode(signal.let(signal.peaks(F.col("v"), sigma=2.0), lambda cuts: signal.boxes(cuts, F.col("v")))))
-    return found.select("user_id", "b.lo", "b.hi", _rounded("b.confidence").alias("confidence"), _rounded("b.mean").alias("mean"))
+    found = _line_signals(spark, sf_dir).withColumn("b", F.explode(signal.let(signal.peaks(F.col("v"), sigma=2.0), lambda cuts: signal.boxes(cuts, F.col("v")))))
+    return found.select("line", "b.lo", "b.hi", _rounded("b.confidence").alias("confidence"), _rounded("b.mean", 9).alias("mean"))
 
 
 @query(f"""
-    WITH RECURSIVE {_SERIES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)), c AS (SELECT user_id, i, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n FROM l WHERE v >= a AND v > b AND v >= 0.32),
-    z AS (SELECT user_id, list(v ORDER BY i) AS vs FROM o GROUP BY user_id),
-    m AS (SELECT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM z
-      UNION ALL SELECT user_id, n, CASE WHEN last IS NULL THEN [i] WHEN i - last < 5 AND low / (least(vs[last + 1], vs[i + 1]) + 1e-6) > 0.65 AND low > 0.45 THEN CASE WHEN vs[i + 1] > vs[last + 1] THEN list_append(kept[1 : len(kept) - 1], i) ELSE kept END ELSE list_append(kept, i) END
-      FROM (SELECT m.user_id, c.n, kept, c.i, kept[-1] AS last, z.vs, list_min(z.vs[kept[-1] + 1 : c.i + 1]) AS low FROM m JOIN c ON c.user_id = m.user_id AND c.n = m.n + 1 JOIN z ON z.user_id = m.user_id) y),
-    f AS (SELECT m.user_id, max_by(kept, n) AS k, any_value(vs) AS vs FROM m JOIN z USING (user_id) GROUP BY m.user_id)
-    SELECT user_id, coalesce(list_aggregate(k, 'string_agg', ','), '') AS peaks, coalesce(list_aggregate(list_transform(range(1, len(k)), lambda j: k[j] + list_position(vs[k[j] + 1 : k[j + 1] + 1], list_min(vs[k[j] + 1 : k[j + 1] + 1])) - 1), 'string_agg', ','), '') AS cuts FROM f
+    WITH RECURSIVE {_LINES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY line ORDER BY i)), c AS (SELECT line, i, row_number() OVER (PARTITION BY line ORDER BY i) AS n FROM l WHERE v >= a AND v > b AND v >= 0.32),
+    z AS (SELECT line, list(v ORDER BY i) AS vs FROM o GROUP BY line),
+    m AS (SELECT line, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS kept FROM z
+      UNION ALL SELECT line, n, CASE WHEN last IS NULL THEN [i] WHEN i - last < 5 AND low / (least(vs[last + 1], vs[i + 1]) + 1e-6) > 0.65 AND low > 0.45 THEN CASE WHEN vs[i + 1] > vs[last + 1] THEN list_append(kept[1 : len(kept) - 1], i) ELSE kept END ELSE list_append(kept, i) END
+      FROM (SELECT m.line, c.n, kept, c.i, kept[-1] AS last, z.vs, list_min(z.vs[kept[-1] + 1 : c.i + 1]) AS low FROM m JOIN c ON c.line = m.line AND c.n = m.n + 1 JOIN z ON z.line = m.line) y),
+    f AS (SELECT m.line, max_by(kept, n) AS k, any_value(vs) AS vs FROM m JOIN z USING (line) GROUP BY m.line)
+    SELECT line, coalesce(list_aggregate(k, 'string_agg', ','), '') AS peaks, coalesce(list_aggregate(list_transform(range(1, len(k)), lambda j: k[j] + list_position(vs[k[j] + 1 : k[j + 1] + 1], list_min(vs[k[j] + 1 : k[j + 1] + 1])) - 1), 'string_agg', ','), '') AS cuts FROM f
 """)
 def line_bands(spark, sf_dir):
     """Maxima folded by pitch, and cuts in the valleys between them."""
-    found = _series(spark, sf_dir).withColumn("p", signal.collapse_close_peaks(F.col("v"), signal.local_maxima(F.col("v"), 0.32), F.lit(6)))
-    return found.select("user_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("peaks"), F.array_join(signal.valley_cuts(F.col("v"), F.col("p")).cast("array<string>"), ",").alias("cuts"))
+    found = _line_signals(spark, sf_dir).withColumn("p", signal.collapse_close_peaks(F.col("v"), signal.local_maxima(F.col("v"), 0.32), F.lit(6)))
+    return found.select("line", F.array_join(F.col("p").cast("array<string>"), ",").alias("peaks"), F.array_join(signal.valley_cuts(F.col("v"), F.col("p")).cast("array<string>"), ",").alias("cuts"))
 
 
 @query(f"""
-    WITH RECURSIVE {_SERIES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY user_id ORDER BY i)),{_SUPPRESSED},
-    e AS (SELECT k.user_id, list_concat([0], cuts, [n]) AS e, vs FROM k JOIN (SELECT user_id, max(n) AS n, list(v ORDER BY i) AS vs FROM o GROUP BY user_id) z USING (user_id)),
-    s AS (SELECT user_id, e, vs, unnest(range(0, len(e) - 1)) AS i FROM e), t AS (SELECT user_id, e, vs, i, unnest(range(i + 1, least(i + 4, len(e)))) AS j FROM s),
-    r AS (SELECT user_id, i, j, e[i + 1] AS lo, e[j + 1] AS hi, greatest(round(list_sum(vs[e[i + 1] + 1 : e[j + 1]]) / (e[j + 1] - e[i + 1]), 9), 0) - 0.55 AS reward FROM t),
-    d AS (SELECT user_id, 0::BIGINT AS j, [0.0]::DOUBLE[] AS best, CAST([-1] AS BIGINT[]) AS back FROM e
-      UNION ALL SELECT user_id, j, list_append(best, top.total), list_append(back, top.i) FROM (SELECT d.user_id, r.j, any_value(d.best) AS best, any_value(d.back) AS back, list_sort(list(struct_pack(minus := -(d.best[r.i + 1] + r.reward), i := r.i, total := d.best[r.i + 1] + r.reward)))[1] AS top FROM d JOIN r ON r.user_id = d.user_id AND r.j = d.j + 1 GROUP BY d.user_id, r.j) y),
-    f AS (SELECT user_id, max_by(back, j) AS back FROM d GROUP BY user_id),
-    w AS (SELECT user_id, back, len(back)::BIGINT - 1 AS j FROM f UNION ALL SELECT user_id, back, back[j + 1] FROM w WHERE back[j + 1] > 0)
-    SELECT r.user_id, CAST(r.i AS INT) AS i, CAST(r.j AS INT) AS j, CAST(r.lo AS INT) AS lo, CAST(r.hi AS INT) AS hi, round(r.reward, 6) AS reward FROM w JOIN r ON r.user_id = w.user_id AND r.j = w.j AND r.i = w.back[w.j + 1]
+    WITH RECURSIVE {_LINES}, l AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM o WINDOW w AS (PARTITION BY line ORDER BY i)),{_SUPPRESSED},
+    e AS (SELECT k.line, list_concat([0], cuts, [n]) AS e, vs FROM k JOIN (SELECT line, max(n) AS n, list(v ORDER BY i) AS vs FROM o GROUP BY line) z USING (line)),
+    s AS (SELECT line, e, vs, unnest(range(0, len(e) - 1)) AS i FROM e), t AS (SELECT line, e, vs, i, unnest(range(i + 1, least(i + 4, len(e)))) AS j FROM s),
+    r AS (SELECT line, i, j, e[i + 1] AS lo, e[j + 1] AS hi, greatest(round(list_sum(vs[e[i + 1] + 1 : e[j + 1]]) / (e[j + 1] - e[i + 1]), 9), 0) - 0.55 AS reward FROM t),
+    d AS (SELECT line, 0::BIGINT AS j, [0.0]::DOUBLE[] AS best, CAST([-1] AS BIGINT[]) AS back FROM e
+      UNION ALL SELECT line, j, list_append(best, top.total), list_append(back, top.i) FROM (SELECT d.line, r.j, any_value(d.best) AS best, any_value(d.back) AS back, list_sort(list(struct_pack(minus := -(d.best[r.i + 1] + r.reward), i := r.i, total := d.best[r.i + 1] + r.reward)))[1] AS top FROM d JOIN r ON r.line = d.line AND r.j = d.j + 1 GROUP BY d.line, r.j) y),
+    f AS (SELECT line, max_by(back, j) AS back FROM d GROUP BY line),
+    w AS (SELECT line, back, len(back)::BIGINT - 1 AS j FROM f UNION ALL SELECT line, back, back[j + 1] FROM w WHERE back[j + 1] > 0)
+    SELECT r.line, CAST(r.i AS INT) AS i, CAST(r.j AS INT) AS j, CAST(r.lo AS INT) AS lo, CAST(r.hi AS INT) AS hi, round(r.reward, 6) AS reward FROM w JOIN r ON r.line = w.line AND r.j = w.j AND r.i = w.back[w.j + 1]
 """)
 def span_lattice(spark, sf_dir):
     """Best segmentation of each user's series: spans of up to three intervals, by their mean."""
-    lines = _series(spark, sf_dir).withColumn("edges", F.concat(F.array(F.lit(0)), signal.peaks(F.col("v")), F.array(F.size("v"))))
-    spans = lattice.arcs(lines.select("user_id", "edges"), "user_id", "edges").join(lines.select("user_id", "v"), "user_id")
+    lines = _line_signals(spark, sf_dir).withColumn("edges", F.concat(F.array(F.lit(0)), signal.peaks(F.col("v")), F.array(F.size("v"))))
+    spans = lattice.arcs(lines.select("line", "edges"), "line", "edges").join(lines.select("line", "v"), "line")
     scored = spans.withColumn("reward", lattice.reward(F.round(numeric.array_mean(signal.span(F.col("v"), F.col("lo"), F.col("hi"))), 9)))
-    return lattice.best_path(scored, "user_id").withColumn("reward", _rounded("reward"))
+    return lattice.best_path(scored, "line").withColumn("reward", _rounded("reward"))
 
 
 @query("""
@@ -584,13 +587,6 @@ def cut_sets(spark, sf_dir):
     return s.select("o_custkey", F.size(both).cast("bigint").alias("n_union"), F.size(F.array_except("a", "b")).cast("bigint").alias("n_except"), F.size(F.array_distinct("a")).cast("bigint").alias("n_distinct"), F.aggregate(both, F.lit(0).cast("bigint"), lambda t, v: t + v).alias("sum_union"))
 
 
-@query()
-def line_peaks(spark, sf_dir):
-    """Rows of lines from each user's series, taken as a row signal."""
-    found = _series(spark, sf_dir).withColumn("p", peaks.line_peaks(F.col("v")))
-    return found.select("user_id", F.array_join(F.col("p").cast("array<string>"), ",").alias("peaks"))
-
-
 @query("""
     WITH b AS (SELECT p_partkey, 200 + p_size * 10 AS w, 150 + p_size AS h, p_partkey % 60 AS x0, p_size AS y0, 200 + p_size * 10 - p_partkey % 90 AS x1, 150 + p_size - p_partkey % 40 AS y1 FROM part),
     m AS (SELECT *, (x1 - x0) * (y1 - y0) / CAST(w * h AS DOUBLE) AS ratio, y0 / h AS t, (h - y1) / h AS bo, x0 / w AS l, (w - x1) / w AS r FROM b)
