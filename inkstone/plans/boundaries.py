@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkstone.functions import boundaries as B
+from inkstone.functions import resplit as S
+from inkstone.functions.numeric import array_mean
+from inkstone.functions.signal import span
 from inkstone.plans.profiles import _BLOCKS, _blocks
 from inkstone.plans.registry import query
 from inkstone.plans.registry import rounded as _rounded
@@ -65,3 +68,34 @@ def coalesced_edges(spark, sf_dir):
     lines = low.withColumn("e", F.array_sort(F.array_union(F.array(F.lit(0), F.lit(40)), edges)))
     found = lines.withColumn("c", B.coalesced_edges(F.col("e"), F.col("v"), F.lit(20)))
     return found.select("block", F.array_join(F.col("c").cast("array<string>"), ",").alias("edges"), (F.size("e") - F.size("c")).alias("taken"))
+
+
+_SCORE = "(0.7 * list_avg(list_transform(v[{a} + 1 : {b}], lambda x: x * x)))"
+_L, _R, _WHOLE = _SCORE.format(a="b.lo", b="c"), _SCORE.format(a="c", b="b.hi"), _SCORE.format(a="b.lo", b="b.hi")
+_SURE = "list_max(g[greatest(0, c - 3) + 1 : least(40, c + 4)]) >= 0.40"
+#: What a cut c of box b gains, null where it doesn't count; lines are 14 high.
+_GAIN = f"""CASE WHEN ({_WHOLE} < 0.35 OR b.s < 0.35) AND b.hi - b.lo >= 7 THEN CASE WHEN greatest({_L}, {_R}) >= 0.08 THEN {_L} + {_R} + CASE WHEN {_SURE} THEN 0.25 ELSE 0.0 END END
+    WHEN least({_L}, {_R}) >= 0.22 THEN CASE WHEN b.hi - b.lo >= 9 AND {_SURE} THEN {_L} + {_R} WHEN {_L} + {_R} - {_WHOLE} - 0.32 > 0.02 OR (b.hi - b.lo >= 9 AND least({_L}, {_R}) >= 0.40) THEN {_L} + {_R} - {_WHOLE} - 0.32 END END"""
+_MARGIN = "greatest(4, CAST(floor((b.hi - b.lo) * 0.12) AS INT))"
+_QUIET = f"v[b.lo + {_MARGIN} + 1 : b.hi - {_MARGIN}]"
+_CUT = f"""CASE WHEN b.hi - b.lo >= 12 THEN coalesce(-(list_sort(list_filter(list_transform(list_filter(cuts, lambda c: c >= b.lo + 4 AND c <= b.hi - 4), lambda c: struct_pack(gain := {_GAIN}, k := -c)), lambda x: x.gain IS NOT NULL))[-1]).k,
+    CASE WHEN ({_WHOLE} < 0.35 OR b.s < 0.35) AND len({_QUIET}) > 0 THEN b.lo + {_MARGIN} + list_position({_QUIET}, list_min({_QUIET})) - 1 END) END"""
+
+
+@query(f"""
+    WITH RECURSIVE {_BLOCKS}, s AS (SELECT block, list(r ORDER BY i) AS v, list(c ORDER BY i) AS g, list_sort(list_distinct(list_transform(range(4), lambda k: CAST((block * 3 + k * 11) % 38 + 1 AS INT)))) AS cuts FROM p GROUP BY block),
+    f AS (SELECT block, 0 AS k, [struct_pack(lo := 0, hi := 26, s := 0.3::DOUBLE), struct_pack(lo := 26, hi := 40, s := 0.6::DOUBLE)] AS boxes FROM s
+      UNION ALL SELECT f.block, k + 1, flatten(list_transform(list_transform(boxes, lambda b: struct_pack(lo := b.lo, hi := b.hi, s := b.s, at := CAST({_CUT} AS INT))), lambda b: CASE WHEN b.at IS NULL THEN [struct_pack(lo := b.lo, hi := b.hi, s := b.s)]
+        ELSE [struct_pack(lo := b.lo, hi := b.at, s := {_SCORE.format(a="b.lo", b="b.at")}), struct_pack(lo := b.at, hi := b.hi, s := {_SCORE.format(a="b.at", b="b.hi")})] END))
+        FROM f JOIN s USING (block) WHERE k < 6 AND (k = 0 OR len(list_filter(boxes, lambda b: b.s < 0.35 AND b.hi - b.lo >= 7)) > 0)),
+    e AS (SELECT block, unnest(arg_max(boxes, k)) AS b FROM f GROUP BY block)
+    SELECT block, b.lo AS lo, b.hi AS hi, round(b.s, 6) AS score FROM e
+""")
+def split_boxes(spark, sf_dir):
+    """Two boxes of each line, cut while parts win; the mean square of the profile stands for completeness."""
+    block, v = F.col("block"), F.col("r")
+    score = lambda lo, hi: F.coalesce(array_mean(F.transform(span(v, lo, hi), lambda x: x * x)) * 0.7, F.lit(0.0))
+    cuts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: ((block * 3 + k * 11) % 38 + 1).cast("int"))))
+    boxes = F.expr("array(struct(0 AS lo, 26 AS hi, 0.3D AS score), struct(26 AS lo, 40 AS hi, 0.6D AS score))")
+    found = _blocks(spark, sf_dir).select("block", F.explode(S.split_boxes(boxes, cuts, F.col("c"), v, F.lit(14), score)).alias("b"))
+    return found.select("block", "b.lo", "b.hi", _rounded("b.score").alias("score"))

@@ -641,12 +641,18 @@ _PAIRS = ", ".join(f"('{a}', '{b}')" for a, b in K.HARD_PAIRS)
 
 
 @query(f"""
-    WITH g(k, label) AS (VALUES {_GROUPS}), h(a, b) AS (VALUES {_PAIRS}), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h), c AS (SELECT DISTINCT x.label AS a, y.label AS b FROM g x JOIN g y ON x.k = y.k AND x.label <> y.label)
-    SELECT c.a, c.b, e.a IS NOT NULL AS hard FROM c LEFT JOIN e ON c.a = e.a AND c.b = e.b
+    WITH g(k, label) AS (VALUES {_GROUPS}), h(a, b) AS (VALUES {_PAIRS}), e AS (SELECT a, b FROM h UNION SELECT b, a FROM h), c AS (SELECT DISTINCT x.label AS a, y.label AS b FROM g x JOIN g y ON x.k = y.k AND x.label <> y.label),
+    n AS (SELECT coalesce(chr(CAST({K.FIRST_LETTER} + doc_id % 29 AS INT)), '') AS label, count(*) AS n FROM documents GROUP BY 1)
+    SELECT c.a, c.b, e.a IS NOT NULL AS hard, x.n AS documents, coalesce(y.n, 0) AS others FROM c JOIN n x ON x.label = c.a LEFT JOIN n y ON y.label = c.b LEFT JOIN e ON c.a = e.a AND c.b = e.b
 """)
 def lookalike_pairs(spark, sf_dir):
+    """Labels that could be mistaken for those predicted, whether they are hard to tell apart, and how often either was predicted."""
+    letter = F.substring(F.lit("".join(K.LETTERS)), (F.col("doc_id") % 29 + 1).cast("int"), F.lit(1))
+    predicted = read(spark, sf_dir, "documents", "doc_id").groupBy(letter.alias("a")).agg(F.count("*").alias("documents"))
+    others = predicted.select(F.col("a").alias("b"), F.col("documents").alias("others"))
     hard = classify.hard_partners(spark).withColumn("hard", F.lit(True))
-    return classify.confusable(classify.group_members(spark)).join(hard, ["a", "b"], "left").withColumn("hard", F.coalesce("hard", F.lit(False)))
+    pairs = classify.confusable(classify.group_members(spark)).join(hard, ["a", "b"], "left").withColumn("hard", F.coalesce("hard", F.lit(False)))
+    return pairs.join(predicted, "a").join(others, "b", "left").select("a", "b", "hard", "documents", F.coalesce("others", F.lit(0)).alias("others"))
 
 
 # ---- evaluation -------------------------------------------------------------------------------------------------------
