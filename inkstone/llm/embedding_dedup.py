@@ -180,7 +180,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, recall: float = RECAL
     A vector that is null, empty, zero or holds null or non-finite components has no links. Vectors of different lengths
     aren't linked. Rows that repeat a key or a vector count as vectors of their own; a null key's component is the
     smallest key of its component, null if there is none. Other columns aren't read. `recall` of the pairs at the very
-    limit meet in a bucket, and more of those above it.
+    limit meet in a bucket, and more of those above it; with 1 no pair is left out: all are compared, quadratic work.
     """
     spark = df.sparkSession
     kept = Kept(spark)
@@ -195,7 +195,7 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, recall: float = RECAL
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.first("v").alias("v"), F.min("key").cast("bigint").alias("rep"), F.count("*").alias("n"))
     classes = kept.keep(classes.withColumn("id", F.monotonically_increasing_id()).withColumn("dim", F.size("v")))
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each length of vector
-    plans = {d: reach(width_for(n, 1 << max(1, (d - 1).bit_length())), d, cosine, recall, seed) for d, n in sizes.items()}
+    plans = {d: reach(width_for(n, 1 << max(1, (d - 1).bit_length())), d, cosine, recall, seed) for d, n in sizes.items()} if recall < 1 else {}
 
     def hashed(parts):
         for pdf in parts:
@@ -206,8 +206,11 @@ def near_duplicates(df: DataFrame, cosine: float = COSINE, recall: float = RECAL
                     codes[i] = c
             yield pd.DataFrame({"id": pdf["id"], "band": pdf["dim"], "codes": codes})
 
-    placed = widen(classes.select("id", "dim", "v")).mapInPandas(hashed, "id bigint, band int, codes array<bigint>")
-    placed = kept.keep(placed.select("id", "band", F.explode("codes").alias("bucket")))
+    if recall >= 1:  # all pairs of vectors of one length, tile by tile
+        placed = kept.keep(classes.select("id", F.col("dim").alias("band"), F.lit(0).cast("bigint").alias("bucket")))
+    else:
+        placed = widen(classes.select("id", "dim", "v")).mapInPandas(hashed, "id bigint, band int, codes array<bigint>")
+        placed = kept.keep(placed.select("id", "band", F.explode("codes").alias("bucket")))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").select("bucket")
     placed = kept.keep(placed.join(shared, "bucket", "left_semi"))
     # each row carries the shared codes before its own

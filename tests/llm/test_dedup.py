@@ -111,6 +111,8 @@ def test_embeddings_against_all_pairs(spark, tile):
     want += [(k, int(k >= 606), 606 if k >= 606 else k, k != 607) for k, _ in bad]
     out = embedding_dedup.near_duplicates(df, tile=tile)
     assert sorted(map(tuple, out.collect())) == sorted(want)
+    exact = embedding_dedup.near_duplicates(df, tile=tile, recall=1.0)
+    assert sorted(map(tuple, exact.collect())) == sorted(want)
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
