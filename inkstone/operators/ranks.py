@@ -6,17 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Cells that a group's range of values is cut into.
+CELLS = 4096
+
+
 def at_ranks(rows: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
     """group and, for each name, the value at a rank (from 0) among the group's sorted values; `n` in a rank is their number.
 
-    Equal values are counted before they are sorted, and sorting spills: no task holds a group. Nulls don't count.
+    Equal values are counted before anything else. Counts of cells of a group's range say which cells hold the ranks, and only
+    values of these are sorted: a window runs over the cells of a group (CELLS at most) and over the distinct values of
+    one cell, never over a group. Nulls don't count.
     """
     counted = rows.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = counted.groupBy(group).agg(F.sum("__c").alias("n"))
-    placed = counted.withColumn("__upto", F.sum("__c").over(w)).join(sizes, group)
+    ends = counted.groupBy(group).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.sum("__c").alias("n"))
+    low, high, v = (F.col(c).cast("double") for c in ("__low", "__high", value))
+    share = (v - low) / (high - low) * CELLS
+    # a range that isn't finite is one cell
+    cell = F.when((high > low) & (high - low < float("inf")), F.least(F.lit(CELLS - 1), F.floor(share).cast("int"))).otherwise(0)
+    placed = counted.join(ends, group).withColumn("__cell", cell)
+    w = Window.partitionBy(group).orderBy("__cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = placed.groupBy(group, "__cell").agg(F.sum("__c").alias("__in"), F.first("n").alias("n")).withColumn("__before", F.sum("__in").over(w) - F.col("__in"))
+    held = lambda r: (F.col("__before") <= r) & (r < F.col("__before") + F.col("__in"))
+    wanted = cells.where(F.greatest(*[held(r).cast("int") for r in ranks.values()], F.lit(0)) == 1).select(group, "__cell", "__before")
+    inner = Window.partitionBy(group, "__cell").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = placed.join(wanted, [group, "__cell"]).withColumn("__upto", F.col("__before") + F.sum("__c").over(inner))
     hit = lambda r: F.max(F.when((F.col("__upto") > r) & (F.col("__upto") - F.col("__c") <= r), F.col(value)))
-    return placed.groupBy(group).agg(*[hit(r).alias(name) for name, r in ranks.items()])
+    return upto.groupBy(group).agg(*[hit(r).alias(name) for name, r in ranks.items()])
 
 
 def percentiles(rows: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:

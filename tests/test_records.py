@@ -166,3 +166,14 @@ def test_bands_of_a_page(spark):
     assert widen([(20, 40), (60, 80)], faint, 100) == [(14, 54), (46, 86)]
     # never past the page
     assert widen([(2, 22), (60, 98)], [0.0] * 100, 100) == [(0, 45), (37, 100)]
+
+
+@pytest.mark.parametrize("cells", [1, 7, 4096])
+def test_ranks_through_cells(spark, monkeypatch, cells):
+    monkeypatch.setattr(ranks, "CELLS", cells)
+    rng = np.random.default_rng(cells)
+    own = {"even": rng.random(400), "skewed": rng.random(300) ** 20 * 1e9, "ties": np.round(rng.random(200), 1), "one": np.array([3.0]), "same": np.full(50, 2.5), "wide": np.array([-1e308, 0.0, 1.0, 2.0, 1e308])}
+    df = spark.createDataFrame([(k, float(v)) for k, x in own.items() for v in x], "g string, v double").repartition(5)
+    n = F.col("n")
+    got = {r.g: (r.least, r.lower, r.upper, r.most) for r in ranks.at_ranks(df, "g", "v", {"least": F.lit(0), "lower": F.floor((n - 1) / 2), "upper": F.floor(n / 2), "most": n - 1}).collect()}
+    assert got == {k: (s[0], s[(len(s) - 1) // 2], s[len(s) // 2], s[-1]) for k, s in ((k, np.sort(x)) for k, x in own.items())}
