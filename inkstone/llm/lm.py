@@ -228,8 +228,11 @@ class Trainer:
         dims, flat = np.arange(SIZE), self.shapes["r"][0] * SIZE
 
         def step(name: str, grad: np.ndarray, rate: float = rate) -> None:
+            """Overwrites grad."""
             g2[name] += grad * grad
-            w[name] += f(rate) * grad / np.sqrt(g2[name])
+            grad *= f(rate)
+            grad /= np.sqrt(g2[name])
+            w[name] += grad
 
         def told_apart(minus: np.ndarray, noise: np.ndarray, at: np.ndarray) -> np.ndarray:
             """Gradients of data (at) and noise (everywhere) from scores with their signs turned; overwrites them."""
@@ -251,7 +254,9 @@ class Trainer:
             for i in range(1, BACK):
                 q += back[i][x[:, i]]
             minus = -q
-            d = told_apart(minus @ w["qc"].T - (w["bc"] - self.log_class - log_noise), self.noise_class, c)
+            scores = minus @ w["qc"].T
+            scores -= w["bc"] - self.log_class - log_noise
+            d = told_apart(scores, self.noise_class, c)
             d_q = d @ w["qc"]
             grad_c, bias_c = d.T @ q, d.sum(0)
             grad, grad_bias = np.zeros_like(w["qw"]), np.zeros_like(w["bw"])
@@ -261,7 +266,9 @@ class Trainer:
                 i, j, lo, hi = bounds[k], bounds[k + 1], self.low[k], self.low[k + 1]
                 if i < j:
                     v = w["qw"][lo:hi]
-                    e = told_apart(minus[i:j] @ v.T - shift[lo:hi], self.noise_own[lo:hi], place[i:j])
+                    scores = minus[i:j] @ v.T
+                    scores -= shift[lo:hi]
+                    e = told_apart(scores, self.noise_own[lo:hi], place[i:j])
                     d_q[i:j] += e @ v
                     grad[lo:hi] = e.T @ q[i:j]
                     grad_bias[lo:hi] = e.sum(0)
