@@ -48,8 +48,11 @@ def _gaps(found: Column) -> Column:
 
 def _best(*ranked: Column) -> Column:
     """The row of the largest score among arrays of (score, y); of equal ones the earliest array's, then the first. Null for none."""
-    keyed = [F.transform(r, lambda x, k=k: F.struct(x["score"].alias("score"), F.lit(-k).alias("k"), (-x["y"]).alias("y"))) for k, r in enumerate(ranked)]
-    return -F.array_max(F.concat(*keyed))["y"]
+
+    def keyed(k: int, r: Column) -> Column:  # a second parameter of the lambda, even one with a default, would be the place in the array
+        return F.transform(r, lambda x: F.struct(x["score"].alias("score"), F.lit(-k).alias("k"), (-x["y"]).alias("y")))
+
+    return -F.array_max(F.concat(*(keyed(k, r) for k, r in enumerate(ranked))))["y"]
 
 
 def _with(found: Column, y: Column) -> Column:

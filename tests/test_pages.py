@@ -47,6 +47,16 @@ def test_last_lines_in_the_middle_and_at_the_edge(spark):
     assert one(spark, G.with_second_line(F.col("s"), F.col("s"), ints(40)), s=tents(200, {40: 1, 90: 0.4})) == [40]
 
 
+def test_equal_bumps_go_to_the_middle_at_the_edge_and_to_the_whole_width_elsewhere(spark):
+    # the middle's bump at 154 is the second of its own, as high as the whole width's first one
+    s, c = tents(200, {30: 1, 70: 1, 110: 1}), tents(200, {30: 1, 70: 1, 110: 1})
+    s[150], c[136], c[154] = 0.6, 0.5, 0.6
+    assert one(spark, G.with_edge_line(F.col("s"), F.col("c"), ints(30, 70, 110)), s=s, c=c) == [30, 70, 110, 154]
+    s, c = tents(200, {40: 1}), tents(200, {40: 1})
+    s[125], s[150], c[140] = 0.3, 0.5, 0.5
+    assert one(spark, G.with_second_line(F.col("s"), F.col("c"), ints(40)), s=s, c=c) == [40, 150]
+
+
 def test_gutters_keep_peaks_apart(spark):
     s = tents(200, {30: 1, 70: 1, 110: 1, 150: 1})
     assert one(spark, G.separate_peaks(F.col("s"), ints(30, 70, 110, 150)), s=s) == [30, 70, 110, 150]
