@@ -86,15 +86,19 @@ def density_box(rows: Column, cols: Column, row_share: float = 0.08, col_share:
     enough = lambda d, share: F.greatest(F.lit(share), array_percentile(d, 0.88) * 0.55)
 
     def ends(d: Column, least: Column) -> Column:
-        at = F.filter(F.transform(d, lambda v, i: F.when(v >= least, i)), lambda i: i.isNotNull())
-        return F.struct(F.array_min(at).alias("lo"), (F.array_max(at) + 1).alias("hi"))
+        at = lambda limit: F.filter(F.transform(d, lambda v, i: F.when(v >= limit, i)), lambda i: i.isNotNull())
+        return let(let(least, at), lambda found: F.struct(F.array_min(found).alias("lo"), (F.array_max(found) + 1).alias("hi")))
 
     box = lambda x, y: F.when(x["lo"].isNotNull() & y["lo"].isNotNull(), F.struct(x["lo"].alias("x0"), y["lo"].alias("y0"), x["hi"].alias("x1"), y["hi"].alias("y1")))
-    x, y = ends(cols, enough(cols, col_share)), ends(rows, enough(rows, row_share))
-    loose = lambda d, share: F.greatest(F.lit(share * 0.5), enough(d, share) * 0.65)
-    tight = F.when((x["hi"] - x["lo"] > 8) & (y["hi"] - y["lo"] > 8), box(x, y))
-    none = x["lo"].isNull() | y["lo"].isNull()
-    return F.when((F.size(rows) >= 4) & (F.size(cols) >= 4), F.when(none, box(ends(cols, loose(cols, col_share)), ends(rows, loose(rows, row_share)))).otherwise(tight))
+    both = lambda limit: F.struct(ends(cols, limit(cols, col_share)).alias("x"), ends(rows, limit(rows, row_share)).alias("y"))
+    loose = let(both(lambda d, share: F.greatest(F.lit(share * 0.5), enough(d, share) * 0.65)), lambda e: box(e["x"], e["y"]))
+
+    def of(e: Column) -> Column:
+        x, y = e["x"], e["y"]
+        tight = F.when((x["hi"] - x["lo"] > 8) & (y["hi"] - y["lo"] > 8), box(x, y))
+        return F.when(x["lo"].isNull() | y["lo"].isNull(), loose).otherwise(tight)
+
+    return F.when((F.size(rows) >= 4) & (F.size(cols) >= 4), let(both(enough), of))
 
 
 def band_score(vertical: Column, horizontal: Column, edge_peak: Column, edge_mean: Column, col_peak: Column, col_std: Column) -> Column:
@@ -217,10 +221,14 @@ def is_stem_body(label: Column) -> Column:
 
 def expanded_peak(values: Column, peak: Column, share: float = 0.22) -> Column:
     """lo, hi (exclusive) around a peak, as far as samples hold `share` of it, .12 at least."""
-    floor = F.greatest(F.lit(0.12), F.lit(share) * F.get(values, peak))
-    low = F.filter(F.transform(values, lambda v, i: F.when(v < floor, i)), lambda i: i.isNotNull())
-    before, after = F.array_max(F.filter(low, lambda i: i < peak)), F.array_min(F.filter(low, lambda i: i > peak))
-    return F.struct(F.coalesce(before + 1, F.lit(0)).alias("lo"), F.coalesce(after, F.size(values)).alias("hi"))
+    low = lambda floor: F.filter(F.transform(values, lambda v, i: F.when(v < floor, i)), lambda i: i.isNotNull())
+
+    def of(p: Column) -> Column:
+        before, after = lambda found: F.array_max(F.filter(found, lambda i: i < p)), lambda found: F.array_min(F.filter(found, lambda i: i > p))
+        ends = lambda found: F.struct(F.coalesce(before(found) + 1, F.lit(0)).alias("lo"), F.coalesce(after(found), F.size(values)).alias("hi"))
+        return let(let(F.greatest(F.lit(0.12), F.lit(share) * F.get(values, p)), low), ends)
+
+    return let(peak, of)
 
 
 def valley(values: Column, lo: Column, hi: Column) -> Column:

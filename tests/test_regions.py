@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions import boxes
+from inkstone.functions import profiles as P
 from inkstone.functions import regions as R
 from inkstone.functions.numeric import array_mean
 from inkstone.functions.signal import span
@@ -30,6 +31,19 @@ def test_rows_and_columns_around_lines(spark):
     assert one(spark, R.line_columns(F.col("s")), s=np.concatenate([np.zeros(50), np.ones(5), np.zeros(50)])) is None
 
 
+def test_what_holds_for_a_whole_signal_is_computed_once_not_for_every_sample(spark):
+    v = spark.createDataFrame([([0.0], [0.0])], "s array<double>, m array<double>")
+    s, m = F.col("s"), F.col("m")
+
+    def count(column, name):
+        return v.select(column.alias("x"))._jdf.queryExecution().analyzed().toString().count(f"{name}(")
+
+    assert count(R.line_columns(s), "array_sort") == 1
+    assert count(R.lower_columns(s), "array_sort") == 1
+    assert count(R.line_rows(s), "aggregate") == 1
+    assert count(P.density_box(s, m), "array_sort") == 4  # two signals, two limits
+
+
 def test_a_weak_line_below_a_block(spark):
     s, m = tents(200, {50: 1, 130: 0.2}), tents(200, {50: 1, 130: 0.4})
     ridge = lambda y1: R.lower_ridge(F.col("s"), F.col("m"), F.lit(42), F.lit(y1))
