@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions.numeric import upper_median
+from inkstone.functions.signal import let
 from inkstone.operators.ranks import percentiles
 
 
@@ -89,17 +90,22 @@ def cluster_lines(boxes: Column) -> Column:
 
     Near is within max(8, .55 of the upper median height); the result is array<struct<mean, members>> by mean.
     """
-    near = F.greatest(F.lit(8.0), upper_median(F.transform(boxes, lambda b: b["h"].cast("double"))) * F.lit(0.55))
-    ranked = F.transform(F.array_sort(F.transform(boxes, lambda b: F.struct(b["cy"].cast("double").alias("cy"), b["pos"].cast("int").alias("pos")))), lambda b: b)
+    ranked = F.sort_array(F.transform(boxes, lambda b: F.struct(b["cy"].cast("double").alias("cy"), b["pos"].cast("int").alias("pos"))))
     none = F.expr("cast(array() as array<struct<total:double,members:array<int>>>)")
     mean = lambda line: line["total"] / F.size(line["members"])
 
-    def join(acc: Column, b: Column) -> Column:
-        hit = F.get(F.filter(F.transform(acc, lambda line, i: F.struct(i.alias("i"), (F.abs(b["cy"] - mean(line)) <= near).alias("ok"))), lambda x: x["ok"]), 0)["i"]
-        grown = F.transform(acc, lambda line, i: F.when(i == hit, F.struct((line["total"] + b["cy"]).alias("total"), F.concat(line["members"], F.array(b["pos"])).alias("members"))).otherwise(line))
-        return F.when(hit.isNotNull(), grown).otherwise(F.concat(acc, F.array(F.struct(b["cy"].alias("total"), F.array(b["pos"]).alias("members")))))
+    def clustered(near: Column) -> Column:
+        def join(acc: Column, b: Column) -> Column:
+            first = F.array_position(F.transform(acc, lambda line: F.abs(b["cy"] - mean(line)) <= near), F.lit(True)) - 1
+            own = F.array(F.struct(b["cy"].alias("total"), F.array(b["pos"]).alias("members")))
+            grown = lambda line: F.struct((line["total"] + b["cy"]).alias("total"), F.concat(line["members"], F.array(b["pos"])).alias("members"))
+            return let(first, lambda hit: F.when(hit < 0, F.concat(acc, own)).otherwise(F.transform(acc, lambda line, i: F.when(i == hit, grown(line)).otherwise(line))))
 
-    return F.array_sort(F.transform(F.aggregate(ranked, none, join), lambda line: F.struct(mean(line).alias("mean"), line["members"].alias("members"))))
+        return F.aggregate(ranked, none, join)
+
+    # the limit is computed once, not for every pair of a box and a line
+    found = let(F.greatest(F.lit(8.0), upper_median(F.transform(boxes, lambda b: b["h"].cast("double"))) * F.lit(0.55)), clustered)
+    return F.sort_array(F.transform(found, lambda line: F.struct(mean(line).alias("mean"), line["members"].alias("members"))))
 
 
 def bars_between(bars: DataFrame, letters: DataFrame, key: str, slack: int = 2, rise: int = 4) -> DataFrame:

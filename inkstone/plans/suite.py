@@ -572,7 +572,7 @@ def span_lattice(spark, sf_dir):
 def line_clusters(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     box = F.struct(F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 60).alias("cy"), F.col("l_quantity").alias("h"))
-    lines = rows.groupBy("l_orderkey").agg(layout.cluster_lines(F.array_sort(F.collect_list(box))).alias("lines")).select("l_orderkey", F.posexplode("lines").alias("line", "x"))
+    lines = rows.groupBy("l_orderkey").agg(layout.cluster_lines(F.collect_list(box)).alias("lines")).select("l_orderkey", F.posexplode("lines").alias("line", "x"))
     return lines.select("l_orderkey", "line", _rounded("x.mean").alias("mean"), F.array_join(F.col("x.members").cast("array<string>"), ",").alias("members"))
 
 

@@ -26,6 +26,16 @@ def test_lines_of_boxes(spark):
     assert [(r["mean"], r["members"]) for r in lines] == [(12.0, [0, 2]), (42.0, [1, 3])]
 
 
+def test_the_limit_between_lines_is_computed_once(spark):
+    df = spark.createDataFrame([([(0, 10, 20), (1, 40, 20)],)], "b array<struct<pos:int,cy:int,h:int>>")
+    plan = df.select(layout.cluster_lines(F.col("b")).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_sort(") == 1  # of the heights; not again for every box and every line
+    # boxes in any order give the same lines, and equal places go by number
+    shuffled = [(3, 44, 20), (2, 10, 20), (1, 40, 20), (0, 10, 20)]
+    lines = spark.createDataFrame([(shuffled,)], df.schema).select(layout.cluster_lines(F.col("b")).alias("x")).first().x
+    assert [(r["mean"], r["members"]) for r in lines] == [(10.0, [0, 2]), (42.0, [1, 3])]
+
+
 def test_linking_is_greedy_and_exact(spark):
     local = spark.createDataFrame([(1, "a", 0.0, 1), (2, "a", 50.0, 2), (3, "b", 0.0, 3), (4, None, 0.0, 4)], "id long, text string, at double, pos long")
     remote = spark.createDataFrame([(11, "a", 60.0, 1), (12, "a", 40.0, 2), (13, "b", 500.0, 3)], "id long, text string, at double, pos long")
