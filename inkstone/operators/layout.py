@@ -61,8 +61,11 @@ def with_separators(rows: DataFrame, line: str, x0: str, x1: str, position: str)
 
 
 def bars(rows: DataFrame, line: str, x0: str, x1: str, height: str, position: str) -> DataFrame:
-    """Adds `is_bar`: at most 12 wide, aspect at most .42, and 14 from both neighbours (a line's end counts as far)."""
-    w = Window.partitionBy(line).orderBy(x0, position)
+    """Adds `is_bar`: at most 12 wide, aspect at most .42, and 14 from both neighbours (a line's end counts as far).
+
+    Of boxes with one x0 and position the widest comes last, so it is the next one's neighbour.
+    """
+    w = Window.partitionBy(line).orderBy(x0, position, x1)
     width = F.col(x1) - F.col(x0)
     before, after = F.coalesce(F.col(x0) - F.lag(x1).over(w), F.lit(999)), F.coalesce(F.lead(x0).over(w) - F.col(x1), F.lit(999))
     return rows.withColumn("is_bar", (width <= 12) & (width / F.greatest(F.lit(1), F.col(height)) <= 0.42) & (before >= 14) & (after >= 14))

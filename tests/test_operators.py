@@ -26,6 +26,14 @@ def test_lines_of_boxes(spark):
     assert [(r["mean"], r["members"]) for r in lines] == [(12.0, [0, 2]), (42.0, [1, 3])]
 
 
+def test_bars_by_boxes_at_one_place_in_any_order(spark):
+    rows = [(1, 10, 12, 40, 1), (1, 10, 30, 40, 1), (1, 40, 45, 40, 2)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "k int, x0 int, x1 int, h int, pos int").coalesce(1)
+        out = layout.bars(df, "k", "x0", "x1", "h", "pos").collect()
+        assert sorted((r.x0, r.x1, r.is_bar) for r in out) == [(10, 12, False), (10, 30, False), (40, 45, False)]
+
+
 def test_the_limit_between_lines_is_computed_once(spark):
     df = spark.createDataFrame([([(0, 10, 20), (1, 40, 20)],)], "b array<struct<pos:int,cy:int,h:int>>")
     plan = df.select(layout.cluster_lines(F.col("b")).alias("x"))._jdf.queryExecution().analyzed().toString()
