@@ -15,13 +15,14 @@ size; all others meet their counts in a join, however many there are.
 from __future__ import annotations
 
 import math
-import struct
 import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,11 +49,29 @@ PASSES = 1
 SKETCH = 256
 ALPHA = 0.1
 END = " "  # no word
+#: Bytes of texts that are cut into words at once, about.
+TOGETHER_BYTES = 8_000_000
 
 
-def words(text: str | None) -> list[bytes]:
-    """Words with A-Z in lower case."""
-    return (text or "").encode().lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order, with A-Z in lower case, and where each text's words begin (one more: where the last ends)."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+    starts -= starts[0]
+    some = pc.greater(pc.binary_length(found), 0)  # white space at either end of a text leaves an empty word there
+    if pc.all(some).as_py() is not False:
+        return found, starts
+    return found.filter(some), np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[starts]
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold TOGETHER_BYTES at most, or one row: the first row and the one after the last."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TOGETHER_BYTES, "right")))
+        yield at, end
+        at = end
 
 
 def bucket(word: bytes) -> int:
@@ -66,27 +85,16 @@ def bucket_of(word: str) -> F.Column:
     return F.when(F.col(word) == END, -1).otherwise(F.crc32(F.expr(f"right(`{word}`, 2)").cast("binary")) % BUCKETS).cast("int")
 
 
-def token_counts(docs: DataFrame, flush: int = 300_000) -> DataFrame:
+def token_counts(docs: DataFrame) -> DataFrame:
     """word, bucket, c: counts over the rows of docs (text); the end counts once for each row. Tasks sum up first."""
 
     def run(batches):
-        counts: Counter = Counter()
-        ends = 0
-
-        def out() -> pa.RecordBatch:
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([*keys, END.encode()], pa.binary()).cast(pa.string()), pa.array([*counts.values(), ends], pa.int64())], names=["word", "c"])
-
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(words(t))
-                ends += 1
-            if len(counts) >= flush:
-                yield out()
-                counts.clear()
-                ends = 0
-        if ends:
-            yield out()
+            texts = b.column(0)
+            for at, end in slices(texts):
+                counts = words(texts.slice(at, end - at))[0].value_counts()
+                of, n = counts.field("values").cast(pa.string()), counts.field("counts").cast(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([of, pa.array([END])]), pa.concat_arrays([n, pa.array([end - at], pa.int64())])], names=["word", "c"])
 
     summed = docs.mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
     return summed.select("word", bucket_of("word").alias("bucket"), "c")
@@ -106,51 +114,63 @@ class Model:
     vectors: list[np.ndarray]  # of each class's members
     bias: list[np.ndarray]
 
+    @cached_property
+    def with_bias(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """back, class_vectors and vectors with one more column: one in all for a context, the bias for what may follow."""
+        one = np.zeros((*self.back.shape[:2], 1), np.float32)
+        one[0] = 1
+        wider = lambda v, b: np.column_stack([v, b]).astype(np.float32)
+        return np.concatenate([self.back, one], 2), wider(self.class_vectors, self.class_bias), [wider(v, b) for v, b in zip(self.vectors, self.bias, strict=True)]
+
     def log10(self, ids: np.ndarray, context: np.ndarray, together: int = 16_384) -> np.ndarray:
         """log10 probability of each symbol after the BACK symbols before it (rows of context, nearest first)."""
         out = np.empty(len(ids))
         small = self.cls.astype(np.int16)
+        back, class_vectors, vectors = self.with_bias
+        # what no score can exceed, but for a context's length
+        longest = [float(np.sqrt((v * v).sum(1).max())) for v in (class_vectors, *vectors)]
         for at in range(0, len(ids), together):
             y, x = ids[at : at + together], context[at : at + together]
             order = np.argsort(small[y], kind="stable")  # class by class
-            y, x = y[order], x[order]
+            y = y[order]
             c, place = small[y], self.place[y]
-            q = self.back[0][x[:, 0]]
+            q = back[0].take(x[:, 0][order], 0)
             for i in range(1, BACK):
-                q += self.back[i][x[:, i]]
-            lp = _log_softmax_at(q @ self.class_vectors.T + self.class_bias, c)
+                q += back[i].take(x[:, i][order], 0)
+            length = float(np.sqrt(np.einsum("ij,ij->i", q, q).max()))
+            lp = _log_softmax_at(q @ class_vectors.T, c, length * longest[0])
             bounds = np.searchsorted(c, np.arange(len(self.members) + 1)).tolist()
             for k, (i, j) in enumerate(zip(bounds, bounds[1:])):  # noqa: B905
                 if i < j:
-                    lp[i:j] += _log_softmax_at(q[i:j] @ self.vectors[k].T + self.bias[k], place[i:j])
+                    lp[i:j] += _log_softmax_at(q[i:j] @ vectors[k].T, place[i:j], length * longest[k + 1])
             out[at + order] = lp
         return out / math.log(10)
 
 
-def _log_softmax_at(scores: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row's scores at one place; overwrites scores."""
-    if scores.max(initial=0) > 80 or scores.min(initial=0) < -80:  # else no power of e leaves the range of numbers
+def _log_softmax_at(scores: np.ndarray, at: np.ndarray, bound: float) -> np.ndarray:
+    """Log of the softmax of each row's scores at one place; overwrites scores. bound: none is further from zero."""
+    if not bound < 80 and (scores.max(initial=0) > 80 or scores.min(initial=0) < -80):  # else no power of e leaves the range of numbers
         scores -= scores.max(1, keepdims=True)
     own = scores[np.arange(len(at)), at]
-    return own - np.log(np.exp(scores, out=scores).sum(1))
+    return own - np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
 
 
 def contexts(ids: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     """The BACK symbols before each position, nearest first; `start` before a text's beginning. first: where texts begin."""
     n = len(ids)
-    own = np.zeros(n, np.int64)
-    own[first] = first
-    own = np.arange(n) - np.maximum.accumulate(own)
-    out = np.full((n, BACK), start, np.int64)
+    out = np.empty((BACK, n), np.int64)
     for i in range(BACK):
-        ok = own > i
-        out[ok, i] = ids[np.flatnonzero(ok) - 1 - i]
-    return out
+        out[i, i + 1 :] = ids[: max(n - i - 1, 0)]
+        for j in range(i + 1):  # a shorter text's next one begins there, with even fewer before it
+            at = first + j
+            out[i, at[at < n]] = start
+    return out.T
 
 
 def pairs(ids: np.ndarray, context: np.ndarray, m: int) -> np.ndarray:
     """How often each symbol stands after symbols of each remainder modulo SKETCH, at any of the BACK distances (m x SKETCH, flat)."""
-    return np.bincount((ids[:, None] * SKETCH + context % SKETCH).ravel(), minlength=m * SKETCH)
+    rows = ids * SKETCH
+    return sum(np.bincount(rows + context[:, i] % SKETCH, minlength=m * SKETCH) for i in range(BACK))
 
 
 def classes(seen: np.ndarray) -> np.ndarray:
@@ -183,7 +203,7 @@ class Trainer:
     """Noise-contrastive estimation with Adagrad; parameters are one flat vector, so that those of several tasks can be averaged.
 
     Noise stands for its expectation: classes by their share and a class's symbols by theirs, NOISE of each to a position.
-    Vectors of symbols stand class by class.
+    Vectors of symbols stand class by class; the last column of vectors of classes and symbols is their bias.
     """
 
     def __init__(self, counts: np.ndarray, seen: np.ndarray):
@@ -201,7 +221,7 @@ class Trainer:
         self.log_class, self.noise_class = np.log(share).astype(np.float32), (NOISE * share).astype(np.float32)
         own = (p / of_class[self.cls])[np.concatenate(self.members)]  # class by class
         self.noise_own, self.log_own = (NOISE * own).astype(np.float32), np.log(own).astype(np.float32)
-        self.shapes = {"r": (m + 1, SIZE), "c": (BACK, SIZE), "qc": (k, SIZE), "bc": (k,), "qw": (m, SIZE), "bw": (m,)}
+        self.shapes = {"r": (m + 1, SIZE), "c": (BACK, SIZE), "qc": (k, SIZE + 1), "qw": (m, SIZE + 1)}
         self.size = sum(map(math.prod, self.shapes.values()))
 
     def views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -216,7 +236,7 @@ class Trainer:
         w = self.views(state)
         w["r"][:] = np.random.default_rng(seed).normal(0, 0.1, w["r"].shape)
         w["c"][:] = 1 / np.arange(1, BACK + 1)[:, None]
-        w["bc"][:], w["bw"][:] = self.log_class, self.log_own
+        w["qc"][:, SIZE], w["qw"][:, SIZE] = self.log_class, self.log_own
         state[self.size :] = 1e-2
         return state
 
@@ -225,7 +245,11 @@ class Trainer:
         batch = min(8192, max(256, len(ids) // 100))
         w, g2 = self.views(state), self.views(state[self.size :])
         cls16, f, log_noise = self.cls.astype(np.int16), np.float32, np.float32(math.log(NOISE))
-        dims, flat = np.arange(SIZE), self.shapes["r"][0] * SIZE
+        flat = self.shapes["r"][0] * SIZE
+        cells = np.arange(flat).reshape(-1, SIZE)
+        one = np.zeros((BACK, len(cells), 1), f)
+        one[0] = 1
+        shift_c, shift_w = self.log_class + log_noise, self.log_own + log_noise
 
         def step(name: str, grad: np.ndarray, rate: float = rate) -> None:
             """Overwrites grad."""
@@ -238,54 +262,51 @@ class Trainer:
             """Gradients of data (at) and noise (everywhere) from scores with their signs turned; overwrites them."""
             with np.errstate(over="ignore"):
                 d = np.divide(-noise, np.add(np.exp(minus, out=minus), f(1), out=minus), out=minus)
-            rows = np.arange(len(at))
-            true = d[rows, at]
-            d[rows, at] = true + 1 + true / noise[at]
+            own = np.arange(0, d.size, d.shape[1]) + at
+            true = d.ravel()[own]
+            d.ravel()[own] = true + 1 + true / noise[at]
             return d
 
         order = np.random.default_rng(seed).permutation(len(ids))
         for b in range(0, len(order), batch):
             some = order[b : b + batch]
             some = some[np.argsort(cls16[ids[some]], kind="stable")]
-            y, x = ids[some], context[some]
+            y, x = ids[some], [context[:, i][some] for i in range(BACK)]
             c, place = self.cls[y], self.place[y]
-            back = w["r"] * w["c"][:, None, :]
-            q = back[0][x[:, 0]]
+            back = np.concatenate([w["r"] * w["c"][:, None, :], one], 2)  # every context ends with a one
+            q = back[0].take(x[0], 0)
             for i in range(1, BACK):
-                q += back[i][x[:, i]]
+                q += back[i].take(x[i], 0)
             minus = -q
-            scores = minus @ w["qc"].T
-            scores -= w["bc"] - self.log_class - log_noise
-            d = told_apart(scores, self.noise_class, c)
-            d_q = d @ w["qc"]
-            grad_c, bias_c = d.T @ q, d.sum(0)
-            grad, grad_bias = np.zeros_like(w["qw"]), np.zeros_like(w["bw"])
-            shift = w["bw"] - self.log_own - log_noise
+            v = w["qc"].copy()
+            v[:, SIZE] -= shift_c
+            d = told_apart(minus @ v.T, self.noise_class, c)
+            d_q = d @ v[:, :SIZE]
+            grad_c = d.T @ q
+            grad, v = np.zeros_like(w["qw"]), w["qw"].copy()
+            v[:, SIZE] -= shift_w
             bounds = np.searchsorted(c, np.arange(self.k + 1)).tolist()
             for k in range(self.k):
                 i, j, lo, hi = bounds[k], bounds[k + 1], self.low[k], self.low[k + 1]
                 if i < j:
-                    v = w["qw"][lo:hi]
-                    scores = minus[i:j] @ v.T
-                    scores -= shift[lo:hi]
-                    e = told_apart(scores, self.noise_own[lo:hi], place[i:j])
-                    d_q[i:j] += e @ v
-                    grad[lo:hi] = e.T @ q[i:j]
-                    grad_bias[lo:hi] = e.sum(0)
+                    e = told_apart(minus[i:j] @ v[lo:hi].T, self.noise_own[lo:hi], place[i:j])
+                    d_q[i:j] += e @ v[lo:hi, :SIZE]
+                    np.matmul(e.T, q[i:j], out=grad[lo:hi])
             grad_r, d_c = np.zeros_like(w["r"]), np.zeros_like(w["c"])
             wide = d_q.astype(np.float64).ravel()
             for i in range(BACK):
-                sums = np.bincount((x[:, i, None] * SIZE + dims).ravel(), wide, flat).astype(f).reshape(-1, SIZE)
-                d_c[i] = (sums * w["r"]).sum(0)
-                grad_r += sums * w["c"][i]
-            for name, value in (("qc", grad_c), ("bc", bias_c), ("qw", grad), ("bw", grad_bias), ("r", grad_r)):
+                sums = np.bincount(cells.take(x[i], 0).ravel(), wide, flat).astype(f).reshape(-1, SIZE)
+                d_c[i] = np.einsum("ij,ij->j", sums, w["r"])
+                sums *= w["c"][i]
+                grad_r += sums
+            for name, value in (("qc", grad_c), ("qw", grad), ("r", grad_r)):
                 step(name, value)
             step("c", d_c, rate * 0.1)
 
     def model(self, state: np.ndarray) -> Model:
         w, low = self.views(state), self.low
         own = lambda x: [x[a:b].copy() for a, b in zip(low[:-1], low[1:], strict=True)]
-        return Model(self.m, self.cls, self.place, self.members, w["c"][:, None, :] * w["r"][None], w["qc"].copy(), w["bc"].copy(), own(w["qw"]), own(w["bw"]))
+        return Model(self.m, self.cls, self.place, self.members, w["c"][:, None, :] * w["r"][None], w["qc"][:, :SIZE].copy(), w["qc"][:, SIZE].copy(), own(w["qw"][:, :SIZE]), own(w["qw"][:, SIZE]))
 
 
 def train(counts: np.ndarray, ids: np.ndarray, first: np.ndarray, epochs: int = 3, seed: int = 13) -> Model:
@@ -311,14 +332,21 @@ class Known:
     ends: int
 
     def records(self):
-        """From a word to its record: symbol, and log10 of the smoothed count, not a number where only the join knows it."""
-        pack = struct.Struct("<dq").pack
-        head = {w: pack(math.log10(c + ALPHA), symbol if symbol >= 0 else self.n_words + bucket(w)) for w, (symbol, c) in self.head.items()}
-        other = [pack(math.nan, self.n_words + b) for b in range(BUCKETS)]
-        return lambda word: head.get(word) or other[bucket(word)]
+        """From distinct words to their symbols and log10 of their smoothed counts, not a number where only the join knows it."""
+        names = pa.array(list(self.head), pa.binary()).cast(pa.string())
+        symbols = np.array([*(symbol for symbol, _ in self.head.values()), -1], np.int64)
+        logs = np.log10(np.array([*(c for _, c in self.head.values()), math.nan]) + ALPHA)
 
+        def of(found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            at = pc.fill_null(pc.index_in(found, value_set=names), -1).to_numpy()
+            ids = symbols[at]
+            rest = np.flatnonzero(ids < 0)
+            last = pc.utf8_slice_codeunits(found.take(pa.array(rest)), -2).dictionary_encode()  # of a bucket: few
+            buckets = np.array([bucket(w) for w in last.dictionary.cast(pa.binary()).to_pylist()], np.int64)
+            ids[rest] = self.n_words + buckets[last.indices.to_numpy()]
+            return ids, logs[at]
 
-RECORD = np.dtype([("log", "<f8"), ("id", "<i8")])
+        return of
 
 
 def know(counts: DataFrame, head: int = HEAD, n_words: int = WORDS, least: int = LEAST_SEEN) -> tuple[Known, np.ndarray]:
@@ -357,11 +385,6 @@ def know(counts: DataFrame, head: int = HEAD, n_words: int = WORDS, least: int =
     return Known(table, len(names), np.log10(n_b + ALPHA * (v_b + 1)), total, math.log10(total + ALPHA * (distinct + 1)), ends), symbols
 
 
-def symbols_of(known: Known, cache: Cache, text: str | None) -> tuple[list[bytes], np.ndarray]:
-    found = words(text)
-    return found, np.frombuffer(b"".join(map(cache.__getitem__, found)), RECORD)
-
-
 def coded(docs: DataFrame, known: Known) -> DataFrame:
     """docs (key, text, held_out) as symbols: one row for each row, and what is known of its base score without a join.
 
@@ -380,50 +403,59 @@ def coded(docs: DataFrame, known: Known) -> DataFrame:
 
     def run(batches):
         known = shared.value
-        cache = Cache(known.records())
-        Cache.only(cache)
+        records = known.records()
+        Cache.only()
         row = TaskContext.get().partitionId() << 40
         log_end = math.log10(known.ends + ALPHA)
-        rows: list[tuple] = []
-        size = 0
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        def out(key: pa.Array, text: pa.Array, held: pa.Array) -> pa.RecordBatch:
+            nonlocal row
+            found, starts = words(text)
+            found = found.dictionary_encode()
+            names, rows = found.dictionary.cast(pa.string()), len(starts) - 1
+            # of each distinct word, and then of the end
+            ids, logs = (np.append(a, b) for a, b in zip(records(names), (end, log_end), strict=True))
+            missing = np.isnan(logs)
+            logs[missing] = 0
+            other = (ids >= known.n_words) & (ids < end)
+            inner = np.zeros(len(ids))
+            inner[other] = logs[other] - known.bucket_log[ids[other] - known.n_words]
+            # each text's words and its end
+            n = np.diff(starts) + 1
+            first = starts[:-1] + np.arange(rows)
+            codes = np.full(int(n.sum()), len(names))
+            ends = np.zeros(len(codes), bool)
+            ends[first + n - 1] = True
+            codes[~ends] = found.indices.to_numpy()
+            sums = lambda of: np.add.reduceat(of[codes], first)
+            own = ids.astype("<u2")[codes]
+            pieces = [[own[a + max(p - BACK, 0) : a + min(p + PIECE, k)].tobytes() for p in range(0, k, PIECE)] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+            at = np.flatnonzero(missing[codes])
+            tail, times = np.unique(np.repeat(np.arange(rows), n)[at] * len(ids) + codes[at], return_counts=True)
+            bounds = pa.array(np.searchsorted(tail, np.arange(rows + 1) * len(ids)), pa.int32())
+            n_known = n - 1 - sums(missing.astype(np.int64)) + (known.ends > 0)
+            numbers = np.arange(row + 1, row + 1 + rows)
+            row += rows
+            lists = [pa.ListArray.from_arrays(bounds, v) for v in (names.take(pa.array(tail % len(ids))), pa.array(times, pa.int64()))]
+            columns = [numbers, key, held, n, n_known, sums(logs) - n * known.log_total, sums(inner), pieces, *lists]
+            return pa.RecordBatch.from_arrays([c.cast(f.type) if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                for key, text, held in zip(*(b.column(i).slice(at, 64).to_pylist() for i in range(3)), strict=True):
-                    found, record = symbols_of(known, cache, text)
-                    ids, log = record["id"], record["log"]
-                    missing = np.isnan(log)
-                    tail = Counter(found[i] for i in np.flatnonzero(missing))
-                    logs = np.where(missing, 0.0, log)
-                    other = np.flatnonzero(ids >= known.n_words)
-                    inner = float(logs[other].sum() - known.bucket_log[ids[other] - known.n_words].sum())
-                    n = len(found) + 1
-                    own = np.append(ids, end).astype("<u2")
-                    pieces = [own[max(p - BACK, 0) : p + PIECE].tobytes() for p in range(0, n, PIECE)]
-                    row += 1
-                    rows.append((row, key, held, n, n - 1 - int(missing.sum()) + (known.ends > 0), float(logs.sum()) + log_end - n * known.log_total, inner, pieces, [w.decode() for w in tail], list(tail.values())))
-                    size += n
-                    if len(rows) >= 256 or size >= 1_000_000:
-                        yield out()
-                        rows, size = [], 0
-        if rows:
-            yield out()
+            for at, to in slices(b.column(1)):
+                yield out(*(b.column(i).slice(at, to - at) for i in range(3)))
 
     return docs.select("key", "text", "held_out").mapInArrow(run, types)
 
 
 def joined(pieces: list[tuple[int, bytes]], m: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols of pieces (lead, ids) and the symbols before each; the first `lead` of a piece only come before."""
-    parts = [np.frombuffer(d, "<u2") for _, d in pieces]
-    sizes = np.array([len(p) for p in parts])
+    sizes = np.array([len(d) // 2 for _, d in pieces])
     first = np.cumsum(sizes) - sizes
-    ids = np.concatenate(parts).astype(np.int64)
+    ids = np.frombuffer(b"".join([d for _, d in pieces]), "<u2").astype(np.int64)
     own = np.ones(len(ids), bool)
-    for at, (lead, _) in zip(first, pieces, strict=True):
-        own[at : at + lead] = False
+    for at, (lead, _) in zip(first.tolist(), pieces, strict=True):
+        if lead:
+            own[at : at + lead] = False
     before = contexts(ids, first, m)
     return (ids, before) if own.all() else (ids[own], before[own])
 

@@ -1,9 +1,11 @@
+import dataclasses
 import math
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from inkstone.llm import labelled, lm, pii, quality, toxicity
@@ -190,3 +192,44 @@ def test_next_symbols_sum_to_one():
     p = sum(10 ** m.log10(np.full(5, s), np.array([[1, 2, 3], [4, 4, 40], [40, 40, 40], [9, 8, 7], [0, 1, 0]])) for s in range(40))
     assert p == pytest.approx(np.ones(5), abs=1e-4)
     assert lm.contexts(np.array([5, 6, 7, 8]), np.array([0, 2]), 9).tolist() == [[9, 9, 9], [5, 9, 9], [9, 9, 9], [7, 9, 9]]
+
+
+def test_words_of_whole_columns_are_those_of_each_text(monkeypatch):
+    texts = [" " + "".join(chr(i) + "Ab\u00c9" for i in range(128)) + "\x85x \u00a0Y\u2003z\t ", "  ", None, "", "one", "\u0130K \u017f A", "B " * 50]
+    plain = [(t or "").encode().lower().split() for t in texts]
+    column = pa.array([None, *texts]).slice(1)
+    found, starts = lm.words(column)
+    assert [[w.encode() for w in found.slice(a, b - a).to_pylist()] for a, b in zip(starts, starts[1:], strict=False)] == plain
+    for most in (1, 60, 10_000):
+        monkeypatch.setattr(lm, "TOGETHER_BYTES", most)
+        cut = list(lm.slices(column))
+        assert [i for a, b in cut for i in range(a, b)] == list(range(len(texts)))
+        assert all(b - a == 1 or sum(len((t or "").encode()) for t in texts[a:b]) <= most for a, b in cut)
+    assert len(lm.words(pa.array([None, ""]))[0]) == 0 and list(lm.slices(pa.array([], pa.string()))) == []
+
+
+def test_records_are_looked_up_for_columns_not_word_by_word(monkeypatch):
+    names = [f"w{i}{'abc'[i % 3]}z" for i in range(3000)] + ["z", "\u00e9", "n\u00e9", "head", "often"]
+    known = lm.Known({b"often": (0, 50), b"head": (-1, 7)}, 1, np.zeros(lm.BUCKETS), 100, 2.0, 1)
+    want = [0 if w == "often" else 1 + lm.bucket(w.encode()) for w in names]
+    calls, bucket = [], lm.bucket
+    monkeypatch.setattr(lm, "bucket", lambda w: calls.append(w) or bucket(w))
+    ids, logs = known.records()(pa.array(names))
+    assert ids.tolist() == want and np.isnan(logs[:-2]).all() and logs[-2:] == pytest.approx([math.log10(7.1), math.log10(50.1)])
+    assert len(calls) == 7  # az, bz, cz, z, \u00e9, n\u00e9 and ad: each ending once
+
+
+def test_scores_out_of_the_range_of_powers():
+    rng = np.random.default_rng(8)
+    ids = rng.integers(0, 40, 2000)
+    m = lm.train(np.bincount(ids, minlength=40).astype(float), ids, np.arange(0, 2000, 50), epochs=1)
+    context = rng.integers(0, 40, (2000, lm.BACK))
+    for factor in (1, 40, 4000):
+        own = dataclasses.replace(m, back=m.back * np.float32(factor))
+        q = sum(own.back[i].astype(float)[context[:, i]] for i in range(lm.BACK))
+        a = q @ own.class_vectors.T.astype(float) + own.class_bias
+        want = a[np.arange(2000), m.cls[ids]] - np.logaddexp.reduce(a, 1)
+        for r, s in enumerate(ids):
+            b = own.vectors[m.cls[s]].astype(float) @ q[r] + own.bias[m.cls[s]]
+            want[r] += b[m.place[s]] - np.logaddexp.reduce(b)
+        assert own.log10(ids, context) == pytest.approx(want / math.log(10), rel=1e-3, abs=1e-3)
