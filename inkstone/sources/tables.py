@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Where a row stands in its table: a total order of its rows, the same in every run and for every cut into tasks.
+PLACE = ("_metadata.file_path", "_metadata.row_index")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
