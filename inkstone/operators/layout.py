@@ -159,8 +159,11 @@ def robust_pitch(rows: DataFrame, key: str, width: str, height: float) -> DataFr
 
 
 def separator_runs(boxes: DataFrame, key: str, x0: str, x1: str, separator: Column, gap: int = 3) -> DataFrame:
-    """key, run, lo, hi, bars: separators that follow each other in a line, `gap` columns apart at most, as one run."""
-    w = Window.partitionBy(key).orderBy(x0, x1)
+    """key, run, lo, hi, bars: separators that follow each other in a line, `gap` columns apart at most, as one run.
+
+    Of boxes at one place separators come last, so that runs are a function of the boxes.
+    """
+    w = Window.partitionBy(key).orderBy(x0, x1, "__bar")
     marked = boxes.withColumn("__bar", F.coalesce(separator, F.lit(False)))
     joins = F.coalesce(F.col("__bar") & F.lag("__bar").over(w) & (F.col(x0) - F.lag(x1).over(w) <= gap), F.lit(False))
     numbered = marked.withColumn("__new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -34,6 +34,15 @@ def test_bars_by_boxes_at_one_place_in_any_order(spark):
         assert sorted((r.x0, r.x1, r.is_bar) for r in out) == [(10, 12, False), (10, 30, False), (40, 45, False)]
 
 
+def test_runs_of_separators_at_one_place_in_any_order(spark):
+    boxes = [("p", 0, 5, True), ("p", 6, 9, False), ("p", 6, 9, True), ("p", 11, 14, True), ("q", 0, 5, True), ("q", 0, 5, True), ("q", 0, 5, True), ("q", 30, 31, True)]
+    for rows in (boxes, boxes[::-1]):
+        df = spark.createDataFrame(rows, "k string, x0 int, x1 int, bar boolean").coalesce(1)
+        runs = layout.separator_runs(df, "k", "x0", "x1", F.col("bar"))
+        # equal separators are one run, and a line's first run is 1
+        assert sorted(map(tuple, runs.collect())) == [("p", 1, 0, 5, 1), ("p", 3, 6, 14, 2), ("q", 1, 0, 5, 3), ("q", 2, 30, 31, 1)]
+
+
 def test_the_limit_between_lines_is_computed_once(spark):
     df = spark.createDataFrame([([(0, 10, 20), (1, 40, 20)],)], "b array<struct<pos:int,cy:int,h:int>>")
     plan = df.select(layout.cluster_lines(F.col("b")).alias("x"))._jdf.queryExecution().analyzed().toString()
